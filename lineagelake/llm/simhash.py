@@ -136,13 +136,12 @@ def links(fps: DataFrame) -> DataFrame:
     """(u, v) pairs of distinct fingerprints at ``MAX_BITS`` or fewer differing bits: all
     of those between keys of usual size, a spanning forest of each block pair in hot keys."""
     index = _index(fps)
-    # groups of a key that can hold a pair at all
-    sizes = index.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.sum(F.when(F.col("side") == 0, 1).otherwise(0)).alias("zeros"))
-    sizes = sizes.where((F.col("n") > 1) & ((F.col("zeros") > 0) | (F.col("key").bitwiseAND(F.lit(0xFF << 24)) == 0)) & (F.col("zeros") < F.col("n")))
-    live = materialize(index.join(sizes.select("key", "n"), "key").select("key", "side", "fp", "n"), "simhash-index")
-    small, hot = live.where(F.col("n") <= BLOCK), live.where(F.col("n") > BLOCK)
-    a, b = small.select("key", "side", F.col("fp").alias("u")), small.select("key", F.col("side").alias("other"), F.col("fp").alias("v"))
-    meet = ((F.col("side") == 0) & (F.col("other") == 1)) | ((F.col("side") == -1) & (F.col("u") < F.col("v")))
+    # keys that a large group of near copies shares; usually none
+    crowded = materialize(index.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > BLOCK), "crowded-keys")
+    usual, hot = index.join(crowded, "key", "left_anti"), index.join(crowded, "key")
+    a = usual.where("side <> 1").select("key", "side", F.col("fp").alias("u"))
+    b = usual.where("side <> 0").select("key", F.col("side").alias("other"), F.col("fp").alias("v"))
+    meet = ((F.col("side") == 0) & (F.col("other") == 1)) | ((F.col("side") == -1) & (F.col("other") == -1) & (F.col("u") < F.col("v")))
     pairs = a.join(b, (a["key"] == b["key"]) & meet & (F.bit_count(F.col("u").bitwiseXOR(F.col("v"))) <= MAX_BITS)).select("u", "v")
     blocks = F.ceil(F.col("n") / BLOCK).cast("int")
     hot = hot.withColumn("block", F.pmod(F.xxhash64("fp"), blocks).cast("int")).withColumn("m", blocks)
