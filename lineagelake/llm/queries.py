@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe
+from . import bpe, langid
 from .common import read
 from .simhash import near_duplicates
 
@@ -15,6 +15,11 @@ def op1_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(read(spark, sf_dir, "documents"))
 
 
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    return langid.identify(docs, langid.fit(docs))
+
+
 def byte_bpe_50k() -> tuple[str, str]:
     """Path of the production rank file, and its pre-tokenizer pattern."""
     import public_tokenizers
@@ -28,7 +33,7 @@ def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_simhash_dedup": op1_simhash_dedup, "op9_byte_bpe": op9_byte_bpe}
+    return {"op1_simhash_dedup": op1_simhash_dedup, "op3_language_id": op3_language_id, "op9_byte_bpe": op9_byte_bpe}
 
 
 def oracle_sql() -> dict[str, str]:
