@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, langid
+from . import bpe, langid, quality, sharding
 from .common import read
 from .simhash import near_duplicates
 
@@ -20,6 +20,14 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(docs, langid.fit(docs))
 
 
+def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.cascade(read(spark, sf_dir, "documents"))
+
+
+def op10_kk_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard_by_bytes(read(spark, sf_dir, "documents"))
+
+
 def byte_bpe_50k() -> tuple[str, str]:
     """Path of the production rank file, and its pre-tokenizer pattern."""
     import public_tokenizers
@@ -33,7 +41,7 @@ def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_simhash_dedup": op1_simhash_dedup, "op3_language_id": op3_language_id, "op9_byte_bpe": op9_byte_bpe}
+    return {"op1_simhash_dedup": op1_simhash_dedup, "op3_language_id": op3_language_id, "op6_quality_rules": op6_quality_rules, "op9_byte_bpe": op9_byte_bpe, "op10_kk_sharding": op10_kk_sharding}
 
 
 def oracle_sql() -> dict[str, str]:
