@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, langid, quality, secret_scan, sharding
+from . import bpe, decontam, langid, quality, secret_scan, sharding
 from .common import read
 from .simhash import near_duplicates
 
@@ -32,6 +32,10 @@ def op10_kk_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_by_bytes(read(spark, sf_dir, "documents"))
 
 
+def op8_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.contained(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
 def byte_bpe_50k() -> tuple[str, str]:
     """Path of the production rank file, and its pre-tokenizer pattern."""
     import public_tokenizers
@@ -45,7 +49,7 @@ def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_simhash_dedup": op1_simhash_dedup, "op3_language_id": op3_language_id, "op4_secret_scan": op4_secret_scan, "op6_quality_rules": op6_quality_rules, "op9_byte_bpe": op9_byte_bpe, "op10_kk_sharding": op10_kk_sharding}
+    return {"op1_simhash_dedup": op1_simhash_dedup, "op3_language_id": op3_language_id, "op4_secret_scan": op4_secret_scan, "op6_quality_rules": op6_quality_rules, "op8_benchmark_decontamination": op8_benchmark_decontamination, "op9_byte_bpe": op9_byte_bpe, "op10_kk_sharding": op10_kk_sharding}
 
 
 def oracle_sql() -> dict[str, str]:
