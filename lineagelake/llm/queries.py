@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontam, langid, quality, secret_scan, sharding
+from . import bpe, decontam, langid, quality, secret_scan, sharding, warc
 from .common import read
 from .simhash import near_duplicates
 
@@ -24,6 +24,10 @@ def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.with_digests(secret_scan.scan(read(spark, sf_dir, "documents")))
 
 
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(read(spark, sf_dir, "pages"))
+
+
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.cascade(read(spark, sf_dir, "documents"))
 
@@ -49,7 +53,7 @@ def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_simhash_dedup": op1_simhash_dedup, "op3_language_id": op3_language_id, "op4_secret_scan": op4_secret_scan, "op6_quality_rules": op6_quality_rules, "op8_benchmark_decontamination": op8_benchmark_decontamination, "op9_byte_bpe": op9_byte_bpe, "op10_kk_sharding": op10_kk_sharding}
+    return {"op1_simhash_dedup": op1_simhash_dedup, "op3_language_id": op3_language_id, "op4_secret_scan": op4_secret_scan, "op5_warc": op5_warc, "op6_quality_rules": op6_quality_rules, "op8_benchmark_decontamination": op8_benchmark_decontamination, "op9_byte_bpe": op9_byte_bpe, "op10_kk_sharding": op10_kk_sharding}
 
 
 def oracle_sql() -> dict[str, str]:
