@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontam, langid, quality, secret_scan, sharding, warc
+from . import bpe, chat, decontam, langid, quality, secret_scan, sharding, warc
 from .common import read
 from .simhash import near_duplicates
 
@@ -32,6 +32,13 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.cascade(read(spark, sf_dir, "documents"))
 
 
+def op7_chat_prefix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    said = "</s>[INST] ok [/INST]"
+    probe = spark.createDataFrame([(-1, 0, "user", said), (-1, 1, "assistant", said)], "conv_id bigint, turn bigint, role string, text string")
+    chats = read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(probe)
+    return chat.with_digests(chat.read_back(*chat.format_chats(chats)))
+
+
 def op10_kk_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_by_bytes(read(spark, sf_dir, "documents"))
 
@@ -53,7 +60,7 @@ def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_simhash_dedup": op1_simhash_dedup, "op3_language_id": op3_language_id, "op4_secret_scan": op4_secret_scan, "op5_warc": op5_warc, "op6_quality_rules": op6_quality_rules, "op8_benchmark_decontamination": op8_benchmark_decontamination, "op9_byte_bpe": op9_byte_bpe, "op10_kk_sharding": op10_kk_sharding}
+    return {"op1_simhash_dedup": op1_simhash_dedup, "op3_language_id": op3_language_id, "op4_secret_scan": op4_secret_scan, "op5_warc": op5_warc, "op6_quality_rules": op6_quality_rules, "op7_chat_prefix_tree": op7_chat_prefix_tree, "op8_benchmark_decontamination": op8_benchmark_decontamination, "op9_byte_bpe": op9_byte_bpe, "op10_kk_sharding": op10_kk_sharding}
 
 
 def oracle_sql() -> dict[str, str]:
