@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chat, decontam, langid, quality, secret_scan, sharding, warc
+from . import bpe, chat, decontam, langid, lm, quality, secret_scan, sharding, warc
 from .common import read
 from .simhash import near_duplicates
 
@@ -15,6 +15,10 @@ def op1_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(read(spark, sf_dir, "documents"))
 
 
+def op2_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.train_and_score(read(spark, sf_dir, "documents"))
+
+
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     return langid.identify(docs, langid.fit(docs))
@@ -60,7 +64,7 @@ def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_simhash_dedup": op1_simhash_dedup, "op3_language_id": op3_language_id, "op4_secret_scan": op4_secret_scan, "op5_warc": op5_warc, "op6_quality_rules": op6_quality_rules, "op7_chat_prefix_tree": op7_chat_prefix_tree, "op8_benchmark_decontamination": op8_benchmark_decontamination, "op9_byte_bpe": op9_byte_bpe, "op10_kk_sharding": op10_kk_sharding}
+    return {"op1_simhash_dedup": op1_simhash_dedup, "op2_lm_scoring": op2_lm_scoring, "op3_language_id": op3_language_id, "op4_secret_scan": op4_secret_scan, "op5_warc": op5_warc, "op6_quality_rules": op6_quality_rules, "op7_chat_prefix_tree": op7_chat_prefix_tree, "op8_benchmark_decontamination": op8_benchmark_decontamination, "op9_byte_bpe": op9_byte_bpe, "op10_kk_sharding": op10_kk_sharding}
 
 
 def oracle_sql() -> dict[str, str]:
