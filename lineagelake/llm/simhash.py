@@ -200,10 +200,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """The documents with one row of each near-duplicate group: its smallest doc_id.
-
-    Where that doc_id occurs more than once in the group, one of its rows stays.
-    """
-    kept = near_duplicates(docs).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
-    rows = docs.join(kept.withColumnRenamed("doc_id", "_keep"), F.col("doc_id").eqNullSafe(F.col("_keep")), "left_semi")
-    return rows.dropDuplicates(["doc_id"])
+    """The documents with one row of each near-duplicate group: that of its smallest doc_id
+    (null ids last), and of rows that repeat it, one."""
+    rows = materialize(docs.withColumn("row_", F.monotonically_increasing_id()), "simhash-rows")
+    name = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col("row_").alias("row"))
+    found = near_duplicates(rows.select(name.alias("doc_id"), "text"))
+    kept = found.where("doc_id.row = component_id.row").select(F.col("doc_id.row").alias("kept_"))
+    return rows.join(kept, F.col("row_") == F.col("kept_"), "left_semi").select(*docs.columns)
