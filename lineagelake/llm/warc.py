@@ -42,20 +42,27 @@ def base32(hex_digest: Column) -> Column:
 
 
 def plan_records(pages: DataFrame, min_bytes: int = MIN_REVISIT_BYTES) -> DataFrame:
-    """(page_id, url, bytes, digest, copy, refers_to): one row per page.
+    """(page_id, url, bytes, hex, n, response, refers_to): one row per page_id and payload that
+    is not a single response; n rows of ``pages`` have it.
 
     Of pages with equal payloads of at least ``min_bytes`` bytes, one with the largest
-    page_id is the response (refers_to null, copy 0) and the others refer to it; rows
-    that repeat it are told apart by ``copy``.  Null page_ids sort lowest.
+    page_id is the response and the others refer to it.  Pages that are not in the plan are
+    responses.  Null page_ids sort lowest.
     """
-    light = materialize(pages.select("page_id", "url", F.octet_length(F.coalesce("html", F.lit(""))).cast("long").alias("bytes"), F.sha1(F.coalesce("html", F.lit("")).cast("binary")).alias("hex")), "warc-pages")
+    light = pages.select("page_id", "url", F.octet_length(_payload()).cast("long").alias("bytes"), F.sha1(_payload().cast("binary")).alias("hex"))
     # one row a page_id and payload; repeats are counted, so no key gathers rows in a task
-    each = light.groupBy("page_id", "hex", "bytes").agg(F.count(F.lit(1)).alias("n"), F.max("url").alias("url"))
-    # written, so that the join below deals both sides out and can split a hot payload
-    first = materialize(each.groupBy("hex", "bytes").agg(F.max("page_id").alias("refers_to")), "warc-first")
-    rows = each.join(first, ["hex", "bytes"]).withColumn("copy", F.explode(F.expr("sequence(0L, n - 1)")))
-    lone = (F.col("bytes") < min_bytes) | (F.col("page_id").eqNullSafe(F.col("refers_to")) & (F.col("copy") == 0))
-    return rows.select("page_id", "url", "bytes", "hex", base32(F.col("hex")).alias("digest"), "copy", F.when(lone, F.lit(True)).otherwise(False).alias("response"), "refers_to")
+    each = materialize(light.groupBy("page_id", "hex", "bytes").agg(F.count(F.lit(1)).alias("n"), F.max("url").alias("url")), "warc-pages")
+    # only payloads that several pages have; written, so that the join below deals both sides
+    # out and can split a hot payload
+    first = each.groupBy("hex", "bytes").agg(F.max("page_id").alias("refers_to"), F.sum("n").alias("pages")).where("pages > 1")
+    rows = each.join(materialize(first, "warc-first"), ["hex", "bytes"])
+    response = (F.col("bytes") < min_bytes) | F.col("page_id").eqNullSafe(F.col("refers_to"))
+    planned = rows.select("page_id", "url", "bytes", "hex", "n", response.alias("response"), "refers_to")
+    return materialize(planned.where("NOT response OR n > 1"), "warc-plan")
+
+
+def _payload() -> Column:
+    return F.coalesce(F.col("html"), F.lit(""))
 
 
 def _record_id(page_id: Column, copy: Column) -> Column:
@@ -65,20 +72,26 @@ def _record_id(page_id: Column, copy: Column) -> Column:
 def write_archive(pages: DataFrame, path: str, min_bytes: int = MIN_REVISIT_BYTES, chunk_chars: int = CHUNK_CHARS) -> None:
     """Write one WARC record (or its segments) per page to ``path``.
 
-    A null html is an empty payload; a null url is written as an empty target.
+    A null html is an empty payload; a null url is written as an empty target.  Payloads
+    of single responses go from the table to the archive without a shuffle unless the
+    plan of repeated payloads is too large for Spark to broadcast.
     """
-    plan = materialize(plan_records(pages, min_bytes), "warc-plan")
-    # one payload per distinct html and page_id; revisits carry none
-    html = pages.select("page_id", F.coalesce("html", F.lit("")).alias("html")).groupBy("page_id", F.sha1(F.coalesce("html", F.lit("")).cast("binary")).alias("hex")).agg(F.first("html").alias("html"))
-    html = html.withColumnsRenamed({"page_id": "html_page", "hex": "html_hex"})
-    full = plan.where("response").join(html, F.col("page_id").eqNullSafe(F.col("html_page")) & (F.col("hex") == F.col("html_hex")))
-    pieces = F.expr(f"flatten(transform(split(html, '(?<=W)(?=ARC/1[.]1\\\\r\\\\n)', -1), p -> regexp_extract_all(p, '(?s).{{1,{chunk_chars}}}', 0)))")
-    chunks = full.withColumn("pieces", pieces).withColumn("pieces", F.when(F.size("pieces") == 0, F.array(F.lit(""))).otherwise(F.col("pieces")))
-    chunks = chunks.select("*", F.size("pieces").alias("segments"), F.posexplode("pieces").alias("chunk", "piece"))
+    plan = plan_records(pages, min_bytes)
+    mark = plan.select(F.col("page_id").alias("p_"), F.col("hex").alias("h_"), F.col("response").alias("r_"), "n")
+    rows = pages.select("page_id", "url", _payload().alias("html"), F.octet_length(_payload()).cast("long").alias("bytes"), F.sha1(_payload().cast("binary")).alias("hex"))
+    rows = rows.join(mark, F.col("page_id").eqNullSafe(F.col("p_")) & (F.col("hex") == F.col("h_")), "left")
+    single = rows.where("r_ IS NULL").select("page_id", "url", "html", "bytes", "hex", F.lit(0).cast("long").alias("copy"))
+    # rows that repeat a response: one payload stays, or each where payloads are too small to revisit
+    again = rows.where("r_").groupBy("page_id", "hex", "bytes", "n").agg(F.first("url").alias("url"), F.first("html").alias("html"))
+    again = again.withColumn("copy", F.explode(F.when(F.col("bytes") < min_bytes, F.expr("sequence(0L, n - 1)")).otherwise(F.array(F.lit(0).cast("long")))))
+    full = single.unionByName(again.drop("n"))
+    pieces = F.expr(f"flatten(transform(split(html, '(?<=W)(?=ARC/1[.]1\\\\r\\\\n)', -1), p -> IF(char_length(p) <= {chunk_chars}, array(p), regexp_extract_all(p, '(?s).{{1,{chunk_chars}}}', 0))))")
+    chunks = full.withColumn("pieces", pieces)
+    chunks = chunks.select("page_id", "url", "bytes", "hex", "copy", F.size("pieces").alias("segments"), F.posexplode("pieces").alias("chunk", "piece"))
     uri = F.coalesce(F.regexp_replace("url", "[\\r\\n]", ""), F.lit(""))
     own = _record_id(F.col("page_id"), F.col("copy"))
     segment = lambda value: F.when(F.col("segments") > 1, value).otherwise(F.lit(""))
-    common = [F.lit(VERSION), F.lit("WARC-Page-ID: "), F.coalesce(F.col("page_id").cast("string"), F.lit("null")), F.lit("\r\n"), F.lit("WARC-Payload-Digest: sha1:"), F.col("digest"), F.lit("\r\nWARC-Payload-Length: "), F.col("bytes").cast("string"), F.lit("\r\n")]
+    common = [F.lit(VERSION), F.lit("WARC-Page-ID: "), F.coalesce(F.col("page_id").cast("string"), F.lit("null")), F.lit("\r\nWARC-Payload-Digest: sha1:"), base32(F.col("hex")), F.lit("\r\nWARC-Payload-Length: "), F.col("bytes").cast("string"), F.lit("\r\n")]
     response = F.concat(
         *common,
         F.when(F.col("chunk") == 0, F.concat(F.lit("WARC-Type: response\r\nWARC-Record-ID: "), own, F.lit("\r\nWARC-Target-URI: "), uri, F.lit("\r\n"))).otherwise(
@@ -88,9 +101,10 @@ def write_archive(pages: DataFrame, path: str, min_bytes: int = MIN_REVISIT_BYTE
         segment(F.when(F.col("chunk") == F.col("segments") - 1, F.concat(F.lit("WARC-Segment-Total-Length: "), F.col("bytes").cast("string"), F.lit("\r\n"))).otherwise(F.lit(""))),
         F.lit("Content-Type: text/html\r\nContent-Length: "), F.octet_length("piece").cast("string"), F.lit(END), F.col("piece"),
     )
+    copies = plan.select("page_id", "url", "bytes", "hex", "refers_to", F.explode(F.expr("CASE WHEN response THEN IF(n > 1, sequence(1L, n - 1), array()) ELSE sequence(0L, n - 1) END")).alias("copy")).where(F.col("bytes") >= min_bytes)
     revisit = F.concat(*common, F.lit("WARC-Type: revisit\r\nWARC-Record-ID: "), own, F.lit("\r\nWARC-Target-URI: "), uri, F.lit(f"\r\nWARC-Profile: {PROFILE}\r\nWARC-Refers-To: "), _record_id(F.col("refers_to"), F.lit(0)), F.lit("\r\nContent-Length: 0"), F.lit(END))
-    records = chunks.select(response.alias("value")).unionByName(plan.where("NOT response").select(revisit.alias("value")))
-    records.write.option("lineSep", END).text(path)
+    records = chunks.select(response.alias("value")).unionByName(copies.select(revisit.alias("value")))
+    records.write.option("lineSep", END).option("compression", "gzip").text(path)
 
 
 def read_chunks(spark: SparkSession, path: str) -> DataFrame:
