@@ -27,11 +27,11 @@ ASSISTANT = "assistant"
 
 
 def escape(text: Column) -> Column:
-    return F.regexp_replace(text, r"([\\\[\]<])", r"\\$1")
+    return F.regexp_replace(text, r"([\\\[\]<])", r"$1\\")
 
 
 def unescape(text: Column) -> Column:
-    return F.regexp_replace(text, r"\\(.)", "$1")
+    return F.regexp_replace(text, r"([\\\[\]<])\\", "$1")
 
 
 def turns_of(conversations: DataFrame) -> DataFrame:

@@ -48,3 +48,11 @@ def map_batches(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator
     """``mapInArrow`` with batches small enough for very long texts."""
     df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     return df.mapInArrow(fn, schema)
+
+
+def fresh_name(df: DataFrame, base: str) -> str:
+    """``base``, lengthened until ``df`` has no column of that name."""
+    taken = {c.lower() for c in df.columns}
+    while base.lower() in taken:
+        base += "_"
+    return base

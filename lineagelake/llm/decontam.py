@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_batches, materialize
+from .common import fresh_name, map_batches, materialize
 
 SHINGLE_WORDS, THRESHOLD = 5, 0.8
 #: log2 of the bits of each bitmap: 1 MB each, whatever the number of items.
@@ -156,7 +156,7 @@ def contained(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD, i
     compared each on its own; the pair comes once, with the highest containment.
     """
     kind = docs.schema[id_col].dataType.simpleString()
-    shingles = materialize(item_shingles(items.withColumn("copy_", F.monotonically_increasing_id()).select(F.struct("item_id", F.col("copy_").alias("copy")).alias("item_id"), "text"), threshold=threshold), "item-shingles")
+    shingles = materialize(item_shingles(items.select(F.struct("item_id", F.monotonically_increasing_id().alias("copy")).alias("item_id"), "text"), threshold=threshold), "item-shingles")
     sent = docs.sparkSession.sparkContext.broadcast((bitmap(shingles.where("sketch")), bitmap(shingles)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -175,7 +175,7 @@ def contained(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD, i
                 texts += seen
             yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(row, pa.int64())), b.column(2).take(pa.array(row, pa.int64())), pa.array(hits, pa.int64()), pa.array(texts, pa.binary())], names=["doc_id", "row", "hash", "shingle"])
 
-    source = docs.select(F.col(id_col), F.col(text_col), F.monotonically_increasing_id().alias("row"))
+    source = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.monotonically_increasing_id().alias("row"))
     hits = map_batches(source, run, f"doc_id {kind}, row bigint, hash bigint, shingle binary")
     shared = hits.join(shingles.select("hash", "shingle", "item_id", "q", "sketch"), ["hash", "shingle"])
     pairs = shared.groupBy("row", "doc_id", "item_id").agg(F.count(F.lit(1)).alias("n_shared"), F.first("q").cast("long").alias("n_item"), F.max("sketch").alias("met"))
@@ -186,6 +186,7 @@ def contained(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD, i
 
 def drop_contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
     """The rows, unchanged, of documents that contain no item; a null doc_id is judged like others."""
-    rows = materialize(docs.withColumn("row_", F.monotonically_increasing_id()), "decontam-rows")
-    bad = contained(rows, items, id_col="row_").select(F.col("doc_id").alias("bad_")).distinct()
-    return rows.join(bad, F.col("row_") == F.col("bad_"), "left_anti").select(*docs.columns)
+    row = fresh_name(docs, "row")
+    rows = materialize(docs.withColumn(row, F.monotonically_increasing_id()), "decontam-rows")
+    bad = contained(rows.select(row, "text"), items, id_col=row).select(F.col("doc_id").alias(row)).distinct()
+    return rows.join(bad, row, "left_anti").select(*docs.columns)

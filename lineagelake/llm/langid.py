@@ -53,7 +53,8 @@ class ByteCnn:
         return (best, np.concatenate(at, axis=1)) if where else best
 
     def probabilities(self, x: np.ndarray) -> np.ndarray:
-        return _softmax(np.maximum(self.pooled(x), 0) @ self.dense + self.offset)
+        # in double precision, so that a text's score does not depend on its neighbours
+        return _softmax(np.maximum(self.pooled(x), 0).astype(np.float64) @ self.dense.astype(np.float64) + self.offset)
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
         """Language and probability (mean over a text's windows, by their bytes) of each text."""
@@ -65,7 +66,7 @@ class ByteCnn:
             np.add.at(total, owner, self.probabilities(block) * weight[:, None])
         total /= np.maximum(total.sum(axis=1, keepdims=True), 1e-300)
         best = total.argmax(axis=1)
-        return [self.langs[k] if d else UNKNOWN for k, d in zip(best, data)], [float(min(total[i, k], 1.0)) if d else 0.0 for i, (k, d) in enumerate(zip(best, data))]
+        return [self.langs[k] if d else UNKNOWN for k, d in zip(best, data)], [round(float(min(total[i, k], 1.0)), 9) if d else 0.0 for i, (k, d) in enumerate(zip(best, data))]
 
 
 def _softmax(z: np.ndarray) -> np.ndarray:

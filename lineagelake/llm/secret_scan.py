@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import fresh_name, materialize
 
 #: Fixed values. Kind -> (pattern, group of the value, least length of the value).
 BASE = {
@@ -120,17 +120,17 @@ def with_digests(scanned: DataFrame) -> DataFrame:
 
 def redact(docs: DataFrame) -> DataFrame:
     """The rows with every span's characters replaced by ``[SECRET]``; ``n_chars`` follows
-    where the table has it.  Overlapping spans are replaced once, as their union."""
-    rows = materialize(docs.withColumn("row_", F.monotonically_increasing_id()), "secrets-rows")
-    spans = scan(rows, repo_col="row_", id_col="row_").select(F.col("doc_id").alias("at_"), F.col("all_spans").alias("spans_")).where("size(spans_) > 0")
-    marked = rows.join(spans, F.col("row_") == F.col("at_"), "left")
-    clean = F.expr("""
-        CASE WHEN spans_ IS NULL THEN text ELSE
-          aggregate(spans_, named_struct('at', 0, 'out', ''),
+    where the table has it and something was replaced.  Overlapping spans are replaced once, as their union."""
+    row, spans = fresh_name(docs, "row"), fresh_name(docs, "spans")
+    rows = materialize(docs.withColumn(row, F.monotonically_increasing_id()), "secrets-rows")
+    found = scan(rows.select(row, "text", "source"), id_col=row, repo_col=row).where("size(all_spans) > 0").select(F.col("doc_id").alias(row), F.col("all_spans").alias(spans))
+    clean = F.expr(f"""
+        CASE WHEN {spans} IS NULL THEN text ELSE
+          aggregate({spans}, named_struct('at', 0, 'out', ''),
             (s, x) -> named_struct('at', greatest(s.at, x.end),
               'out', CASE WHEN x.start < s.at THEN s.out ELSE concat(s.out, substring(text, s.at + 1, x.start - s.at), '[SECRET]') END),
             s -> concat(s.out, substring(text, s.at + 1, greatest(char_length(text) - s.at, 0)))) END""")
-    out = marked.withColumn("text", clean)
+    out = rows.join(found, row, "left").withColumn("text", clean)
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType))
+        out = out.withColumn("n_chars", F.when(F.col(spans).isNull(), F.col("n_chars")).otherwise(F.char_length("text").cast(docs.schema["n_chars"].dataType)))
     return out.select(*docs.columns)

@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_batches, materialize
+from .common import fresh_name, map_batches, materialize
 
 SHINGLE_WORDS = 4
 SEED = 42
@@ -202,8 +202,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def keep_one(docs: DataFrame) -> DataFrame:
     """The documents with one row of each near-duplicate group: that of its smallest doc_id
     (null ids last), and of rows that repeat it, one."""
-    rows = materialize(docs.withColumn("row_", F.monotonically_increasing_id()), "simhash-rows")
-    name = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col("row_").alias("row"))
+    row = fresh_name(docs, "row")
+    rows = materialize(docs.withColumn(row, F.monotonically_increasing_id()), "simhash-rows")
+    name = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col(row).alias("row"))
     found = near_duplicates(rows.select(name.alias("doc_id"), "text"))
-    kept = found.where("doc_id.row = component_id.row").select(F.col("doc_id.row").alias("kept_"))
-    return rows.join(kept, F.col("row_") == F.col("kept_"), "left_semi").select(*docs.columns)
+    kept = found.where("doc_id.row = component_id.row").select(F.col("doc_id.row").alias(row))
+    return rows.join(kept, row, "left_semi").select(*docs.columns)
