@@ -18,13 +18,16 @@ INFLATE = 1 << 20
 CHROMOSOMES = [*map(str, range(1, 23)), "X", "Y"]
 
 
-def _lines(spark: SparkSession, path: str) -> DataFrame:
-    """(path, line_no, line): line numbers of whole files, in file order."""
-    return spark.read.option("wholetext", True).text(path).select(F.input_file_name().alias("path"), F.posexplode(F.split("value", "\r?\n")).alias("line_no", "line")).where("line <> ''")
+def _numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(path, line_no, line) in file order; takes a file whole, so only for formats of which a
+    run writes small files and whose line numbers mean something."""
+    whole = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("path"), "value")
+    return whole.select("path", F.posexplode(F.split("value", "\r?\n")).alias("line_no", "line")).where("line <> ''")
 
 
-def _words(spark: SparkSession, path: str, separator: str = r"\s+") -> DataFrame:
-    return _lines(spark, path).withColumn("w", F.split(F.trim("line") if separator == r"\s+" else F.col("line"), separator))
+def _words(spark: SparkSession, path: str, separator: str = r"\s+", numbered: bool = False) -> DataFrame:
+    lines = _numbered_lines(spark, path) if numbered else spark.read.text(path).select(F.col("value").alias("line")).where("line <> ''")
+    return lines.withColumn("w", F.split(F.trim("line") if separator == r"\s+" else F.col("line"), separator))
 
 
 def _w(k: int, kind: str | None = None) -> Column:
@@ -64,7 +67,7 @@ def breakends(spark: SparkSession, path: str, style: str = "legacy") -> DataFram
     Styles: ``legacy`` (12 columns; negative score dropped), ``pairs`` (``chr:a-b`` twice;
     negative score dropped) and ``tabbed`` (no class or score).
     """
-    w = _words(spark, path)
+    w = _words(spark, path, numbered=True)
     if style == "legacy":
         w = w.where(_w(11, "double") >= 0)
         cols = [with_prefix(_w(0)), _w(1, "bigint"), _w(2, "bigint"), _flip(3), with_prefix(_w(4)), _w(5, "bigint"), _w(6, "bigint"), _flip(7), _w(8) == "GERMLINE", _w(9, "double")]
@@ -127,7 +130,7 @@ def vcf_somatic_snvs(spark: SparkSession, path: str) -> DataFrame:
 
 def segmentation(spark: SparkSession, path: str) -> DataFrame:
     """Segmentation output with a header: sample, chrom, start, finish, num_marks, value, name."""
-    w = _words(spark, path).where("line_no > 0")
+    w = _words(spark, path).where(_w(0) != "ID")
     chrom = F.concat(F.lit("chr"), F.element_at(F.array(*map(F.lit, CHROMOSOMES)), _w(1, "int")))
     mid = F.floor((_w(2, "double") + _w(3, "double")) / 2).cast("bigint")
     return w.select(_w(0).alias("sample"), chrom.alias("chrom"), _w(2, "double").cast("bigint").alias("start"), _w(3, "double").cast("bigint").alias("finish"), _w(4, "int").alias("num_marks"), _w(5, "double").alias("value"), F.concat_ws(":", F.lit("CNV"), chrom, mid.cast("string")).alias("name"))
@@ -192,7 +195,7 @@ def histories(spark: SparkSession, path: str) -> DataFrame:
 
 def history_stats(spark: SparkSession, path: str, stride: int = 10_000) -> DataFrame:
     """History statistics files: history_id (line number + stride * run), run and the costs."""
-    w = _words(spark, path, "\t")
+    w = _words(spark, path, "\t", numbered=True)
     run = F.regexp_extract("path", r"HISTORY_STATS_(\d+)", 1).try_cast("bigint")
     names = ["upper_cost", "lower_cost", "error", "length", "median_length", "max_length"]
     return w.select((F.col("line_no") + run * stride).alias("history_id"), run.alias("run"), *(_w(k, "bigint").alias(n) for k, n in enumerate(names)))
