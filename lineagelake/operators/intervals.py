@@ -61,8 +61,9 @@ def asof_finish(points: DataFrame, intervals: DataFrame) -> DataFrame:
     payload = [c for c in intervals.columns if c not in ("chrom",)]
     both = points.select("chrom", F.col("pos").alias("at"), F.lit(1).alias("side"), F.struct(*points.columns).alias("p"), F.lit(None).cast(intervals.select(F.struct(*payload)).schema[0].dataType).alias("i"))
     ends = intervals.select("chrom", F.col("r_finish").alias("at"), F.lit(2).alias("side"), F.lit(None).cast(points.select(F.struct(*points.columns)).schema[0].dataType).alias("p"), F.struct(*payload).alias("i"))
-    later = Window.partitionBy("chrom").orderBy("at", "side", "i").rowsBetween(Window.currentRow, Window.unboundedFollowing)
-    found = both.unionByName(ends).withColumn("i", F.first("i", ignorenulls=True).over(later)).where("side = 1")
+    # from the right, so that each row only looks at what is already behind it
+    later = Window.partitionBy("chrom").orderBy(F.desc("at"), F.desc("side"), F.desc("i")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    found = both.unionByName(ends).withColumn("i", F.last("i", ignorenulls=True).over(later)).where("side = 1")
     inside = F.col("i.r_start") <= F.col("at")
     return found.select("p.*", *(F.when(inside, F.col(f"i.{c}")).alias(c) for c in payload))
 
@@ -129,8 +130,9 @@ def border_margins(segments: DataFrame, probes: DataFrame) -> DataFrame:
     rows = segments.select("chrom", F.col("start").alias("at"), F.lit(1).alias("side"), "seg_id", F.lit(None).cast("bigint").alias("pos"))
     rows = rows.unionByName(segments.select("chrom", F.col("finish").alias("at"), F.lit(3).alias("side"), "seg_id", F.lit(None).cast("bigint").alias("pos")))
     rows = rows.unionByName(probes.select("chrom", F.col("pos").alias("at"), F.lit(2).alias("side"), F.lit(None).cast(segments.schema["seg_id"].dataType).alias("seg_id"), F.col("pos").cast("bigint").alias("pos")))
-    order = Window.partitionBy("chrom").orderBy("at", "side", "seg_id")
-    seen = rows.withColumn("before", F.last("pos", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))).withColumn("after", F.first("pos", ignorenulls=True).over(order.rowsBetween(Window.currentRow, Window.unboundedFollowing)))
+    left, right = Window.partitionBy("chrom").orderBy("at", "side", "seg_id"), Window.partitionBy("chrom").orderBy(F.desc("at"), F.desc("side"), F.desc("seg_id"))
+    nearest = lambda w: F.last("pos", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    seen = rows.withColumn("before", nearest(left)).withColumn("after", nearest(right))
     before = seen.where("side = 1").select("seg_id", "before")
     after = seen.where("side = 3").select("seg_id", "after")
     return segments.join(before, "seg_id").join(after, "seg_id").join(inside, "seg_id", "left").select("seg_id", "before", "first_in", "last_in", "after")
