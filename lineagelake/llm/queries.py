@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chat, decontam, langid, lm, quality, secret_scan, sharding, warc
+from . import bpe, chat, decontam, langid, lm, oracles, quality, secret_scan, sharding, warc
 from .common import read
 from .simhash import near_duplicates
 
@@ -68,4 +68,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """SQL twins; the others are held against brute force, the library or held-out text in tests/llm."""
+    return {
+        "op4_secret_scan": oracles.secrets(),
+        "op5_warc": oracles.warc(),
+        "op6_quality_rules": oracles.QUALITY,
+        "op7_chat_prefix_tree": oracles.CHAT,
+        "op8_benchmark_decontamination": oracles.DECONTAMINATION,
+    }
