@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .events import KEY, RUN_STRIDE, iteration_of, run_of
+from .events import KEY, iteration_of, run_of
+from .numbering import numbered
 
 
 def rank_fractions(occurrences: DataFrame, tie: tuple[str, ...] = (), by: str = "ord") -> DataFrame:
@@ -73,7 +74,7 @@ def confusion(events: DataFrame) -> DataFrame:
 def optimal_histories(stats: DataFrame) -> DataFrame:
     """The histories of least upper cost, numbered from 0."""
     least = stats.agg(F.min("upper_cost")).first()[0]
-    return stats.where(F.col("upper_cost") == least).withColumn("number", F.row_number().over(Window.orderBy("history_id")) - 1)
+    return numbered(stats.where(F.col("upper_cost") == least), ["history_id"])
 
 
 def length_stats(occurrences: DataFrame) -> DataFrame:
@@ -130,8 +131,9 @@ def merge_analyses(rows: DataFrame, name: str, numbers: list[str], partners: str
 def allelic_variance(ratios: DataFrame, order: list[str]) -> DataFrame:
     """Population variance of rows (low, high): the first half's low and the second half's
     high values, the halves cut in the rows' order."""
-    place = F.ntile(2).over(Window.orderBy(*order))
-    picked = ratios.withColumn("half", place).withColumn("x", F.when(F.col("half") == 1, F.col("low")).otherwise(F.col("high")))
+    rows = numbered(ratios, order)
+    half = F.when(F.col("number") < (rows.count() + 1) // 2, 1).otherwise(2)
+    picked = rows.withColumn("half", half).withColumn("x", F.when(F.col("half") == 1, F.col("low")).otherwise(F.col("high")))
     return picked.groupBy("half").agg(F.count(F.lit(1)).alias("n"), F.var_pop("x").alias("variance"))
 
 
@@ -139,10 +141,3 @@ def regression(points: DataFrame, by: str) -> DataFrame:
     """Least-squares line of y on x per ``by``: slope, intercept, r2."""
     return points.groupBy(by).agg(F.regr_slope("y", "x").alias("slope"), F.regr_intercept("y", "x").alias("intercept"), F.regr_r2("y", "x").alias("r2"), F.count(F.lit(1)).alias("n"))
 
-
-def weights(cost: Column, k: float) -> Column:
-    return F.when(cost != 0, F.exp(-k * cost)).otherwise(0.0)
-
-
-def history_number(run: Column, iteration: Column) -> Column:
-    return run * RUN_STRIDE + iteration

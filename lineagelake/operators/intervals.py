@@ -68,13 +68,22 @@ def asof_finish(points: DataFrame, intervals: DataFrame) -> DataFrame:
     return found.select("p.*", *(F.when(inside, F.col(f"i.{c}")).alias(c) for c in payload))
 
 
-def merge_overlapping(intervals: DataFrame, by: tuple[str, ...] = ("chrom",)) -> DataFrame:
-    """Islands of transitively overlapping (closed) intervals: by, start, finish, n."""
+def _islands(intervals: DataFrame, by: list[str]) -> DataFrame:
     order = Window.partitionBy(*by).orderBy("start", "finish")
     before = F.max("finish").over(order.rowsBetween(Window.unboundedPreceding, -1))
     marked = intervals.withColumn("new_", F.when(before.isNull() | (F.col("start") > before), 1).otherwise(0))
     island = F.sum("new_").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    return marked.withColumn("island_", island).groupBy(*by, "island_").agg(F.min("start").alias("start"), F.max("finish").alias("finish"), F.count(F.lit(1)).alias("n")).drop("island_")
+    return marked.withColumn("island_", island).groupBy(*by, "island_").agg(F.min("start").alias("start"), F.max("finish").alias("finish"), F.sum("n").alias("n")).drop("island_")
+
+
+def merge_overlapping(intervals: DataFrame, by: tuple[str, ...] = ("chrom",), width: int = 100 * BIN) -> DataFrame:
+    """Islands of transitively overlapping (closed) intervals: by, start, finish, n.
+
+    Intervals are merged among those that start in one bin, then the bins' islands among
+    themselves: the last step of a chromosome sorts islands, not intervals.
+    """
+    binned = intervals.select(*by, "start", "finish", F.lit(1).cast("bigint").alias("n"), _floor_bin(F.col("start"), width).alias("bin_"))
+    return _islands(_islands(binned, [*by, "bin_"]).drop("bin_"), list(by))
 
 
 def glue_gaps(intervals: DataFrame, tie: tuple[str, ...] = (), gap: int = 50) -> DataFrame:

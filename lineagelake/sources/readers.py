@@ -10,9 +10,11 @@ import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.numbering import numbered
+
 #: Bytes that the gunzip source inflates at once.
 INFLATE = 1 << 20
 CHROMOSOMES = [*map(str, range(1, 23)), "X", "Y"]
@@ -52,8 +54,8 @@ def chrom_lengths(spark: SparkSession, path: str, prefix: bool = True) -> DataFr
 
 def _numbered(df: DataFrame) -> DataFrame:
     """Breakends with their running number among the kept rows, as part of the id."""
-    n = F.row_number().over(Window.orderBy("path", "line_no")) - 1
-    return df.withColumn("breakend_id", F.concat(F.lit("BND"), n.cast("string"), F.lit(":"), F.col("chrom"), F.lit(":"), F.col("start").cast("string"))).drop("path", "line_no")
+    rows = numbered(df, ["path", "line_no"], "n_")
+    return rows.withColumn("breakend_id", F.concat(F.lit("BND"), F.col("n_").cast("string"), F.lit(":"), F.col("chrom"), F.lit(":"), F.col("start").cast("string"))).drop("path", "line_no", "n_")
 
 
 def _flip(k: int) -> Column:
