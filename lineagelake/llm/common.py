@@ -7,7 +7,9 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Documents in one Arrow batch: bounds a Python worker's memory when texts are long.
 BATCH_ROWS = 256
@@ -50,6 +52,19 @@ def map_batches(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator
     return df.mapInArrow(fn, schema)
 
 
+def with_row_ids(df: DataFrame, name: str) -> DataFrame:
+    """``df`` and a column ``name`` that names each row, the same whenever it is read again.
+
+    Rows straight from files are named by file and place.  Others are written to the shared
+    folder first, as a recomputed shuffle may deal them out in another order.
+    """
+    place = F.concat_ws(":", F.hex(F.xxhash64("_metadata.file_path")), F.col("_metadata.row_index").cast("string"))
+    try:
+        return df.select("*", place.alias(name))
+    except AnalysisException:  # not a plain scan of files
+        return materialize(df.withColumn(name, F.monotonically_increasing_id().cast("string")), "rows")
+
+
 def fresh_name(df: DataFrame, base: str) -> str:
     """``base``, lengthened until ``df`` has no column of that name."""
     taken = {c.lower() for c in df.columns}

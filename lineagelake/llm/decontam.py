@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh_name, map_batches, materialize
+from .common import fresh_name, map_batches, materialize, with_row_ids
 
 SHINGLE_WORDS, THRESHOLD = 5, 0.8
 #: log2 of the bits of each bitmap: 1 MB each, whatever the number of items.
@@ -187,6 +187,6 @@ def contained(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD, i
 def drop_contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
     """The rows, unchanged, of documents that contain no item; a null doc_id is judged like others."""
     row = fresh_name(docs, "row")
-    rows = materialize(docs.withColumn(row, F.monotonically_increasing_id()), "decontam-rows")
+    rows = with_row_ids(docs, row)
     bad = contained(rows.select(row, "text"), items, id_col=row).select(F.col("doc_id").alias(row)).distinct()
     return rows.join(bad, row, "left_anti").select(*docs.columns)

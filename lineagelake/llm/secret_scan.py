@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh_name, materialize
+from .common import fresh_name, materialize, with_row_ids
 
 #: Fixed values. Kind -> (pattern, group of the value, least length of the value).
 BASE = {
@@ -122,7 +122,7 @@ def redact(docs: DataFrame) -> DataFrame:
     """The rows with every span's characters replaced by ``[SECRET]``; ``n_chars`` follows
     where the table has it and something was replaced.  Overlapping spans are replaced once, as their union."""
     row, spans = fresh_name(docs, "row"), fresh_name(docs, "spans")
-    rows = materialize(docs.withColumn(row, F.monotonically_increasing_id()), "secrets-rows")
+    rows = with_row_ids(docs, row)
     found = scan(rows.select(row, "text", "source"), id_col=row, repo_col=row).where("size(all_spans) > 0").select(F.col("doc_id").alias(row), F.col("all_spans").alias(spans))
     clean = F.expr(f"""
         CASE WHEN {spans} IS NULL THEN text ELSE

@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh_name, map_batches, materialize
+from .common import fresh_name, map_batches, materialize, with_row_ids
 
 SHINGLE_WORDS = 4
 SEED = 42
@@ -203,7 +203,7 @@ def keep_one(docs: DataFrame) -> DataFrame:
     """The documents with one row of each near-duplicate group: that of its smallest doc_id
     (null ids last), and of rows that repeat it, one."""
     row = fresh_name(docs, "row")
-    rows = materialize(docs.withColumn(row, F.monotonically_increasing_id()), "simhash-rows")
+    rows = with_row_ids(docs, row)
     name = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col(row).alias("row"))
     found = near_duplicates(rows.select(name.alias("doc_id"), "text"))
     kept = found.where("doc_id.row = component_id.row").select(F.col("doc_id.row").alias(row))
