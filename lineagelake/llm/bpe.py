@@ -22,13 +22,14 @@ import duckdb
 import numpy as np
 import pyarrow as pa
 import regex
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import map_batches
 
 #: Cached pieces or words of a worker; beyond, the cache starts anew.
-MAX_CACHED = 400_000
+MAX_CACHED = 200_000
 #: Token rows that one decoding query takes, and of one document that one aggregate row takes.
 DECODE_ROWS, PART_ROWS = 400_000, 100_000
 DUCKDB_SETTINGS = {"threads": 1, "memory_limit": "400MB"}
@@ -182,15 +183,8 @@ def _worker() -> types.ModuleType:
     return sys.modules.setdefault("_lineagelake_worker", types.ModuleType("_lineagelake_worker"))
 
 
-def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, ids) of every row; ids: little-endian unsigned 32-bit token ids.
-
-    Each match of ``pattern`` is encoded on its own, a match that is a token at once;
-    there are no special tokens.  Null and empty texts give no ids.  Repeated rows are
-    encoded like others; other columns are left out.
-    """
-    kind = docs.schema[id_col].dataType.simpleString()
-    sent = docs.sparkSession.sparkContext.broadcast((load_ranks(ranks_path), pattern))
+def _encoding(sent: Broadcast):
+    """Batches (id, text) to batches (id, ids)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         state, encoder = _worker(), None
@@ -198,26 +192,26 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id
             if encoder is None:
                 key = hash(sent.value)
                 if getattr(state, "encoder_key", None) != key:
-                    state.encoder, state.encoder_key = Encoder(parse_ranks(sent.value[0]), pattern), key
+                    state.encoder, state.encoder_key = Encoder(parse_ranks(sent.value[0]), sent.value[1]), key
                 encoder = state.encoder
             ids = encoder.encode([t or "" for t in b.column(1).to_pylist()])
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([x.astype("<u4").tobytes() for x in ids], pa.binary())], names=["doc_id", "ids"])
 
-    return map_batches(docs.select(F.col(id_col), F.col(text_col)), run, f"doc_id {kind}, ids binary")
+    return run
 
 
-def decode(encoded: DataFrame, ranks_path: str) -> DataFrame:
-    """(doc_id, ids, decoded): the bytes that the ids stand for; no ids give no bytes."""
-    kind = encoded.schema["doc_id"].dataType.simpleString()
-    sent = encoded.sparkSession.sparkContext.broadcast(load_ranks(ranks_path))
+def _decoding(sent: Broadcast):
+    """Batches (id, ids) to batches (id, ids, decoded)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ranks = parse_ranks(sent.value)
+        ranks = parse_ranks(sent.value[0])
         db = duckdb.connect(config=DUCKDB_SETTINGS)
         db.execute("SET temp_directory = ''")
         # bytes as the characters U+0000 to U+00FF, for the string aggregate
         db.register("given", pa.table({"id": pa.array(ranks.values(), pa.uint32()), "piece": [t.decode("latin-1") for t in ranks]}))
         db.execute("CREATE TABLE vocab AS SELECT * FROM given")
+        db.unregister("given")
+        del ranks
         for b in batches:
             ids = [np.frombuffer(x or b"", "<u4") for x in b.column(1).to_pylist()]
             out: list[list[bytes]] = [[] for _ in ids]
@@ -232,8 +226,38 @@ def decode(encoded: DataFrame, ranks_path: str) -> DataFrame:
                         group, held = [], 0
             _join_bytes(db, group, out)
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([b"".join(x) for x in out], pa.binary())], names=["doc_id", "ids", "decoded"])
+        db.close()
+
+    return run
+
+
+def _send(df: DataFrame, ranks_path: str, pattern: str) -> Broadcast:
+    return df.sparkSession.sparkContext.broadcast((load_ranks(ranks_path), pattern))
+
+
+def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, ids) of every row; ids: little-endian unsigned 32-bit token ids.
+
+    Each match of ``pattern`` is encoded on its own, a match that is a token at once;
+    there are no special tokens.  Null and empty texts give no ids.  Repeated rows are
+    encoded like others; other columns are left out.
+    """
+    kind = docs.schema[id_col].dataType.simpleString()
+    return map_batches(docs.select(F.col(id_col), F.col(text_col)), _encoding(_send(docs, ranks_path, pattern)), f"doc_id {kind}, ids binary")
+
+
+def decode(encoded: DataFrame, ranks_path: str) -> DataFrame:
+    """(doc_id, ids, decoded): the bytes that the ids stand for; no ids give no bytes."""
+    kind = encoded.schema["doc_id"].dataType.simpleString()
+    return map_batches(encoded.select("doc_id", "ids"), _decoding(_send(encoded, ranks_path, "")), f"doc_id {kind}, ids binary, decoded binary")
+
 
-    return map_batches(encoded.select("doc_id", "ids"), run, f"doc_id {kind}, ids binary, decoded binary")
+def round_trip(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
+    """``decode(encode(docs))`` in one pass, so that a task needs one Python worker, not two."""
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    sent = _send(docs, ranks_path, pattern)
+    there, back = _encoding(sent), _decoding(sent)
+    return map_batches(docs.select("doc_id", "text"), lambda batches: back(there(batches)), f"doc_id {kind}, ids binary, decoded binary")
 
 
 def _join_bytes(db: duckdb.DuckDBPyConnection, group: list[tuple[int, np.ndarray]], out: list[list[bytes]]) -> None:

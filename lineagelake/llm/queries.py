@@ -60,7 +60,7 @@ def byte_bpe_50k() -> tuple[str, str]:
 
 def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path, pattern = byte_bpe_50k()
-    return bpe.with_digests(bpe.decode(bpe.encode(read(spark, sf_dir, "documents"), path, pattern), path))
+    return bpe.with_digests(bpe.round_trip(read(spark, sf_dir, "documents"), path, pattern))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -45,4 +45,5 @@ def test_round_trip(spark, library, monkeypatch):
         ids = library.encode_ordinary(t or "")
         want.append((i or -1, len(ids), sha(np.array(ids, "<u4").tobytes()), sha((t or "").encode())))
     assert got == sorted(want)
+    assert sorted((r.doc_id or -1, r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in bpe.with_digests(bpe.round_trip(df, PATH, PATTERN)).collect()) == got
     assert bpe.decode(bpe.encode(df.limit(0), PATH, PATTERN), PATH).count() == 0
