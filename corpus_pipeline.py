@@ -37,7 +37,7 @@ def remove_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token counts and digests of the ids and of the bytes that they decode to."""
     path, pattern = byte_bpe_50k()
-    return bpe.with_digests(bpe.decode(bpe.encode(docs, path, pattern), path))
+    return bpe.with_digests(bpe.round_trip(docs, path, pattern))
 
 
 STAGES = [
