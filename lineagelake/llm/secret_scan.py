@@ -5,7 +5,7 @@ them; running lengths give the places.  Kinds of ``BASE`` always stay.  Kinds of
 ``SHAPES`` are candidates by shape alone; whether such a value is a live-looking
 credential is decided by the corpus: the hash of each value is counted over distinct
 repositories and distinct owners, values that several owners hold are widely copied
-examples and only owner-specific ones become spans.
+examples and only owner-specific ones become spans, however often their owner repeats them.
 """
 
 from __future__ import annotations
@@ -30,7 +30,8 @@ SHAPES = {
 }
 #: Kinds in the order in which spans at one place are listed.
 KINDS = [*BASE, *SHAPES]
-#: A value of more distinct owners, or more distinct repositories, is widely copied.
+#: A value of more distinct owners is widely copied.  How many repositories one owner has copied it to says
+#: nothing against the owner; MAX_REPOS is the bound of the SQL twin, which ``scan`` only takes if told to.
 MAX_OWNERS, MAX_REPOS = 1, 100
 SPAN = "struct<start:int,rank:int,end:int,hash:string>"
 
@@ -93,16 +94,18 @@ def _listed(spans: str) -> Column:
     return F.expr(f"array_join(transform(array_sort({spans}), x -> concat(element_at(array({names}), x.rank + 1), ':', x.start, ':', x.end)), ',')")
 
 
-def scan(docs: DataFrame, max_owners: int = MAX_OWNERS, max_repos: int = MAX_REPOS, **columns: str) -> DataFrame:
+def scan(docs: DataFrame, max_owners: int = MAX_OWNERS, max_repos: int | None = None, **columns: str) -> DataFrame:
     """Every row's spans: doc_id, n_assign, n_access, n_hex, base_spans, spans (text:
     kind:start:end by start, then kind; code points, end exclusive), all_spans (array of
     start, rank, end, hash), n_copied and n_owned (spans whose value is widely copied, or not).
 
     Null and empty texts have no spans.  Repeated rows give repeated results; a
-    single-owner value repeated by one owner stays owner-specific.
+    single-owner value repeated by one owner stays owner-specific, unless ``max_repos`` bounds
+    the repositories that hold it.
     """
     found = materialize(find(docs, **columns), "secrets-found")
-    verdict = ownership(found).select("hash", ((F.col("owners") <= max_owners) & (F.col("repos") <= max_repos)).alias("owned"))
+    few = F.lit(True) if max_repos is None else F.col("repos") <= max_repos
+    verdict = ownership(found).select("hash", ((F.col("owners") <= max_owners) & few).alias("owned"))
     each = found.where("size(base) + size(shaped) > 0").select("row", F.explode(F.expr("concat(transform(base, x -> named_struct('s', x, 'stays', true)), transform(shaped, x -> named_struct('s', x, 'stays', false)))")).alias("x")).select("row", "x.s", "x.stays", F.col("x.s.hash").alias("hash"))
     judged = each.join(verdict, "hash").groupBy("row").agg(
         F.collect_list(F.when(~F.col("stays") & F.col("owned"), F.col("s"))).alias("added"),

@@ -44,6 +44,15 @@ def test_redaction(spark):
     assert secret_scan.redact(df.limit(0)).columns == df.columns
 
 
+def test_an_owners_copies_stay_secret_however_many(spark):
+    mine, shared = "ghp_" + "a1B2" * 9, "ghp_" + "Zz99" * 9
+    rows = [(k, f"x {mine} y", "ann") for k in range(150)] + [(k, shared, "ann" if k % 2 else "bob") for k in range(150, 300)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = {r.doc_id: (r.spans, r.n_copied, r.n_owned) for r in secret_scan.scan(df).collect()}
+    assert all(got[k] == ("github:2:42", 0, 1) for k in range(150)) and all(got[k] == ("", 1, 0) for k in range(150, 300))
+    assert {r.text for r in secret_scan.redact(df).where("doc_id < 150").collect()} == {"x [SECRET] y"}
+
+
 def test_empty_table(spark):
     df = spark.createDataFrame([], "doc_id long, text string, source string")
     assert secret_scan.scan(df).count() == 0
