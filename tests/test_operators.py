@@ -154,6 +154,31 @@ def test_partial_order(spark):
         sampling.topological_depth(df.union(spark.createDataFrame([(3, 1)], df.schema)))
 
 
+@pytest.mark.parametrize("span, share", [(5000, 0.5), (200_000, 0.1), (1000, 0.02)])
+def test_germline_fold_streams_the_plain_loop(spark, span, share):
+    r = random.Random(span)
+    rows = [(c, s, f, r.random() < share, k) for c, s, f, k in random_intervals(span, 400, span)]
+    want, kept, last = [], {}, {}
+    meets = lambda x, o: o is not None and x[1] < o[2] and x[2] > o[1]
+    for x in sorted(rows, key=lambda x: (x[1], x[2], x[4])):
+        mine = kept.setdefault(x[0], [])
+        if x[3]:
+            if mine and meets(x, mine[-1]):
+                mine.pop()
+            last[x[0]] = x
+        elif not meets(x, last.get(x[0])):
+            mine.append(x)
+    want = sorted((x[0], x[1], x[2], x[4]) for mine in kept.values() for x in mine)
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        got = sampling.germline_fold(spark.createDataFrame(rows, "chrom string, start long, finish long, germline boolean, call_id long"))
+        assert want and sorted(map(tuple, got.collect())) == want
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    assert "FlatMapGroupsInPandas" not in got._jdf.queryExecution().toString()  # no task holds a chromosome
+
+
 def test_linear_explanation(spark):
     rows = [("x", "a", True, k, 1.0) for k in range(6)] + [("x", "b", True, k, 1.0) for k in range(6, 12)] + [("x", "a+b", False, k, 1.0) for k in range(12)] + [("x", "part", False, k, 1.0) for k in range(2, 6)]
     got = {r.event: r.explained for r in sampling.explained(spark.createDataFrame(rows, "sample string, event string, missed boolean, edge long, value double")).collect()}
