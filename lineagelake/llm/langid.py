@@ -3,8 +3,9 @@
 The network reads windows of ``WINDOW`` bytes: filters of several widths over one-hot
 bytes (so a filter is a table look-up per position), max pooling over the window, and a
 softmax.  It is trained in numpy, on the driver, on a bounded sample of labelled rows
-(``per_lang`` documents of a language, ``WINDOWS_PER_DOC`` windows of each) and applied
-to every window of every text.
+(about ``per_lang`` documents of each language, ``WINDOWS_PER_DOC`` windows of each) and applied
+to every window of every text.  No language is left out, so the sample grows with the number of
+languages alone.
 """
 
 from __future__ import annotations
@@ -21,8 +22,8 @@ from .common import map_batches
 
 WINDOW, WIDTHS, FILTERS = 256, (2, 3, 4), 8
 WINDOWS_PER_DOC = 4
-#: Bound of the training sample: documents per language, and languages (the most frequent).
-PER_LANG, MAX_LANGS = 400, 256
+#: Bound of the training sample: documents of each language.
+PER_LANG = 400
 UNKNOWN = "und"
 _LOWER = bytes(range(256)).lower()
 
@@ -138,14 +139,19 @@ def is_held_out(doc_id: Column) -> Column:
 
 
 def sample_windows(docs: DataFrame, per_lang: int = PER_LANG) -> tuple[list[bytes], list[str]]:
-    """Training windows: up to about ``per_lang`` documents of each language, chosen by a
-    hash of the id over the whole table, and windows at hashed places of their whole texts."""
-    known = docs.where(~is_held_out(F.col("doc_id")) & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "text", "lang")
-    counts = known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGS).collect()
+    """Training windows: about ``per_lang`` documents of each language (all, of a rarer one), chosen by a
+    hash of id and text over the whole table, and windows at hashed places of their whole texts.
+
+    Equal rows count as one.  Each text falls into the sample on its own, with chance ``per_lang`` over the
+    language's rows, so twice ``per_lang`` is never met in practice, nothing is cut off, and the order of
+    rows does not matter.
+    """
+    known = docs.where(~is_held_out(F.col("doc_id")) & F.col("lang").isNotNull() & F.col("text").isNotNull()).select(F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 40)).alias("h"), "text", "lang")
+    counts = known.groupBy("lang").count().collect()
     if not counts:
         return [], []
     share = F.create_map([F.lit(v) for r in counts for v in (r["lang"], min(1.0, per_lang / r["count"]))])
-    chosen = known.withColumn("h", F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20))).where(F.col("h") < share[F.col("lang")] * (1 << 20))
+    chosen = known.where(F.col("h") < share[F.col("lang")] * (1 << 40))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -160,8 +166,7 @@ def sample_windows(docs: DataFrame, per_lang: int = PER_LANG) -> tuple[list[byte
                     out.append((h, lang, data[at : at + WINDOW]))
             yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in out], pa.int64()), pa.array([r[1] for r in out], pa.string()), pa.array([r[2] for r in out], pa.binary())], names=["h", "lang", "win"])
 
-    bound = 2 * per_lang * len(counts) * WINDOWS_PER_DOC
-    rows = sorted((r["h"], r["lang"], bytes(r["win"])) for r in map_batches(chosen.select("h", "text", "lang"), run, "h bigint, lang string, win binary").limit(bound).collect())
+    rows = sorted({(r["h"], r["lang"], bytes(r["win"])) for r in map_batches(chosen.select("h", "text", "lang"), run, "h bigint, lang string, win binary").distinct().collect()})
     return [r[2] for r in rows], [r[1] for r in rows]
 
 
@@ -175,7 +180,8 @@ def identify(docs: DataFrame, net: ByteCnn) -> DataFrame:
 
     ``und`` with score 0 where the text is null or has no letter, and everywhere if the
     network knows no language.  Only the text decides; ties go to the first language in
-    alphabetical order.
+    alphabetical order.  Repeated rows are judged like others, a null doc_id too; a text of any
+    length is read to its end, a few windows at a time.
     """
     kind = docs.schema["doc_id"].dataType.simpleString()
     sent = docs.sparkSession.sparkContext.broadcast(net)
