@@ -1,7 +1,7 @@
 """Byte-balanced shards by Karmarkar-Karp differencing.
 
 Rows with equal texts form a group that stays whole.  A group larger than a shard's
-fair share cannot, so it is cut into pieces (by a hash of the id) before balancing.
+fair share cannot, so it is cut into pieces (by row, whatever the ids) before balancing.
 Groups heavy enough to matter are balanced one by one; there are at most ``ATOMS`` of
 them because each holds at least 1/ATOMS of all bytes.  The others are gathered in
 ``ATOMS`` hash buckets.  So the driver differences at most a few times ``ATOMS`` sums,
@@ -54,7 +54,8 @@ def shard_by_bytes(docs: DataFrame, shards: int = 16, id_col: str = "doc_id", te
 
     size: UTF-8 bytes of the text plus 1; a null text has none and counts as empty, and is
     grouped apart from empty texts.  Slots number each shard's rows from 0 without gaps.
-    Repeated rows take a slot each; an empty table gives no rows.
+    Repeated rows and null ids take a slot each, and a large group of them is cut like any other;
+    texts of any length count by their bytes alone; an empty table gives no rows.
     """
     text = F.col(text_col)
     rows = materialize(
@@ -63,6 +64,8 @@ def shard_by_bytes(docs: DataFrame, shards: int = 16, id_col: str = "doc_id", te
             (F.coalesce(F.octet_length(text), F.lit(0)).cast("long") + 1).alias("size"),
             F.coalesce(F.crc32(text), F.lit(0).cast("long")).alias("text_crc32"),
             F.coalesce(F.sha2(text, 256), F.lit("")).alias("group"),
+            # written, so that a row keeps its number
+            F.monotonically_increasing_id().alias("row"),
         ),
         "shard-rows",
     )
@@ -74,25 +77,25 @@ def shard_by_bytes(docs: DataFrame, shards: int = 16, id_col: str = "doc_id", te
     pieces = {g: (-(-8 * n // fair) if n > fair else 1) for g, n in heavy.items()}
     spark = docs.sparkSession
     heavy_df = spark.createDataFrame([(g, p) for g, p in pieces.items()], "group string, pieces int")
-    atom = F.when(F.col("pieces").isNull(), F.concat(F.lit("b"), F.pmod(F.xxhash64("group"), F.lit(ATOMS)).cast("string"))).otherwise(F.concat_ws("/", F.col("group"), F.pmod(F.xxhash64("doc_id", F.lit(1)), F.col("pieces")).cast("string")))
-    marked = rows.join(F.broadcast(heavy_df), "group", "left").select("doc_id", "size", "text_crc32", atom.alias("atom"))
+    atom = F.when(F.col("pieces").isNull(), F.concat(F.lit("b"), F.pmod(F.xxhash64("group"), F.lit(ATOMS)).cast("string"))).otherwise(F.concat_ws("/", F.col("group"), F.pmod(F.xxhash64("row", F.lit(1)), F.col("pieces")).cast("string")))
+    marked = rows.join(F.broadcast(heavy_df), "group", "left").select("doc_id", "size", "text_crc32", "row", atom.alias("atom"))
     # at most ATOMS buckets, ATOMS heavy groups and 9 pieces of each of the few beyond a fair share
     sums = sorted((r["atom"], r["bytes"]) for r in marked.groupBy("atom").agg(F.sum("size").alias("bytes")).collect())
     part = karmarkar_karp([n for _, n in sums], shards)
     placed = marked.join(F.broadcast(spark.createDataFrame([(a, p) for (a, _), p in zip(sums, part)], "atom string, shard int")), "atom")
-    return number(placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard")).withColumn("grown_shard", F.lit(None).cast("int"))
+    return number(placed.select("doc_id", "size", "text_crc32", "row", F.lit("bytes").alias("law"), "shard")).withColumn("grown_shard", F.lit(None).cast("int"))
 
 
 def number(placed: DataFrame) -> DataFrame:
     """Add ``slot``: within each shard, hash buckets follow one another and rows are
-    numbered inside a bucket, so that no task sorts a whole shard."""
-    placed = materialize(placed.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "text_crc32", F.lit(2)), F.lit(1 << 16))), "shard-placed")
+    numbered inside a bucket, so that no task sorts a whole shard, nor all rows of one id."""
+    placed = materialize(placed.withColumn("bucket", F.pmod(F.xxhash64("row", F.lit(2)), F.lit(1 << 16))), "shard-placed")
     buckets = max(1, min(1 << 16, placed.count() // ROWS_PER_BUCKET))
     placed = placed.withColumn("bucket", F.pmod("bucket", F.lit(buckets)))
     # at most 65536 counts a shard
     counts = placed.groupBy("shard", "bucket").agg(F.count(F.lit(1)).alias("n"))
     before = F.sum("n").over(Window.partitionBy("shard").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1))
     counts = counts.select(F.col("shard").alias("s"), F.col("bucket").alias("b"), F.coalesce(before, F.lit(0)).alias("before"))
-    inside = F.row_number().over(Window.partitionBy("shard", "bucket").orderBy("doc_id", "text_crc32", "size"))
+    inside = F.row_number().over(Window.partitionBy("shard", "bucket").orderBy("row"))
     numbered = placed.withColumn("inside", inside)
     return numbered.join(counts, (F.col("shard") == F.col("s")) & (F.col("bucket") == F.col("b"))).select("doc_id", "size", "text_crc32", "law", "shard", (F.col("inside") - 1 + F.col("before")).cast("long").alias("slot"))

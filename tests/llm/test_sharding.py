@@ -1,3 +1,4 @@
+import itertools
 import random
 import zlib
 
@@ -48,3 +49,37 @@ def test_a_group_of_a_third_is_cut(spark):
 def test_few_rows_and_none(spark):
     assert len(check(spark, [(1, "one")])) == 1
     assert sharding.shard_by_bytes(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_differencing_equals_a_plain_version():
+    """Two parts: repeatedly replace the two largest numbers by their difference; what stays is the spread."""
+    r = random.Random(4)
+    for n in range(1, 12):
+        sizes = [r.randrange(1, 100) for _ in range(n)]
+        left = sorted(sizes)
+        while len(left) > 1:
+            a, b = left.pop(), left.pop()
+            left = sorted([*left, a - b])
+        part = sharding.karmarkar_karp(sizes, 2)
+        assert abs(sum(s if p else -s for s, p in zip(sizes, part))) == left[0]
+
+
+def test_near_the_best_partition_of_few_sizes():
+    r = random.Random(5)
+    for _ in range(20):
+        sizes = [r.randrange(1, 50) for _ in range(7)]
+        top = lambda part: max(sum(s for s, p in zip(sizes, part) if p == k) for k in range(3))
+        best = min(map(top, itertools.product(range(3), repeat=7)))
+        assert top(sharding.karmarkar_karp(sizes, 3)) <= 1.25 * best
+
+
+def test_a_hot_group_without_ids_is_cut(spark):
+    rows = [(None, "hot text") for _ in range(3000)] + [(10_000 + k, f"text {k:04d}") for k in range(6000)]
+    got = check(spark, rows)
+    sums = [sum(x.size for x in got if x.shard == k) for k in range(16)]
+    assert max(sums) - min(sums) <= 0.05 * sum(sums) / 16
+
+
+def test_a_very_long_text(spark):
+    got = check(spark, [(1, "é" * 2_000_000), (2, "a"), (2, "a"), (3, None)], shards=2)
+    assert next(r.size for r in got if r.doc_id == 1) == 4_000_001
