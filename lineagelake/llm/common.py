@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -20,26 +21,53 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir`` where the cluster names
-    one; a local folder is made only where that setting is absent, as in tests."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = spark.conf.get("spark.lineagelake.scratch", None)
+    """The folder all executors share: ``spark.checkpoint.dir``.  Where the setting is absent, a
+    session with one machine (a ``local`` master) gets a temporary folder; any other is refused."""
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.lineagelake.scratch", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="lineagelake-")
         spark.conf.set("spark.lineagelake.scratch", folder)
     return folder.rstrip("/")
 
 
+_scratch: list[list[str]] = []
+
+
+def write_shared(df: DataFrame, label: str) -> tuple[DataFrame, str]:
+    """``df`` written as a Parquet table in the shared folder and read back, and its path."""
+    path = f"{shared_dir(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), path
+
+
 def materialize(df: DataFrame, label: str = "stage") -> DataFrame:
     """Write ``df`` as a Parquet table in the shared folder and read it back.
 
     Cuts the lineage: later stages re-read files instead of recomputing, so a lost
     executor costs only its running tasks.
     """
-    path = f"{shared_dir(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out, path = write_shared(df, label)
+    if _scratch:
+        _scratch[-1].append(path)
+    return out
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
+@contextlib.contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Tables that ``materialize`` writes within are deleted at the end: results must be written by then."""
+    _scratch.append([])
+    try:
+        yield
+    finally:
+        for path in _scratch.pop():
+            remove(spark, path)
 
 
 def shuffle_partitions(spark: SparkSession) -> int:
@@ -47,22 +75,35 @@ def shuffle_partitions(spark: SparkSession) -> int:
 
 
 def map_batches(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-    """``mapInArrow`` with batches small enough for very long texts."""
+    """``mapInArrow`` with batches small enough for very long texts.
+
+    Spark reads the size of batches from the session when the query runs, so the setting stays:
+    later queries of the session have small batches, too.
+    """
     df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     return df.mapInArrow(fn, schema)
 
 
+def _is_plain_scan(df: DataFrame) -> bool:
+    """Whether each row of ``df`` is a row of a file, so that no two rows have one place."""
+    plan = df._jdf.queryExecution().optimizedPlan()
+    while plan.nodeName() in ("Project", "Filter"):
+        plan = plan.children().head()
+    return plan.nodeName() == "LogicalRelation"
+
+
 def with_row_ids(df: DataFrame, name: str) -> DataFrame:
     """``df`` and a column ``name`` that names each row, the same whenever it is read again.
 
     Rows straight from files are named by file and place.  Others are written to the shared
-    folder first, as a recomputed shuffle may deal them out in another order.
+    folder first, as a recomputed shuffle may deal them out in another order and a row that was
+    exploded or joined has no place of its own.
     """
-    place = F.concat_ws(":", F.hex(F.xxhash64("_metadata.file_path")), F.col("_metadata.row_index").cast("string"))
-    try:
-        return df.select("*", place.alias(name))
-    except AnalysisException:  # not a plain scan of files
-        return materialize(df.withColumn(name, F.monotonically_increasing_id().cast("string")), "rows")
+    if _is_plain_scan(df):
+        place = F.concat_ws(":", F.hex(F.xxhash64("_metadata.file_path")), F.col("_metadata.row_index").cast("string"))
+        with contextlib.suppress(AnalysisException):  # a source without file metadata
+            return df.select("*", place.alias(name))
+    return materialize(df.withColumn(name, F.monotonically_increasing_id().cast("string")), "rows")
 
 
 def fresh_name(df: DataFrame, base: str) -> str:

@@ -1,7 +1,7 @@
 """Secret scanning with corpus-wide ownership frequency, in SQL functions only.
 
 Spans come from two scans of each kind's pattern: all matches, and the text between
-them; running lengths give the places.  Kinds of ``BASE`` always stay.  Kinds of
+them; running sums of their lengths (a window per text and kind) give the places.  Kinds of ``BASE`` always stay.  Kinds of
 ``SHAPES`` are candidates by shape alone; whether such a value is a live-looking
 credential is decided by the corpus: the hash of each value is counted over distinct
 repositories and distinct owners, values that several owners hold are widely copied
@@ -10,7 +10,7 @@ examples and only owner-specific ones become spans, however often their owner re
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import fresh_name, materialize, with_row_ids
@@ -31,8 +31,10 @@ SHAPES = {
 #: Kinds in the order in which spans at one place are listed.
 KINDS = [*BASE, *SHAPES]
 #: A value of more distinct owners is widely copied.  How many repositories one owner has copied it to says
-#: nothing against the owner; MAX_REPOS is the bound of the SQL twin, which ``scan`` only takes if told to.
-MAX_OWNERS, MAX_REPOS = 1, 100
+#: nothing against the owner.
+MAX_OWNERS = 1
+#: Characters of a block of text that redaction cuts pieces from.
+BLOCK = 8192
 SPAN = "struct<start:int,rank:int,end:int,hash:string>"
 
 
@@ -52,29 +54,23 @@ def _matches(kind: str) -> list[Column]:
     ]
 
 
-def _spans(kind: str) -> Column:
-    """array<SPAN> of a kind's matches, leftmost and non-overlapping, of enough length."""
+def _hits(kind: str) -> Column:
+    """array<HIT> of a kind's matches, leftmost and non-overlapping; no hash where the value is too short."""
     least, rank = (BASE | SHAPES)[kind][2], KINDS.index(kind)
-    whole, value, gap = f"x.whole_{kind}", f"x.value_{kind}", f"x.gap_{kind}"
-    return F.expr(f"""
-        aggregate(
-          arrays_zip(whole_{kind}, value_{kind}, gap_{kind}),
-          named_struct('at', 0, 'out', CAST(array() AS array<{SPAN}>)),
-          (s, x) -> CASE WHEN {whole} IS NULL THEN s ELSE named_struct(
-            'at', s.at + char_length({gap}) + char_length({whole}),
-            'out', CASE WHEN char_length({value}) < {least} THEN s.out ELSE array_append(s.out, named_struct(
-              'start', s.at + char_length({gap}), 'rank', {rank}, 'end', s.at + char_length({gap}) + char_length({whole}), 'hash', sha2({value}, 256))) END) END,
-          s -> s.out)""")
+    zipped = f"filter(arrays_zip(whole_{kind}, value_{kind}, gap_{kind}), x -> x.whole_{kind} IS NOT NULL)"
+    return F.expr(f"""transform({zipped}, (x, i) -> named_struct('rank', {rank}, 'i', i, 'before', char_length(x.gap_{kind}), 'whole', char_length(x.whole_{kind}),
+          'hash', IF(char_length(x.value_{kind}) < {least}, NULL, sha2(x.value_{kind}, 256))))""")
 
 
 def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source", repo_col: str = "doc_id") -> DataFrame:
-    """(row, doc_id, owner, repo, base, shaped) of every row; ``row`` numbers the rows and
-    ``base`` and ``shaped`` are arrays of spans with the hashes of their values, never the values."""
+    """(row, doc_id, owner, repo, hits) of every row; ``row`` numbers the rows and ``hits`` is an array
+    of matches: kind, number, the characters since the last match and its own, and the hash of its
+    value, never the value."""
     carried = ["doc_id", "owner", "repo"]
     text = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), F.col(owner_col).cast("string").alias("owner"), F.col(repo_col).cast("string").alias("repo"))
     hits = text.select(*carried, "text", *(F.expr(f"text RLIKE '{_literal((BASE | SHAPES)[k][0])}'").alias(f"hit_{k}") for k in KINDS))
     matches = hits.select(*carried, *(c for k in KINDS for c in _matches(k)))
-    return matches.select(*carried, F.concat(*map(_spans, BASE)).alias("base"), F.concat(*map(_spans, SHAPES)).alias("shaped"), F.monotonically_increasing_id().alias("row"))
+    return matches.select(*carried, F.concat(*map(_hits, KINDS)).alias("hits"), F.monotonically_increasing_id().alias("row"))
 
 
 def ownership(found: DataFrame) -> DataFrame:
@@ -83,7 +79,7 @@ def ownership(found: DataFrame) -> DataFrame:
     A null owner or repository counts as none; partial distinct sums go to the shuffle, so a
     value that a third of all rows holds is spread over its owners and repositories.
     """
-    held = found.select(F.explode(F.concat("base", "shaped")).alias("s"), "owner", "repo").select(F.col("s.hash").alias("hash"), "owner", "repo")
+    held = found.select(F.explode("hits").alias("s"), "owner", "repo").select(F.col("s.hash").alias("hash"), "owner", "repo").where("hash IS NOT NULL")
     owners = held.select("hash", "owner").distinct().groupBy("hash").agg(F.count("owner").alias("owners"))
     repos = held.select("hash", "repo").distinct().groupBy("hash").agg(F.count("repo").alias("repos"))
     return owners.join(repos, "hash")
@@ -91,7 +87,7 @@ def ownership(found: DataFrame) -> DataFrame:
 
 def _listed(spans: str) -> Column:
     names = ", ".join(f"'{k}'" for k in KINDS)
-    return F.expr(f"array_join(transform(array_sort({spans}), x -> concat(element_at(array({names}), x.rank + 1), ':', x.start, ':', x.end)), ',')")
+    return F.expr(f"array_join(transform({spans}, x -> concat(element_at(array({names}), x.rank + 1), ':', x.start, ':', x.end)), ',')")
 
 
 def scan(docs: DataFrame, max_owners: int = MAX_OWNERS, max_repos: int | None = None, **columns: str) -> DataFrame:
@@ -101,20 +97,28 @@ def scan(docs: DataFrame, max_owners: int = MAX_OWNERS, max_repos: int | None =
 
     Null and empty texts have no spans.  Repeated rows give repeated results; a
     single-owner value repeated by one owner stays owner-specific, unless ``max_repos`` bounds
-    the repositories that hold it.
+    the repositories that hold it.  Spans of several kinds at one place follow in the order of ``KINDS``.
+    A text's spans are put in order by themselves, so work grows with their number.
     """
     found = materialize(find(docs, **columns), "secrets-found")
     few = F.lit(True) if max_repos is None else F.col("repos") <= max_repos
     verdict = ownership(found).select("hash", ((F.col("owners") <= max_owners) & few).alias("owned"))
-    each = found.where("size(base) + size(shaped) > 0").select("row", F.explode(F.expr("concat(transform(base, x -> named_struct('s', x, 'stays', true)), transform(shaped, x -> named_struct('s', x, 'stays', false)))")).alias("x")).select("row", "x.s", "x.stays", F.col("x.s.hash").alias("hash"))
+    so_far = Window.partitionBy("row", "rank").orderBy("i").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    each = found.select("row", F.explode("hits").alias("h")).select("row", "h.*").withColumn("end", F.sum(F.col("before") + F.col("whole")).over(so_far).cast("int")).where("hash IS NOT NULL")
+    span = F.struct((F.col("end") - F.col("whole")).alias("start"), "rank", "end", "hash")
+    stays = F.col("rank") < len(BASE)
     judged = each.join(verdict, "hash").groupBy("row").agg(
-        F.collect_list(F.when(~F.col("stays") & F.col("owned"), F.col("s"))).alias("added"),
+        F.array_sort(F.collect_list(F.when(stays, span))).alias("base"),
+        F.array_sort(F.collect_list(F.when(stays | F.col("owned"), span))).alias("all_spans"),
+        *(F.count_if(F.col("rank") == KINDS.index(k)).alias(f"n_{k}") for k in BASE),
         F.count_if(~F.col("owned")).alias("n_copied"),
         F.count_if("owned").alias("n_owned"),
     )
-    count = lambda k: F.expr(f"CAST(size(filter(base, x -> x.rank = {KINDS.index(k)})) AS bigint)").alias(f"n_{k}")
-    out = found.join(judged, "row", "left").withColumn("all_spans", F.expr(f"array_sort(concat(base, coalesce(added, CAST(array() AS array<{SPAN}>))))"))
-    return out.select("row", "doc_id", *map(count, BASE), _listed("base").alias("base_spans"), _listed("all_spans").alias("spans"), "all_spans", F.coalesce("n_copied", F.lit(0).cast("long")).alias("n_copied"), F.coalesce("n_owned", F.lit(0).cast("long")).alias("n_owned"))
+    out = found.select("row", "doc_id").join(judged, "row", "left")
+    for c in ("base", "all_spans"):
+        out = out.withColumn(c, F.coalesce(c, F.expr(f"CAST(array() AS array<{SPAN}>)")))
+    count = lambda c: F.coalesce(c, F.lit(0).cast("long")).alias(c)
+    return out.select("row", "doc_id", *(count(f"n_{k}") for k in BASE), _listed("base").alias("base_spans"), _listed("all_spans").alias("spans"), "all_spans", count("n_copied"), count("n_owned"))
 
 
 def with_digests(scanned: DataFrame) -> DataFrame:
@@ -123,17 +127,20 @@ def with_digests(scanned: DataFrame) -> DataFrame:
 
 def redact(docs: DataFrame) -> DataFrame:
     """The rows with every span's characters replaced by ``[SECRET]``; ``n_chars`` follows
-    where the table has it and something was replaced.  Overlapping spans are replaced once, as their union."""
-    row, spans = fresh_name(docs, "row"), fresh_name(docs, "spans")
+    where the table has it and something was replaced.  Overlapping spans are replaced once, as their
+    union; null and empty texts and repeated rows stay as they are."""
+    row, cuts, last = fresh_name(docs, "row"), fresh_name(docs, "cuts"), fresh_name(docs, "last")
     rows = with_row_ids(docs, row)
-    found = scan(rows.select(row, "text", "source"), id_col=row, repo_col=row).where("size(all_spans) > 0").select(F.col("doc_id").alias(row), F.col("all_spans").alias(spans))
-    clean = F.expr(f"""
-        CASE WHEN {spans} IS NULL THEN text ELSE
-          aggregate({spans}, named_struct('at', 0, 'out', ''),
-            (s, x) -> named_struct('at', greatest(s.at, x.end),
-              'out', CASE WHEN x.start < s.at THEN s.out ELSE concat(s.out, substring(text, s.at + 1, x.start - s.at), '[SECRET]') END),
-            s -> concat(s.out, substring(text, s.at + 1, greatest(char_length(text) - s.at, 0)))) END""")
-    out = rows.join(found, row, "left").withColumn("text", clean)
+    spans = scan(rows.select(row, "text", "source"), id_col=row, repo_col=row).select(F.col("doc_id").alias("r"), F.explode("all_spans").alias("s")).select("r", "s.start", "s.rank", "s.end")
+    before = F.coalesce(F.max("end").over(Window.partitionBy("r").orderBy("start", "rank").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    # the clear text before each run of overlapping spans, and where the last run ends
+    runs = spans.withColumn("from", before).groupBy("r").agg(F.array_sort(F.collect_list(F.when(F.col("start") >= F.col("from"), F.struct("from", "start")))).alias(cuts), F.max("end").alias(last))
+    # the text in blocks, so that a piece is found without reading the text from its start
+    at = lambda side: f"least(greatest({side} - k * {BLOCK}, 0), {BLOCK})"
+    piece = f"array_join(transform(sequence(x.from div {BLOCK}, x.start div {BLOCK}), k -> substring(b[k], {at('x.from')} + 1, {at('x.start')} - {at('x.from')})), '')"
+    blocks = f"transform(sequence(0, char_length(text) div {BLOCK}), k -> substring(text, k * {BLOCK} + 1, {BLOCK}))"
+    clean = F.expr(f"transform(array({blocks}), b -> array_join(transform(concat({cuts}, array(named_struct('from', {last}, 'start', char_length(text)))), x -> {piece}), '[SECRET]'))[0]")
+    out = rows.join(runs.withColumnRenamed("r", row), row, "left").withColumn("text", F.when(F.col(last).isNull(), F.col("text")).otherwise(clean))
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col(spans).isNull(), F.col("n_chars")).otherwise(F.char_length("text").cast(docs.schema["n_chars"].dataType)))
+        out = out.withColumn("n_chars", F.when(F.col(last).isNull(), F.col("n_chars")).otherwise(F.char_length("text").cast(docs.schema["n_chars"].dataType)))
     return out.select(*docs.columns)

@@ -56,3 +56,32 @@ def test_an_owners_copies_stay_secret_however_many(spark):
 def test_empty_table(spark):
     df = spark.createDataFrame([], "doc_id long, text string, source string")
     assert secret_scan.scan(df).count() == 0
+
+
+def test_many_spans_take_linear_time(spark):
+    import time
+
+    text = " ".join(f"{k:032x}" for k in range(30_000))
+    df = spark.createDataFrame([(1, text, "s"), (1, text, "s")], "doc_id long, text string, source string")
+    began = time.perf_counter()
+    got = secret_scan.with_digests(secret_scan.scan(df)).collect()
+    assert time.perf_counter() - began < 30
+    assert [r.n_hex for r in got] == [30_000] * 2 and got[0].base_sha256 == hashlib.sha256(base_spans(text).encode()).hexdigest()
+    assert {r.text for r in secret_scan.redact(df).collect()} == {" ".join(["[SECRET]"] * 30_000)}
+
+
+def test_overlapping_kinds_are_redacted_once(spark):
+    rows = [(1, f"token={HEX}-tail end", "s"), (2, f"{HEX}", "s"), (3, "", "s")]
+    got = {r.doc_id: r.text for r in secret_scan.redact(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()}
+    assert got == {1: "[SECRET] end", 2: "[SECRET]", 3: ""}
+
+
+def test_rows_without_a_place_of_their_own(spark, sf_dir):
+    """Rows that an explode repeats are redacted each once."""
+    from pyspark.sql import functions as F
+
+    from lineagelake.llm.common import read
+
+    docs = read(spark, sf_dir, "documents")
+    twice = docs.withColumn("copy", F.explode(F.array(F.lit(1), F.lit(2))))
+    assert secret_scan.redact(twice).count() == 2 * docs.count()
