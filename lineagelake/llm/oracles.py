@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .secret_scan import BASE, KINDS, MAX_OWNERS, MAX_REPOS, SHAPES
+from .secret_scan import BASE, KINDS, MAX_OWNERS, SHAPES
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _WORD = r"'[^\x20\x09-\x0D]+'"
@@ -21,7 +21,7 @@ def secrets() -> str:
         )
     listed = "string_agg({0}concat(kind, ':', s::bigint, ':', (s + n)::bigint), ',' ORDER BY s, rank) FILTER ({1})"
     return f"""WITH d AS (SELECT doc_id, source, coalesce(text, '') AS t FROM documents), found AS ({' UNION ALL '.join(parts)}),
-      own AS (SELECT value, count(DISTINCT owner) <= {MAX_OWNERS} AND count(DISTINCT doc_id) <= {MAX_REPOS} AS owned FROM found GROUP BY value),
+      own AS (SELECT value, count(DISTINCT owner) <= {MAX_OWNERS} AS owned FROM found GROUP BY value),
       j AS (SELECT * FROM found JOIN own USING (value)),
       per AS (SELECT doc_id, count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (kind = 'access') AS n_access, count(*) FILTER (kind = 'hex') AS n_hex,
         {listed.format('', 'base')} AS b, {listed.format('', 'base OR owned')} AS spans, count(*) FILTER (NOT owned) AS n_copied, count(*) FILTER (owned) AS n_owned FROM j GROUP BY doc_id)
@@ -41,10 +41,13 @@ QUALITY = rf"""WITH d AS (SELECT doc_id, coalesce(text, '') AS t, regexp_extract
   rep AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest(range(i, i + 8)) AS p FROM again) b GROUP BY doc_id),
   m AS (SELECT d.doc_id, len(ws) AS n_words, coalesce(list_sum(list_transform(ws, lambda w: length(w))), 0)::bigint AS word_chars, length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS n_symbols,
       list_filter(string_split(t, chr(10)), lambda l: regexp_matches(l, '[^\x20\x09-\x0D]')) AS ls, coalesce(rep.n, 0) AS n_repeat_words,
-      length(regexp_replace(t, '[^\p{{L}}]', '', 'g')) AS letters, length(regexp_replace(t, '[^\p{{Lu}}]', '', 'g')) AS upper FROM d LEFT JOIN rep ON rep.doc_id = d.doc_id),
+      length(regexp_replace(t, '[^\p{{L}}]', '', 'g')) AS letters, length(regexp_replace(t, '[^\p{{Lu}}]', '', 'g')) AS upper,
+      len(list_distinct(ws)) AS n_distinct, len(list_filter(ws, lambda w: regexp_matches(w, '\p{{L}}'))) AS n_letter_words, coalesce(list_max(map_values(list_aggregate(list_transform(range(1, len(ws)), lambda i: ws[i] || ' ' || ws[i + 1]), 'histogram'))), 0) AS n_top_pair FROM d LEFT JOIN rep ON rep.doc_id = d.doc_id),
   f AS (SELECT *, len(ls) - len(list_distinct(ls)) AS n_dup_lines, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM m)
   SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines::bigint AS n_dup_lines, n_repeat_words, base_failed,
-    NOT base_failed AND word_chars BETWEEN 2 * n_words AND 20 * n_words AND n_symbols <= 0.5 * n_words AND n_dup_lines <= 0.5 * len(ls) AND letters >= 0.5 * word_chars AND upper <= 0.7 * letters AS kept FROM f"""
+    NOT base_failed AND word_chars BETWEEN 2 * n_words AND 20 * n_words AND n_symbols <= 0.5 * n_words AND n_dup_lines <= 0.5 * len(ls) AND letters >= 0.5 * word_chars AND upper <= 0.7 * letters
+      AND n_distinct >= 0.02 * n_words AND n_letter_words >= 0.5 * n_words AND n_top_pair <= 0.2 * n_words
+      AND len(list_filter(ls, lambda l: regexp_matches(l, '^[\x20\t]*[-*•]'))) <= 0.9 * len(ls) AND len(list_filter(ls, lambda l: regexp_matches(l, '(\.\.\.|…)[\x20\t\r]*$'))) <= 0.5 * len(ls) AS kept FROM f"""
 
 CHAT = r"""WITH c AS (SELECT conv_id, turn, role, text FROM conversations UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'),
   t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM c)
