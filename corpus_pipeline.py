@@ -10,27 +10,28 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from lineagelake.llm import bpe, decontam, langid, secret_scan, simhash
-from lineagelake.llm.common import materialize, read
+from lineagelake.llm.common import read, remove, scratch, write_shared
 from lineagelake.llm.queries import byte_bpe_50k
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a recognisable language go."""
+    """Documents without a recognisable language go: null and empty texts and those without a letter, too."""
     return langid.keep_identified(docs, langid.fit(docs))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group stays."""
+    """One document of each near-duplicate group stays, that of the smallest doc_id (null last); of
+    repeated rows, one."""
     return simhash.keep_one(docs)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that contain a benchmark item go."""
+    """Documents that contain a benchmark item go; each row is judged by its own text."""
     return decontam.drop_contaminated(docs, read(spark, sf_dir, "benchmark"))
 
 
 def remove_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Secrets inside texts are replaced; every document stays."""
+    """Secrets inside texts are replaced; every document stays, with a null or empty text as it is."""
     return secret_scan.redact(docs)
 
 
@@ -53,7 +54,16 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read(spark, sf_dir, "documents")
+    """Token counts and digests of every document that the stages keep.
+
+    Each stage's tables go once the next one has read them.  Repeated rows, null ids, null and empty
+    texts pass through as each stage states; an empty table gives no rows.
+    """
+    docs, before = read(spark, sf_dir, "documents"), None
     for name, stage in STAGES[:-1]:
-        docs = materialize(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        with scratch(spark):
+            docs, path = write_shared(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        if before:
+            remove(spark, before)
+        before = path
     return STAGES[-1][1](spark, docs, sf_dir)
