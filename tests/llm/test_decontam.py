@@ -1,6 +1,8 @@
 import math
 import random
 
+import pytest
+
 from lineagelake.llm import decontam
 
 
@@ -20,7 +22,10 @@ def brute(docs, items):
     return out
 
 
-def test_equals_brute_force(spark):
+@pytest.mark.parametrize("broadcast", [True, False])
+def test_equals_brute_force(spark, monkeypatch, broadcast):
+    if not broadcast:
+        monkeypatch.setattr(decontam, "MAX_BROADCAST", 0)
     r = random.Random(4)
     text = lambda n: " ".join(f"w{r.randrange(300)}" for _ in range(n))
     items = [(k, text(r.choice([1, 3, 5, 6, 12, 30, 60]))) for k in range(40)] + [(50, None), (51, ""), (52, "a b"), (52, "another text of the same id"), (None, "null id item text of words")]
@@ -38,11 +43,25 @@ def test_equals_brute_force(spark):
     assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-12 for k in want) and len(want) > 20
 
 
-def test_sketch_size_is_enough():
-    for q in range(1, 300):
-        need = math.ceil(0.8 * q - 1e-9)
-        k = decontam.sketch_size(q)
-        assert k == q - need + 1 and 1 <= k <= q
+def test_every_container_is_a_candidate():
+    """Whatever an item's shingles a document misses, as far as it may, enough of its sketch stays."""
+    for q in range(1, 600):
+        p = decontam.partition_of(q)
+        assert 1 << p <= q < 2 << p
+        k = min(decontam.sketch_size(p), q)
+        missed = q - math.ceil(0.8 * q - 1e-9)
+        assert k - missed >= min(decontam.needed_hits(p), k - missed) >= 1
+
+
+def test_partitions_are_searched_apart(spark):
+    """A document that meets a common shingle of many items, but no item's sketch often enough, returns nothing."""
+    items = spark.createDataFrame([(k, "the same five common words " + " ".join(f"i{k}x{j}" for j in range(40))) for k in range(20)], "item_id long, text string")
+    index = decontam.index_of(decontam.item_shingles(items))
+    hashes = decontam.Shingler().hashes
+    assert index.needs == {5: 8}
+    assert len(index.search(hashes("here are the same five common words again"))[0]) == 0
+    places, candidate = index.search(hashes("before it " + items.first().text + " and after"))
+    assert candidate == 1 << 5 and len(places) == 41
 
 
 def test_drop(spark):
