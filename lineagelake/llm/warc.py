@@ -1,12 +1,13 @@
 """WARC archives as a chunked record table.
 
-A record larger than ``CHUNK_CHARS`` becomes several rows (record identifier, chunk
-number, piece), written as a segmented WARC record: the first piece under ``response``,
-the others under ``continuation``.  No row, and no step of writing or reading, needs an
-oversized payload in one piece; digests are carried from chunk to chunk.
-
-Archives are written and read by Spark's text source, which gives atomic commits and
-splittable files on any store: a record's last CRLF CRLF is the line separator, and the
+``chunk_table`` streams each payload as rows (record, chunk number, piece): a payload of more than
+``CHUNK_BYTES`` is cut into several, straight from the buffer in which Arrow hands it over, and the
+digest and the length are carried from chunk to chunk.  A record of several chunks becomes a segmented
+WARC record: the first piece under ``response``, the others under ``continuation``; the last states
+the payload's digest and length.  Neither writing nor reading puts chunks together again.
+
+Archives are written and read by Spark's text source, which gives atomic commits and, as they
+are not compressed, files that many tasks can split: a record's last CRLF CRLF is the line separator, and the
 reader's separator is that plus the next record's version line.  Payload pieces are cut
 inside that version line, so it never occurs within a record.
 """
@@ -14,6 +15,7 @@ inside that version line, so it never occurs within a record.
 from __future__ import annotations
 
 import base64
+import datetime
 import hashlib
 import uuid
 from collections.abc import Iterator
@@ -25,105 +27,141 @@ from pyspark.sql import functions as F
 from .common import map_batches, materialize, shared_dir, shuffle_partitions
 
 VERSION, END = "WARC/1.1\r\n", "\r\n\r\n"
-CHUNK_CHARS = 1 << 18
+CHUNK_BYTES = 1 << 18
+#: Bytes of pieces, about, that one batch of chunk rows holds.
+BATCH_BYTES = 4 << 20
 #: Payloads of fewer bytes are never replaced by a revisit.
 MIN_REVISIT_BYTES = 0
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
-_BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 
 
-def base32(hex_digest: Column) -> Column:
-    """Bare upper-case base32 of a 40-digit hexadecimal SHA-1."""
-    letters = []
-    for k in range(8):
-        value = F.conv(F.substring(hex_digest, 5 * k + 1, 5), 16, 10).cast("int")
-        letters += [F.substring(F.lit(_BASE32), F.shiftright(value, shift).bitwiseAND(31) + 1, F.lit(1)) for shift in (15, 10, 5, 0)]
-    return F.concat(*letters)
+def base32(digest: Column) -> Column:
+    """Bare upper-case base32 of a 40-digit hexadecimal SHA-1, five digits (four letters) at a time."""
+    letters = F.lit("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567")
+    group = lambda k: F.conv(F.substring(digest, k * 5 + 1, F.lit(5)), 16, 10).cast("int")
+    four = lambda v: F.concat(*(F.substring(letters, F.shiftright(v, n).bitwiseAND(31) + 1, F.lit(1)) for n in (15, 10, 5, 0)))
+    return F.array_join(F.transform(F.sequence(F.lit(0), F.lit(7)), lambda k: four(group(k))), "")
 
 
-def plan_records(pages: DataFrame, min_bytes: int = MIN_REVISIT_BYTES) -> DataFrame:
-    """(page_id, url, bytes, hex, n, response, refers_to): one row per page_id and payload that
-    is not a single response; n rows of ``pages`` have it.
+def pieces_of(payload: memoryview, chunk_bytes: int) -> Iterator[memoryview]:
+    """Slices of ``payload`` (UTF-8) of at most ``chunk_bytes`` bytes, whole characters each (one where a
+    character is longer), that do not hold the version line; nothing is copied but a chunk at a time."""
+    at, n, mark = 0, len(payload), VERSION.encode()
+    while at < n or n == 0:
+        end = min(at + chunk_bytes, n)
+        while end < n and end > at and payload[end] & 0xC0 == 0x80:
+            end -= 1
+        if end == at:  # a character longer than a chunk
+            end = min(at + 1, n)
+            while end < n and payload[end] & 0xC0 == 0x80:
+                end += 1
+        found = bytes(payload[at:end]).find(mark)
+        if found >= 0:
+            end = at + found + 1
+        yield payload[at:end]
+        at = end
+        if n == 0:
+            return
+
+
+CHUNK_SCHEMA = "record bigint, page_id bigint, url string, chunk int, last boolean, size bigint, digest string, piece binary"
 
-    Of pages with equal payloads of at least ``min_bytes`` bytes, one with the largest
-    page_id is the response and the others refer to it.  Pages that are not in the plan are
-    responses.  Null page_ids sort lowest.
-    """
-    light = pages.select("page_id", "url", F.octet_length(_payload()).cast("long").alias("bytes"), F.sha1(_payload().cast("binary")).alias("hex"))
-    # one row a page_id and payload; repeats are counted, so no key gathers rows in a task
-    each = materialize(light.groupBy("page_id", "hex", "bytes").agg(F.count(F.lit(1)).alias("n"), F.max("url").alias("url")), "warc-pages")
-    # only payloads that several pages have; written, so that the join below deals both sides
-    # out and can split a hot payload
-    first = each.groupBy("hex", "bytes").agg(F.max("page_id").alias("refers_to"), F.sum("n").alias("pages")).where("pages > 1")
-    rows = each.join(materialize(first, "warc-first"), ["hex", "bytes"])
-    response = (F.col("bytes") < min_bytes) | F.col("page_id").eqNullSafe(F.col("refers_to"))
-    planned = rows.select("page_id", "url", "bytes", "hex", "n", response.alias("response"), "refers_to")
-    return materialize(planned.where("NOT response OR n > 1"), "warc-plan")
 
+def chunk_table(pages: DataFrame, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
+    """(record, page_id, url, chunk, last, size, digest, piece): the payloads as chunk rows.
 
-def _payload() -> Column:
-    return F.coalesce(F.col("html"), F.lit(""))
+    ``size`` runs over a record's chunks; its last one has the whole payload's length and SHA-1
+    (base32), carried incrementally.  A null html is an empty payload, which is one empty chunk.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        schema = pa.schema([("record", pa.int64()), ("page_id", pa.int64()), ("url", pa.string()), ("chunk", pa.int32()), ("last", pa.bool_()), ("size", pa.int64()), ("digest", pa.string()), ("piece", pa.binary())])
+        rows: list[tuple] = []
+        held = 0
+        for b in batches:
+            for record, page, url, html in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), b.column(3)):
+                payload = memoryview(html.as_buffer()) if html.is_valid else memoryview(b"")
+                sha, size = hashlib.sha1(), 0
+                for chunk, piece in enumerate(pieces_of(payload, chunk_bytes)):
+                    sha.update(piece)
+                    size += len(piece)
+                    last = size == len(payload)
+                    rows.append((record, page, url, chunk, last, size, base64.b32encode(sha.digest()).decode() if last else None, bytes(piece)))
+                    held += len(piece)
+                    if held >= BATCH_BYTES:
+                        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), schema.types)], schema=schema)
+                        rows, held = [], 0
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), schema.types)], schema=schema)
+
+    return map_batches(pages.select(F.monotonically_increasing_id().alias("record"), F.col("page_id").cast("bigint").alias("page_id"), "url", "html"), run, CHUNK_SCHEMA)
+
+
+def plan_revisits(chunks: DataFrame, min_bytes: int = MIN_REVISIT_BYTES) -> DataFrame:
+    """(record, refers_to, refers_to_record): the records that are revisits.
+
+    Of records with equal payloads of at least ``min_bytes`` bytes, the one with the largest
+    page_id (null is lowest; of repeated ones, the first) is the response and the others refer to it.
+    """
+    ends = chunks.where(F.col("last") & (F.col("size") >= min_bytes)).select("record", "page_id", "size", "digest")
+    # only payloads that several records have; written, so that the join below can split a hot one
+    first = ends.groupBy("digest", "size").agg(F.max(F.struct("page_id", (-F.col("record")).alias("neg"))).alias("r"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    first = materialize(first.select("digest", "size", F.col("r.page_id").alias("refers_to"), (-F.col("r.neg")).alias("refers_to_record")), "warc-first")
+    return ends.join(first, ["digest", "size"]).where("record <> refers_to_record").select("record", "refers_to", "refers_to_record")
 
 
-def _record_id(page_id: Column, copy: Column) -> Column:
-    return F.concat(F.lit("<urn:page:"), F.coalesce(page_id.cast("string"), F.lit("null")), F.lit(":"), copy.cast("string"), F.lit(">"))
+def _record_id(record: Column) -> Column:
+    return F.concat(F.lit("<urn:record:"), record.cast("string"), F.lit(">"))
 
 
-def write_archive(pages: DataFrame, path: str, min_bytes: int = MIN_REVISIT_BYTES, chunk_chars: int = CHUNK_CHARS) -> None:
-    """Write one WARC record (or its segments) per page to ``path``.
+def write_archive(pages: DataFrame, path: str, min_bytes: int = MIN_REVISIT_BYTES, chunk_bytes: int = CHUNK_BYTES, date: str | None = None) -> None:
+    """Write one WARC record (or its segments) per page to ``path``, dated ``date`` (now, if not given).
 
-    A null html is an empty payload; a null url is written as an empty target.  Payloads
-    of single responses go from the table to the archive without a shuffle unless the
-    plan of repeated payloads is too large for Spark to broadcast.
+    A null html is an empty payload; a null url is written as an empty target.  The chunk table
+    is written once; payloads go from there to the archive without a shuffle unless the
+    plan of revisits is too large for Spark to broadcast.
     """
-    plan = plan_records(pages, min_bytes)
-    mark = plan.select(F.col("page_id").alias("p_"), F.col("hex").alias("h_"), F.col("response").alias("r_"), "n")
-    rows = pages.select("page_id", "url", _payload().alias("html"), F.octet_length(_payload()).cast("long").alias("bytes"), F.sha1(_payload().cast("binary")).alias("hex"))
-    rows = rows.join(mark, F.col("page_id").eqNullSafe(F.col("p_")) & (F.col("hex") == F.col("h_")), "left")
-    single = rows.where("r_ IS NULL").select("page_id", "url", "html", "bytes", "hex", F.lit(0).cast("long").alias("copy"))
-    # rows that repeat a response: one payload stays, or each where payloads are too small to revisit
-    again = rows.where("r_").groupBy("page_id", "hex", "bytes", "n").agg(F.first("url").alias("url"), F.first("html").alias("html"))
-    again = again.withColumn("copy", F.explode(F.when(F.col("bytes") < min_bytes, F.expr("sequence(0L, n - 1)")).otherwise(F.array(F.lit(0).cast("long")))))
-    full = single.unionByName(again.drop("n"))
-    pieces = F.expr(f"flatten(transform(split(html, '(?<=W)(?=ARC/1[.]1\\\\r\\\\n)', -1), p -> IF(char_length(p) <= {chunk_chars}, array(p), regexp_extract_all(p, '(?s).{{1,{chunk_chars}}}', 0))))")
-    chunks = full.withColumn("pieces", pieces)
-    chunks = chunks.select("page_id", "url", "bytes", "hex", "copy", F.size("pieces").alias("segments"), F.posexplode("pieces").alias("chunk", "piece"))
-    uri = F.coalesce(F.regexp_replace("url", "[\\r\\n]", ""), F.lit(""))
-    own = _record_id(F.col("page_id"), F.col("copy"))
-    segment = lambda value: F.when(F.col("segments") > 1, value).otherwise(F.lit(""))
-    common = [F.lit(VERSION), F.lit("WARC-Page-ID: "), F.coalesce(F.col("page_id").cast("string"), F.lit("null")), F.lit("\r\nWARC-Payload-Digest: sha1:"), base32(F.col("hex")), F.lit("\r\nWARC-Payload-Length: "), F.col("bytes").cast("string"), F.lit("\r\n")]
+    date = date or datetime.datetime.now(datetime.UTC).strftime("%Y-%m-%dT%H:%M:%SZ")
+    chunks = materialize(chunk_table(pages, chunk_bytes), "warc-chunks")
+    plan = materialize(plan_revisits(chunks, min_bytes), "warc-plan")
+    rows = chunks.join(plan, "record", "left")
+    uri = F.coalesce(F.regexp_replace("url", "[\r\n]", ""), F.lit(""))
+    page = F.coalesce(F.col("page_id").cast("string"), F.lit("null"))
+    head = [F.lit(f"{VERSION}WARC-Date: {date}\r\nWARC-Page-ID: "), page, F.lit("\r\n")]
+    whole = F.concat(F.lit("WARC-Payload-Digest: sha1:"), F.col("digest"), F.lit("\r\nWARC-Payload-Length: "), F.col("size").cast("string"), F.lit("\r\n"))
+    own, text = _record_id(F.col("record")), lambda c: F.when(c, F.lit(""))
+    several = (F.col("chunk") > 0) | ~F.col("last")
     response = F.concat(
-        *common,
+        *head,
         F.when(F.col("chunk") == 0, F.concat(F.lit("WARC-Type: response\r\nWARC-Record-ID: "), own, F.lit("\r\nWARC-Target-URI: "), uri, F.lit("\r\n"))).otherwise(
-            F.concat(F.lit("WARC-Type: continuation\r\nWARC-Record-ID: "), F.regexp_replace(own, ">$", ""), F.lit("#"), F.col("chunk").cast("string"), F.lit(">\r\nWARC-Segment-Origin-ID: "), own, F.lit("\r\n"))
+            F.concat(F.lit("WARC-Type: continuation\r\nWARC-Record-ID: <urn:record:"), F.col("record").cast("string"), F.lit(":"), F.col("chunk").cast("string"), F.lit(">\r\nWARC-Segment-Origin-ID: "), own, F.lit("\r\n"))
         ),
-        segment(F.concat(F.lit("WARC-Segment-Number: "), (F.col("chunk") + 1).cast("string"), F.lit("\r\n"))),
-        segment(F.when(F.col("chunk") == F.col("segments") - 1, F.concat(F.lit("WARC-Segment-Total-Length: "), F.col("bytes").cast("string"), F.lit("\r\n"))).otherwise(F.lit(""))),
-        F.lit("Content-Type: text/html\r\nContent-Length: "), F.octet_length("piece").cast("string"), F.lit(END), F.col("piece"),
+        text(~several).otherwise(F.concat(F.lit("WARC-Segment-Number: "), (F.col("chunk") + 1).cast("string"), F.lit("\r\n"))),
+        text(~several | ~F.col("last")).otherwise(F.concat(F.lit("WARC-Segment-Total-Length: "), F.col("size").cast("string"), F.lit("\r\n"))),
+        text(~F.col("last")).otherwise(whole),
+        F.lit("Content-Type: text/html\r\nContent-Length: "), F.octet_length("piece").cast("string"), F.lit(END), F.col("piece").cast("string"),
     )
-    copies = plan.select("page_id", "url", "bytes", "hex", "refers_to", F.explode(F.expr("CASE WHEN response THEN IF(n > 1, sequence(1L, n - 1), array()) ELSE sequence(0L, n - 1) END")).alias("copy")).where(F.col("bytes") >= min_bytes)
-    revisit = F.concat(*common, F.lit("WARC-Type: revisit\r\nWARC-Record-ID: "), own, F.lit("\r\nWARC-Target-URI: "), uri, F.lit(f"\r\nWARC-Profile: {PROFILE}\r\nWARC-Refers-To: "), _record_id(F.col("refers_to"), F.lit(0)), F.lit("\r\nContent-Length: 0"), F.lit(END))
-    records = chunks.select(response.alias("value")).unionByName(copies.select(revisit.alias("value")))
-    records.write.option("lineSep", END).option("compression", "gzip").text(path)
+    target = F.coalesce(F.col("refers_to").cast("string"), F.lit("null"))
+    revisit = F.concat(*head, F.lit("WARC-Type: revisit\r\nWARC-Record-ID: "), own, F.lit("\r\nWARC-Target-URI: "), uri, F.lit(f"\r\nWARC-Profile: {PROFILE}\r\nWARC-Refers-To: "), _record_id(F.col("refers_to_record")), F.lit("\r\nWARC-Refers-To-Page-ID: "), target, F.lit("\r\n"), whole, F.lit("Content-Length: 0"), F.lit(END))
+    is_response = F.col("refers_to_record").isNull()
+    rows.where(is_response | F.col("last")).select(F.when(is_response, response).otherwise(revisit).alias("value")).write.option("lineSep", END).text(path)
 
 
 def read_chunks(spark: SparkSession, path: str) -> DataFrame:
-    """The archive's record table: (page_id, record, type, refers_to, chunk, segments,
-    digest, bytes, payload): a row per record or segment."""
+    """The archive's record table: (page_id, record, type, refers_to, chunk, digest, bytes, payload): a row
+    per record or segment; a segment that is not the last has no digest and length."""
+    value, first = F.col("value"), VERSION
     lines = spark.read.option("lineSep", END + VERSION).text(path)
-    value = F.regexp_replace("value", "^WARC/1[.]1\r\n", "")
-    head = F.substring_index(value, END, 1)
-    get = lambda name: F.regexp_extract(F.col("head"), f"(?m)^{name}: ([^\\r\\n]*)", 1)
-    cut = lines.select(head.alias("head"), value.alias("rest"))
-    body = F.expr(f"substring(CAST(rest AS binary), octet_length(head) + {len(END) + 1}, CAST(regexp_extract(head, 'Content-Length: ([0-9]+)$', 1) AS int))")
-    number = get("WARC-Segment-Number")
-    origin, refers = get("WARC-Segment-Origin-ID"), get("WARC-Refers-To")
+    rest = F.when(value.startswith(first), F.substring(value, len(first) + 1, 1 << 30)).otherwise(value)
+    cut = lines.select(rest.alias("rest")).select("rest", F.substring_index("rest", END, 1).alias("head")).select("rest", "head", F.str_to_map("head", F.lit("\r\n"), F.lit(": ")).alias("h"))
+    get = lambda name: F.col("h")[name]
+    body = F.expr(f"substring(CAST(rest AS binary), octet_length(head) + {len(END) + 1}, CAST(h['Content-Length'] AS int))")
     return cut.select(
-        F.when(get("WARC-Page-ID") != "null", get("WARC-Page-ID").try_cast("long")).alias("page_id"),
-        F.when(origin != "", origin).otherwise(get("WARC-Record-ID")).alias("record"),
+        get("WARC-Page-ID").try_cast("long").alias("page_id"),
+        F.coalesce(get("WARC-Segment-Origin-ID"), get("WARC-Record-ID")).alias("record"),
         get("WARC-Type").alias("type"),
-        F.when(refers != "", F.regexp_extract(refers, "page:(-?[0-9]+):", 1).try_cast("long")).alias("refers_to"),
-        F.coalesce(number.try_cast("int"), F.lit(0)).alias("chunk"),
+        get("WARC-Refers-To-Page-ID").try_cast("long").alias("refers_to"),
+        F.coalesce(get("WARC-Segment-Number").cast("int"), F.lit(0)).alias("chunk"),
         F.regexp_replace(get("WARC-Payload-Digest"), "^sha1:", "").alias("digest"),
         get("WARC-Payload-Length").cast("long").alias("bytes"),
         body.alias("payload"),
@@ -162,7 +200,8 @@ def _carry(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if record != now:
                 if now is not None:
                     yield done()
-                now, sha, size, page, digest = record, hashlib.sha1(), 0, page_id, stated
+                now, sha, size, page = record, hashlib.sha1(), 0, page_id
+            digest = stated  # the last segment's
             piece = payload.as_buffer()
             sha.update(piece)
             size += piece.size
@@ -170,9 +209,9 @@ def _carry(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield done()
 
 
-def round_trip(pages: DataFrame, min_bytes: int = MIN_REVISIT_BYTES, chunk_chars: int = CHUNK_CHARS) -> DataFrame:
+def round_trip(pages: DataFrame, min_bytes: int = MIN_REVISIT_BYTES, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
     """Write ``pages`` to an archive in the shared folder and read it back."""
     spark = pages.sparkSession
     path = f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}"
-    write_archive(pages, path, min_bytes, chunk_chars)
+    write_archive(pages, path, min_bytes, chunk_bytes)
     return read_records(spark, path)
