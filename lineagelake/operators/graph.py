@@ -6,22 +6,10 @@ joins and aggregates over these tables, so a graph may be larger than one machin
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-
-def _cut(df: DataFrame) -> DataFrame:
-    """Write an iteration's table to the shared checkpoint folder and read it back."""
-    spark = df.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.gettempdir()
-    path = f"{folder.rstrip('/')}/graph-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+from .shared import materialize
 
 
 def both_ways(edges: DataFrame) -> DataFrame:
@@ -29,26 +17,33 @@ def both_ways(edges: DataFrame) -> DataFrame:
 
 
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
-    """(node, component): the least node of each connected component of bonds (u, v).
+    """(node, component): the least node of each connected component, for nodes of an edge (u, v).
 
-    Each round gives every node the least label around it, then lets labels point to
-    their own labels, so paths halve and rounds grow with the logarithm of the diameter.
+    Alternates the large-star and small-star steps until the edges are stars: each step is a
+    partial aggregate and an equality join, each round is written to the shared folder.  Null ends,
+    loops and repeated edges link nothing new; a node with loops alone is its own component.
     """
-    links = _cut(both_ways(edges).distinct())
-    labels = _cut(links.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("label")).withColumnRenamed("u", "node"))
+    alone = edges.where("u = v").select(F.col("u").alias("node")).distinct()
+    edges = materialize(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "links")
+    before = None
     for _ in range(max_rounds):
-        near = links.join(labels, links["v"] == labels["node"]).groupBy("u").agg(F.min("label").alias("near"))
-        low = labels.join(near, labels["node"] == near["u"]).select("node", F.col("label").alias("old"), F.least("label", "near").alias("label"))
-        # a label is a node: take the label of the label; and hand a node's new label to its old one
-        hooks = low.groupBy(F.col("old").alias("node")).agg(F.min("label").alias("hook"))
-        hooked = low.join(hooks, "node", "left").select("node", "old", F.least("label", F.coalesce("hook", "label")).alias("label"))
-        up = hooked.select(F.col("node").alias("label"), F.col("label").alias("up"))
-        new = _cut(hooked.join(up, "label", "left").select("node", "old", F.least("label", F.coalesce("up", "label")).alias("label")))
-        moved = new.where("old <> label").limit(1).count()
-        labels = new.select("node", "label")
-        if not moved:
-            return labels.withColumnRenamed("label", "component")
-    raise RuntimeError(f"components did not settle in {max_rounds} rounds")
+        both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("low"))
+        large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("low").alias("v")).distinct()
+        low = large.groupBy("u").agg(F.min("v").alias("low"))
+        small = large.join(low, "u").select("u", "v", "low")
+        small = small.select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("low").alias("v")), F.struct(F.col("u"), F.col("low").alias("v")))).alias("e")).select("e.u", "e.v").where("u <> v").distinct()
+        edges = materialize(small, "links")
+        now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+        if now == before:
+            break
+        before = now
+    else:
+        raise RuntimeError(f"components did not settle in {max_rounds} rounds")
+    found = edges.select(F.col("u").alias("node"), F.col("v").alias("component"))
+    roots = found.select(F.col("component").alias("node"), "component").distinct()
+    linked = found.unionByName(roots)
+    return linked.unionByName(alone.join(linked, "node", "left_anti").select("node", F.col("node").alias("component")))
 
 
 def imbalance(segments: DataFrame, bonds: DataFrame) -> DataFrame:
@@ -71,29 +66,3 @@ def net_connections(segments: DataFrame, membership: DataFrame) -> DataFrame:
     a = membership.select(F.col("node"), F.col("component").alias("a"))
     b = membership.select(F.col("node").alias("twin"), F.col("component").alias("b"))
     return segments.join(a, "node").join(b, "twin").groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.count(F.lit(1)).alias("blocks"))
-
-
-def balance_components(edges: DataFrame, bond_sd: float = 10.0, segment_sd: float = 1e-3) -> DataFrame:
-    """Least-squares flows per component so that bonds and segment agree at every node.
-
-    edges: component, kind ('segment' or 'bond'), u, v, flow.  A component is solved in
-    one task, weighted by the precision of its kind; returns the edges with ``balanced``.
-    Components are what a graph falls into, so tasks are as small as the graph allows.
-    """
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in edges.schema) + ", balanced double"
-
-    def solve(part: pd.DataFrame) -> pd.DataFrame:
-        nodes = {n: i for i, n in enumerate(sorted(set(part["u"]) | set(part["v"])))}
-        rule = np.zeros((len(nodes), len(part)))
-        for j, (kind, u, v) in enumerate(zip(part["kind"], part["u"], part["v"])):
-            sign = -1.0 if kind == "segment" else 1.0
-            rule[nodes[u], j] += sign
-            if u != v or sign > 0:
-                rule[nodes[v], j] += sign
-        x = part["flow"].to_numpy(float)
-        var = np.where(part["kind"] == "segment", segment_sd, np.maximum(np.abs(x), bond_sd)) ** 2
-        # least change, in units of variance, that makes all rules hold
-        lagrange = np.linalg.lstsq(rule * var @ rule.T, rule @ x, rcond=None)[0]
-        return part.assign(balanced=x - var * (rule.T @ lagrange))
-
-    return edges.groupBy("component").applyInPandas(solve, schema)

@@ -186,14 +186,6 @@ def net_connections(spark, d):
     return graph.net_connections(_segments(spark, d), graph.components(_bonds(spark, d)))
 
 
-def graph_balance(spark, d):
-    bonds, groups = _bonds(spark, d), graph.components(_bonds(spark, d))
-    members = groups.select(F.col("node").alias("u"), "component")
-    b = bonds.groupBy("u", "v").agg(F.sum("flow").alias("flow")).join(members, "u").select("component", F.lit("bond").alias("kind"), "u", "v", "flow")
-    s = _segments(spark, d).join(groups, "node").select("component", F.lit("segment").alias("kind"), F.col("node").alias("u"), F.col("node").alias("v"), "flow")
-    return graph.balance_components(b.unionByName(s)).select("component", "kind", "u", "v", F.round("balanced", 4).alias("balanced"))
-
-
 _BONDS = "bonds AS (SELECT o_custkey * 2 AS u, (o_custkey + o_orderkey % 4) * 2 + 1 AS v, round(o_totalprice, 2) AS flow FROM orders WHERE o_orderkey % 3 = 0)"
 _SEGMENTS = "segments AS (SELECT c_custkey * 2 AS node, c_custkey * 2 + 1 AS twin, round(c_acctbal + 1000, 2) AS flow FROM customer)"
 _COMPONENTS = f"""WITH RECURSIVE {_BONDS}, both_ways AS (SELECT DISTINCT u, v FROM bonds UNION SELECT DISTINCT v, u FROM bonds),
@@ -250,5 +242,4 @@ QUERIES = {
     "bond_scaling": (bond_scaling, f"""WITH {_BONDS}, {_SEGMENTS}, {_IMBALANCE}, f AS (SELECT node, CASE WHEN bond_flow > segment_flow THEN segment_flow / bond_flow ELSE 1 END AS f FROM imb)
         SELECT u, v, round(sum(flow * least(a.f, b.f)), 4) AS flow FROM bonds JOIN f a ON u = a.node JOIN f b ON v = b.node GROUP BY u, v"""),
     "net_connections": (net_connections, _COMPONENTS + f", {_SEGMENTS} SELECT least(x.component, y.component) AS a, greatest(x.component, y.component) AS b, count(*) AS blocks FROM segments s JOIN groups x ON s.node = x.node JOIN groups y ON s.twin = y.node GROUP BY 1, 2"),
-    "graph_balance": (graph_balance, None),
 }

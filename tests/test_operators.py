@@ -112,15 +112,6 @@ def test_components(spark):
     assert found == {n: root(n) for n in parent}
 
 
-def test_balance_closes_nodes(spark):
-    rows = [("c", "segment", 1, 1, 10.0), ("c", "segment", 2, 2, 6.0), ("c", "bond", 1, 2, 7.0), ("c", "bond", 1, 3, 1.0), ("c", "segment", 3, 3, 2.0)]
-    df = graph.balance_components(spark.createDataFrame(rows, "component string, kind string, u long, v long, flow double")).toPandas()
-    for n in (1, 2, 3):
-        seg = df[(df.kind == "segment") & (df.u == n)].balanced.sum()
-        bond = df[(df.kind == "bond") & ((df.u == n) | (df.v == n))].balanced.sum()
-        assert seg == pytest.approx(bond, abs=1e-6)
-
-
 def test_simulation_is_deterministic_and_sound(spark):
     sims = spark.createDataFrame([(k, 20, 15) for k in range(30)], "sim_id long, blocks int, events int")
     a = {r.sim_id: (r.genome, r.operations) for r in sampling.simulate_genomes(sims).collect()}
