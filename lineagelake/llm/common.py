@@ -3,8 +3,6 @@
 from __future__ import annotations
 
 import contextlib
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -12,6 +10,10 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.shared import materialize, remove, scratch, shared_dir, shuffle_partitions, write_shared
+
+__all__ = ["fresh_name", "map_batches", "materialize", "read", "remove", "scratch", "shared_dir", "shuffle_partitions", "with_row_ids", "write_shared"]
+
 #: Documents in one Arrow batch: bounds a Python worker's memory when texts are long.
 BATCH_ROWS = 256
 
@@ -20,60 +22,6 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{table}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``.  Where the setting is absent, a
-    session with one machine (a ``local`` master) gets a temporary folder; any other is refused."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.lineagelake.scratch", None)
-    if not folder:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        folder = "file://" + tempfile.mkdtemp(prefix="lineagelake-")
-        spark.conf.set("spark.lineagelake.scratch", folder)
-    return folder.rstrip("/")
-
-
-_scratch: list[list[str]] = []
-
-
-def write_shared(df: DataFrame, label: str) -> tuple[DataFrame, str]:
-    """``df`` written as a Parquet table in the shared folder and read back, and its path."""
-    path = f"{shared_dir(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path), path
-
-
-def materialize(df: DataFrame, label: str = "stage") -> DataFrame:
-    """Write ``df`` as a Parquet table in the shared folder and read it back.
-
-    Cuts the lineage: later stages re-read files instead of recomputing, so a lost
-    executor costs only its running tasks.
-    """
-    out, path = write_shared(df, label)
-    if _scratch:
-        _scratch[-1].append(path)
-    return out
-
-
-def remove(spark: SparkSession, path: str) -> None:
-    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
-
-
-@contextlib.contextmanager
-def scratch(spark: SparkSession) -> Iterator[None]:
-    """Tables that ``materialize`` writes within are deleted at the end: results must be written by then."""
-    _scratch.append([])
-    try:
-        yield
-    finally:
-        for path in _scratch.pop():
-            remove(spark, path)
-
-
-def shuffle_partitions(spark: SparkSession) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))
-
-
 def map_batches(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
     """``mapInArrow`` with batches small enough for very long texts.
 

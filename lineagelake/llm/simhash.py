@@ -27,6 +27,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.graph import components
 from .common import fresh_name, map_batches, materialize, with_row_ids
 
 SHINGLE_WORDS = 4
@@ -157,31 +158,6 @@ def _group(table: pa.Table) -> pa.Table:
     return pa.Table.from_batches(list(_forests(iter(table.to_batches()))))
 
 
-def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
-    """(node, root): the smallest node reachable over ``edges`` (u, v), for nodes with an edge.
-
-    Alternates the large-star and small-star steps until the edges are stars.  Each step
-    is a partial aggregate and an equality join; each round is written to the shared folder.
-    """
-    edges = materialize(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "links")
-    before = None
-    for _ in range(max_rounds):
-        both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("low"))
-        large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("low").alias("v")).distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("low"))
-        small = large.join(low, "u").select("u", "v", "low")
-        small = small.select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("low").alias("v")), F.struct(F.col("u"), F.col("low").alias("v")))).alias("e")).select("e.u", "e.v").where("u <> v").distinct()
-        edges = materialize(small, "links")
-        now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if now == before:
-            break
-        before = now
-    else:
-        raise RuntimeError(f"components did not settle in {max_rounds} rounds")
-    return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
-
-
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: doc_id, fingerprint (16 hex digits), component_id.
 
@@ -192,7 +168,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     marked = materialize(with_fingerprint(docs, id_col, text_col), "fingerprints")
     lowest = materialize(marked.groupBy("fp").agg(F.min("doc_id").alias("low")), "distinct-fingerprints")
-    root = components(links(lowest.select("fp")))
+    root = components(links(lowest.select("fp"))).withColumnRenamed("component", "root")
     grouped = lowest.join(root, lowest["fp"] == root["node"], "left").select("fp", "low", F.coalesce("root", "fp").alias("root"))
     named = grouped.groupBy("root").agg(F.min("low").alias("component_id"))
     label = grouped.join(named, "root").select("fp", "component_id")

@@ -1,5 +1,6 @@
 import collections
 import hashlib
+import random
 
 from lineagelake.llm import chat
 
@@ -44,12 +45,62 @@ def test_tree_shares_prefixes_and_lies_depth_first(spark):
         assert r.parent == (stack[-1] if stack else None)
         stack.append(r.node)
         assert r.start == (0 if r.parent is None else n[r.parent].start + n[r.parent].length)
-    for r in chains.collect():
-        path, at = [], r.node
+    check_intervals(n)
+
+
+def check_intervals(n):
+    """The nodes whose interval holds a node's offset are its ancestors and itself."""
+    for r in n.values():
+        path, at = set(), r.node
         while at:
-            path.append((n[at].offset, n[at].offset + n[at].length))
+            path.add(at)
             at = n[at].parent
-        assert [(a["from"], a["to"]) for a in r.attends] == path[::-1]
+        assert {x.node for x in n.values() if x.offset <= r.offset < x.until} == path
+
+
+def test_random_trees(spark):
+    rng = random.Random(9)
+    rows = []
+    for c in range(300):
+        for t in range(rng.choice([1, 2, 3, 8])):
+            rows.append((c if c % 50 else None, t, "user", rng.choice("ab") * 3))
+    nodes, chains = chat.format_chats(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))
+    n = {r.node: r for r in nodes.collect()}
+    order = sorted(n.values(), key=lambda r: r.offset)
+    assert [r.offset for r in order] == [sum(x.length for x in order[:k]) for k in range(len(order))]
+    check_intervals(n)
+    by = collections.defaultdict(list)
+    for r in chains.collect():
+        by[r.conv_id].append((r.level, r.node))
+    for path in by.values():
+        path = [x for _, x in sorted(path)]
+        assert [n[x].parent for x in path] == [None, *path[:-1]]
+
+
+def test_tokens(spark):
+    from lineagelake.llm.queries import byte_bpe_50k
+
+    df = spark.createDataFrame(ROWS, "conv_id long, turn long, role string, text string")
+    nodes, chains = chat.format_chats(df, byte_bpe_50k())
+    n = {r.node: r for r in nodes.collect()}
+    assert all(len(r.ids) == 4 * r.length for r in n.values())
+    order = sorted(n.values(), key=lambda r: r.offset)
+    assert [r.offset for r in order] == [sum(x.length for x in order[:k]) for k in range(len(order))]
+    assert all(r.start == (0 if r.parent is None else n[r.parent].start + n[r.parent].length) for r in n.values())
+    check_intervals(n)
+    plain = sorted(map(str, chat.with_digests(chat.read_back(*chat.format_chats(df))).collect()))
+    assert sorted(map(str, chat.with_digests(chat.read_back(nodes, chains)).collect())) == plain
+
+
+def test_a_long_conversation_takes_linear_time(spark):
+    import time
+
+    rows = [(1, t, "user", f"turn {t}") for t in range(20_000)] + [(2, t, "user", f"turn {t}") for t in range(10_000)] + [(None, 0, "user", "x")] * 3000
+    began = time.perf_counter()
+    got = {r.conv_id: r for r in chat.with_digests(chat.read_back(*chat.format_chats(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")))).collect()}
+    assert time.perf_counter() - began < 60
+    assert [got[k].n_turns for k in (1, 2, None)] == [20_000, 10_000, 3000]
+    assert got[2].turns_sha256 == hashlib.sha256("".join(f"user\nturn {t}\n" for t in range(10_000)).encode()).hexdigest()
 
 
 def test_marks_never_occur_in_texts(spark):

@@ -63,7 +63,7 @@ def test_crowded_keys(spark, monkeypatch):
     r = random.Random(3)
     fps = sorted({(0x123456789ABCDEF0 ^ sum(1 << b for b in r.sample(range(64), r.randrange(5)))) for _ in range(150)} | {r.getrandbits(64) for _ in range(30)})
     df = spark.createDataFrame([(int(np.uint64(f).astype(np.int64)),) for f in fps], "fp long")
-    roots = {x.node: x.root for x in simhash.components(simhash.links(df)).collect()}
+    roots = {x.node: x.component for x in simhash.components(simhash.links(df)).collect()}
     want = components(list(range(len(fps))), fps)
     groups = {}
     for f, c in zip(fps, want):
