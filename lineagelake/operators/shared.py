@@ -28,7 +28,7 @@ _scratch: list[list[str]] = []
 def write_shared(df: DataFrame, label: str) -> tuple[DataFrame, str]:
     """``df`` written as a Parquet table in the shared folder and read back, and its path."""
     path = f"{shared_dir(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path), path
 
 
