@@ -43,6 +43,11 @@ def base32(digest: Column) -> Column:
     return F.array_join(F.transform(F.sequence(F.lit(0), F.lit(7)), lambda k: four(group(k))), "")
 
 
+def _once(value: Column, use) -> Column:
+    """``use(value)``, with the value computed once however often it is used."""
+    return F.transform(F.array(value), use)[0]
+
+
 def pieces_of(payload: memoryview, chunk_bytes: int) -> Iterator[memoryview]:
     """Slices of ``payload`` (UTF-8) of at most ``chunk_bytes`` bytes, whole characters each (one where a
     character is longer), that do not hold the version line; nothing is copied but a chunk at a time."""
@@ -176,12 +181,13 @@ def read_records(spark: SparkSession, path: str) -> DataFrame:
     give its stated digest raises.
     """
     chunks = read_chunks(spark, path)
-    whole = chunks.where("type = 'response' AND chunk = 0").select("page_id", F.octet_length("payload").cast("long").alias("payload_bytes"), base32(F.sha1("payload")).alias("payload_digest"), F.lit("response").alias("record_type"), F.lit(None).cast("long").alias("refers_to"), "digest")
+    whole = chunks.where("type = 'response' AND chunk = 0").select("page_id", F.octet_length("payload").cast("long").alias("payload_bytes"), _once(F.sha1("payload"), base32).alias("payload_digest"), F.lit("response").alias("record_type"), F.lit(None).cast("long").alias("refers_to"), "digest")
     # segments of a record come together in order; a task holds one segment at a time
     parts = chunks.where("chunk > 0").select("record", "chunk", "page_id", "digest", "payload").repartition(shuffle_partitions(spark), "record").sortWithinPartitions("record", "chunk")
     long = map_batches(parts, _carry, "page_id bigint, payload_bytes bigint, payload_digest string, record_type string, refers_to bigint, digest string")
     responses = whole.unionByName(long)
-    checked = responses.withColumn("payload_digest", F.when(F.col("payload_digest") == F.col("digest"), F.col("payload_digest")).otherwise(F.raise_error(F.concat(F.lit("payload digest differs: page "), F.col("page_id").cast("string")))))
+    wrong = F.raise_error(F.concat(F.lit("payload digest differs: page "), F.col("page_id").cast("string")))
+    checked = responses.withColumn("payload_digest", _once(F.col("payload_digest"), lambda d: F.when(d == F.col("digest"), d).otherwise(wrong)))
     revisits = chunks.where("type = 'revisit'").select("page_id", F.col("bytes").alias("payload_bytes"), F.col("digest").alias("payload_digest"), F.lit("revisit").alias("record_type"), "refers_to", "digest")
     return checked.unionByName(revisits).drop("digest")
 
