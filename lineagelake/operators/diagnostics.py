@@ -65,22 +65,32 @@ def mixing(occurrences: DataFrame, reference_iteration: int) -> DataFrame:
 
 
 def confusion(events: DataFrame) -> DataFrame:
-    """Rows (type, predicted, true) counted per type and for ``any``: tp, fp, fn, tn and the F1 score."""
-    p, t = F.col("predicted"), F.col("true")
-    counts = events.rollup("type").agg(F.count_if(p & t).alias("tp"), F.count_if(p & ~t).alias("fp"), F.count_if(~p & t).alias("fn"), F.count_if(~p & ~t).alias("tn"))
-    return counts.withColumn("type", F.coalesce("type", F.lit("any"))).withColumn("f1", F.try_divide(2 * F.col("tp"), 2 * F.col("tp") + F.col("fp") + F.col("fn")))
+    """Rows (type, predicted, true, explained) counted per type and for ``any``: tp, fp, fn, tn, ex and the F1 score.
+
+    ``explained`` marks missed events that predicted ones add up to: they are counted apart (ex), and for
+    the score move from the missed to the found.  Nulls count as false.
+    """
+    p, t, e = (F.coalesce(c, F.lit(False)) for c in ("predicted", "true", "explained"))
+    counts = events.rollup("type").agg(F.count_if(p & t).alias("tp"), F.count_if(p & ~t).alias("fp"), F.count_if(~p & t).alias("fn"), F.count_if(~p & ~t).alias("tn"), F.count_if(~p & t & e).alias("ex"))
+    found = F.col("tp") + F.col("ex")
+    return counts.withColumn("type", F.coalesce("type", F.lit("any"))).withColumn("f1", F.try_divide(2 * found, 2 * found + F.col("fn") - F.col("ex") + F.col("fp")))
+
+
+def called(events: DataFrame, cutoff: float) -> DataFrame:
+    """Add ``predicted``: events above the likelihood ``cutoff`` that also cost something (avecost > 0)."""
+    return events.withColumn("predicted", (F.col("likelihood") > cutoff) & (F.col("avecost") > 0))
 
 
 def optimal_histories(stats: DataFrame) -> DataFrame:
-    """The histories of least upper cost, numbered from 0."""
-    least = stats.agg(F.min("upper_cost")).first()[0]
-    return numbered(stats.where(F.col("upper_cost") == least), ["history_id"])
+    """The histories of least cost (upper, then lower), numbered from 0."""
+    least = stats.agg(F.min(F.struct("upper_cost", "lower_cost")).alias("least")).scalar()
+    return numbered(stats.where(F.struct("upper_cost", "lower_cost") == least), ["history_id"])
 
 
 def length_stats(occurrences: DataFrame) -> DataFrame:
     """Per history: events, longest, and the upper median of ``length``."""
-    sizes = F.sort_array(F.collect_list("length"))
-    return occurrences.groupBy("history_id").agg(F.count(F.lit(1)).alias("events"), F.max("length").alias("max_length"), F.element_at(sizes, (F.floor(F.count(F.lit(1)) / 2) + 1).cast("int")).alias("median_length"))
+    median = F.expr("percentile_disc(0.5) WITHIN GROUP (ORDER BY length DESC)").cast("bigint")
+    return occurrences.groupBy("history_id").agg(F.count(F.lit(1)).alias("events"), F.max("length").alias("max_length"), median.alias("median_length"))
 
 
 def events_per_history(occurrences: DataFrame) -> DataFrame:
@@ -105,7 +115,7 @@ def region_stats(history_segments: DataFrame, stats: DataFrame, missing_order: i
     a region counts 0, ``missing_order``, 0; weights and totals are summed once, so no
     region is paired with all histories.
     """
-    all_w = stats.agg(F.sum(F.exp(-F.col("upper_cost").cast("double")))).first()[0]
+    all_w = stats.agg(F.sum(F.exp(-F.col("upper_cost").cast("double"))).alias("w")).scalar()
     per = history_segments.withColumn("gain", F.col("value") > 0).groupBy("region", "gain", "history_id").agg(F.count(F.lit(1)).alias("n"), F.min("ord").alias("o"), F.sum("value").alias("v"))
     w = per.join(stats.select("history_id", F.exp(-F.col("upper_cost").cast("double")).alias("w")), "history_id")
     sums = w.groupBy("region", "gain").agg(*(F.sum(F.col("w") * F.col(c)).alias(c) for c in ("n", "o", "v")), F.sum("w").alias("w"))

@@ -25,19 +25,20 @@ def _mean_cost() -> Column:
     return (F.col("upper_cost") + F.col("lower_cost")) / 2
 
 
-def total_weight(stats: DataFrame, k: float = 0.0) -> float:
-    """Sum of exp(-k * mean cost) over the histories whose upper and mean cost are not zero."""
-    return stats.where((F.col("upper_cost") > 0) & (_mean_cost() != 0)).agg(F.coalesce(F.sum(F.exp(-k * _mean_cost())), F.lit(0.0))).first()[0]
+def total_weight(stats: DataFrame, k: float = 0.0) -> Column:
+    """Sum of exp(-k * mean cost) over the histories whose upper and mean cost are not zero, as a
+    scalar subquery: it is computed once, within the query that uses it."""
+    return stats.where((F.col("upper_cost") > 0) & (_mean_cost() != 0)).agg(F.coalesce(F.sum(F.exp(-k * _mean_cost())), F.lit(0.0)).alias("total")).scalar()
 
 
-def likelihood(occurrences: DataFrame, stats: DataFrame, k: float = 0.0, total: float | None = None, key: tuple[str, ...] = KEY) -> DataFrame:
+def likelihood(occurrences: DataFrame, stats: DataFrame, k: float = 0.0, total: Column | None = None, key: tuple[str, ...] = KEY) -> DataFrame:
     """Per event: numhists (distinct histories) and likelihood, the weight of those whose mean
     cost is not zero over the total weight (null where the total is zero)."""
     total = total_weight(stats, k) if total is None else total
     held = occurrences.select(*key, "history_id").distinct()
     costed = held.join(stats.select("history_id", _mean_cost().alias("cost")), "history_id", "left")
     weight = F.when(F.col("cost") != 0, F.exp(-k * F.col("cost"))).otherwise(0.0)
-    return costed.groupBy(*key).agg(F.count(F.lit(1)).alias("numhists"), F.try_divide(F.sum(weight), F.lit(total)).alias("likelihood"))
+    return costed.groupBy(*key).agg(F.count(F.lit(1)).alias("numhists"), F.try_divide(F.sum(weight), total).alias("likelihood"))
 
 
 def timing(occurrences: DataFrame, stats: DataFrame, k: float = 0.0, key: tuple[str, ...] = KEY) -> DataFrame:
@@ -54,10 +55,12 @@ def timing(occurrences: DataFrame, stats: DataFrame, k: float = 0.0, key: tuple[
 
 
 def run_counts(occurrences: DataFrame, key: tuple[str, ...] = KEY) -> DataFrame:
-    """Per event: in how many runs it occurs, and "run:histories" of each, joined by commas."""
+    """Per event: in how many runs it occurs, and "run:histories" of every run up to its last one
+    (0 where it does not occur), joined by commas."""
     per_run = occurrences.select(*key, "history_id").distinct().groupBy(*key, run_of(F.col("history_id")).alias("run")).agg(F.count(F.lit(1)).alias("n"))
-    listed = F.transform(F.array_sort(F.collect_list(F.struct("run", "n"))), lambda x: F.concat_ws(":", x.run.cast("string"), x.n.cast("string")))
-    return per_run.groupBy(*key).agg(F.count(F.lit(1)).alias("num_runs"), F.array_join(listed, ",").alias("counts"))
+    held = per_run.groupBy(*key).agg(F.count(F.lit(1)).alias("num_runs"), F.map_from_entries(F.collect_list(F.struct("run", "n"))).alias("m"), F.max("run").alias("last"))
+    listed = F.transform(F.sequence(F.lit(0).cast("bigint"), F.col("last")), lambda r: F.concat_ws(":", r.cast("string"), F.coalesce(F.col("m")[r], F.lit(0)).cast("string")))
+    return held.select(*key, "num_runs", F.array_join(listed, ",").alias("counts"))
 
 
 def merge(occurrences: DataFrame, key: tuple[str, ...] = KEY) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .intervals import overlap_join
@@ -33,13 +33,14 @@ def annotate_events(event_segments: DataFrame, genes: DataFrame, width: int = 10
     return event_segments.select("event").distinct().join(hit, "event", "left").withColumn("genes", F.coalesce("genes", F.lit("None")))
 
 
-def copy_number_profiles(values: DataFrame, total: float, by: str = "segment") -> DataFrame:
+def copy_number_profiles(values: DataFrame, total: Column, by: str = "segment") -> DataFrame:
     """Histories of each segment grouped by their profile: the copy-number changes in order of
-    falling prevalence, zeros left out.  values: ``by``, history_id, cnval, preval, weight."""
+    falling prevalence, zeros left out.  values: ``by``, history_id, cnval, preval, weight;
+    ``total``: the weight of all histories (``events.total_weight``)."""
     order = F.array_sort(F.collect_list(F.struct((-F.col("preval")).alias("p"), "cnval")))
     per = values.where("cnval <> 0").groupBy(by, "history_id").agg(order.alias("o"), F.max("weight").alias("w"))
     profile = F.array_join(F.transform("o", lambda x: x.cnval.cast("string")), ",")
-    return per.groupBy(by, profile.alias("profile")).agg(F.count(F.lit(1)).alias("numhists"), F.try_divide(F.sum("w"), F.lit(total)).alias("likelihood"))
+    return per.groupBy(by, profile.alias("profile")).agg(F.count(F.lit(1)).alias("numhists"), F.try_divide(F.sum("w"), total).alias("likelihood"))
 
 
 def best_profile(profiles: DataFrame, by: str = "segment") -> DataFrame:

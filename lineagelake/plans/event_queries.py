@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import cycles
 from ..operators import diagnostics, events
 from ..sources import views
 
@@ -98,7 +99,7 @@ def event_links(spark, d):
 def breakpoint_counts(spark, d):
     calls = views.sv_calls(spark, d)
     ends = calls.select("chrom", F.explode(F.array("start", "finish")).alias("pos"), F.concat(F.lit("e"), (F.col("l_orderkey") % 50).cast("string")).alias("event"), (F.col("l_orderkey") % 7).alias("history_id"))
-    return events.breakpoint_counts(ends, 0).where("n_pred + n_true > 1")
+    return events.breakpoint_counts(ends, 0)
 
 
 def rank_fraction(spark, d):
@@ -132,11 +133,14 @@ def mixing_jaccard(spark, d):
 
 
 def confusion_matrix(spark, d):
-    occ, stats = _occ(spark, d), _stats(spark, d)
-    true = occ.where("history_id % 10000 = 0").select("segstr", "cnval").distinct().withColumn("t", F.lit(True))
-    rows = events.likelihood(occ, stats).join(true, ["segstr", "cnval"], "left")
-    typed = rows.select(F.when(F.col("cnval") < 0, "amp").when(F.col("cnval") == 1, "del").otherwise("oth").alias("type"), (F.col("likelihood") > 0.2).alias("predicted"), F.coalesce("t", F.lit(False)).alias("true"))
-    return diagnostics.confusion(typed).select("type", "tp", "fp", "fn", "tn", _r("f1"))
+    """Orders as events: their lines' signs give the type, two thresholds stand for prediction and truth."""
+    value = F.when(F.col("l_returnflag") == "R", -1).when(F.col("l_returnflag") == "A", 1)
+    rows = views.table(spark, d, "lineitem").groupBy("l_orderkey").agg(
+        F.array_sort(F.collect_list(F.when(value.isNotNull(), F.struct("l_linenumber", value.alias("v"))))).alias("o"), F.avg("l_discount").alias("likelihood"), F.max("l_quantity").alias("avecost"), (F.max("l_tax") > 0.07).alias("true"), (F.count(F.lit(1)) % 3 == 0).alias("explained")
+    )
+    kind = F.element_at(F.array(F.lit("amp"), F.lit("del"), F.lit("oth"), F.lit("amdl")), cycles.event_type(F.col("o.v")))
+    typed = diagnostics.called(rows.select(kind.alias("type"), F.round("likelihood", 9).alias("likelihood"), (F.col("avecost") - 20).alias("avecost"), "true", "explained"), 0.05)
+    return diagnostics.confusion(typed).select("type", "tp", "fp", "fn", "tn", "ex", _r("f1"))
 
 
 def optimal_histories(spark, d):
@@ -164,7 +168,7 @@ def region_dup_del_stats(spark, d):
 
 
 def region_shared_cycles(spark, d):
-    m = _occ(spark, d).where("l_linenumber <= 2").select(F.col("segstr").alias("region"), F.concat_ws(".", F.col("history_id").cast("string"), (F.col("l_orderkey") % 40).cast("string")).alias("cycle"))
+    m = _occ(spark, d).select(F.col("segstr").alias("region"), F.concat_ws(".", F.col("history_id").cast("string"), (F.col("l_orderkey") % 40).cast("string")).alias("cycle"))
     return diagnostics.shared_cycles(m).select("region", "other", "shared", F.col("rank").cast("bigint").alias("rank"), _r("share"))
 
 
@@ -192,8 +196,9 @@ QUERIES = {
         FROM (SELECT DISTINCT segstr, cnval, history_id FROM flow_edges) o LEFT JOIN hist_stats USING (history_id) GROUP BY segstr, cnval"""),
     "event_timing": (event_timing, _FE + "SELECT segstr, cnval, round(avg(preval) + 1e-10, 6) AS preval_mean, round(stddev_pop(preval) + 1e-10, 6) AS preval_sd, round(avg(ord) + 1e-10, 6) AS order_mean, round(stddev_pop(ord) + 1e-10, 6) AS order_sd FROM flow_edges GROUP BY segstr, cnval"),
     "event_timing_weighted": (event_timing_weighted, _HS + "SELECT segstr, cnval, round(sum(exp(-0.25 * upper_cost) * preval) / sum(exp(-0.25 * upper_cost)) + 1e-10, 6) AS preval_mean, round(sum(exp(-0.25 * upper_cost) * ord) / sum(exp(-0.25 * upper_cost)) + 1e-10, 6) AS order_mean FROM flow_edges JOIN hist_stats USING (history_id) GROUP BY segstr, cnval"),
-    "run_counts": (run_counts, _FE + """SELECT segstr, cnval, count(*) AS num_runs, string_agg(concat(run, ':', n), ',' ORDER BY run) AS counts
-        FROM (SELECT segstr, cnval, history_id // 10000 AS run, count(DISTINCT history_id) AS n FROM flow_edges GROUP BY ALL) t GROUP BY segstr, cnval"""),
+    "run_counts": (run_counts, _FE + """, per AS (SELECT segstr, cnval, history_id // 10000 AS run, count(DISTINCT history_id) AS n FROM flow_edges GROUP BY ALL),
+        bins AS (SELECT segstr, cnval, unnest(range(0, max(history_id // 10000) + 1)) AS run FROM flow_edges GROUP BY segstr, cnval)
+        SELECT segstr, cnval, count(n) AS num_runs, string_agg(concat(run, ':', coalesce(n, 0)), ',' ORDER BY run) AS counts FROM bins LEFT JOIN per USING (segstr, cnval, run) GROUP BY segstr, cnval"""),
     "merged_events": (merged_events, _FE + "SELECT segstr, cnval, count(*) AS n, md5(string_agg(concat(history_id, ':', ord), ',' ORDER BY concat(history_id, ':', ord))) AS members FROM flow_edges GROUP BY segstr, cnval"),
     "event_summary": (event_summary, _HS + ", " + _LIKELIHOOD + """ SELECT segstr, cnval, concat(min(history_id * 100 + ord) // 100, '.', min(history_id * 100 + ord) % 100) AS event_id, any_value(numhists) AS numhists, round(any_value(likelihood) + 1e-10, 6) AS likelihood,
         round(avg(preval) + 1e-10, 6) AS preval_mean, round(stddev_pop(ord) + 1e-10, 6) AS order_sd, count(DISTINCT history_id // 10000) AS num_runs FROM flow_edges JOIN lik USING (segstr, cnval) GROUP BY segstr, cnval"""),
@@ -211,7 +216,7 @@ QUERIES = {
         SELECT segstr, cnval, next_segstr, next_cnval, count(*) AS numhists FROM f WHERE next_segstr IS NOT NULL GROUP BY ALL"""),
     "breakpoint_counts": (breakpoint_counts, _with("sv_calls") + """, ends AS (SELECT chrom, unnest([start, finish]) AS pos, concat('e', l_orderkey % 50) AS event, l_orderkey % 7 AS history_id FROM sv_calls),
         per AS (SELECT chrom, pos, event, max((history_id <> 0)::int) AS p, max((history_id = 0)::int) AS t FROM ends GROUP BY ALL)
-        SELECT chrom, pos, sum(p)::bigint AS n_pred, sum(t)::bigint AS n_true FROM per GROUP BY chrom, pos HAVING sum(p) + sum(t) > 1"""),
+        SELECT chrom, pos, sum(p)::bigint AS n_pred, sum(t)::bigint AS n_true FROM per GROUP BY chrom, pos"""),
     "rank_fraction": (rank_fraction, _FE + """, t AS (SELECT *, row_number() OVER (PARTITION BY history_id ORDER BY ord, segstr, cnval, l_orderkey, l_linenumber) - 1 AS p, count(*) OVER (PARTITION BY history_id) AS n FROM flow_edges)
         SELECT segstr, cnval, round(avg(CASE WHEN n = 1 THEN 1.1 ELSE p / nullif(n - 1, 0)::double END) + 1e-10, 6) AS fraction_mean, count(*) AS n FROM t GROUP BY segstr, cnval"""),
     "early_late": (early_late, _FE + """, t AS (SELECT *, row_number() OVER (PARTITION BY history_id ORDER BY ord, segstr, cnval, l_orderkey, l_linenumber) - 1 AS p, count(*) OVER (PARTITION BY history_id) AS n FROM flow_edges),
@@ -232,17 +237,20 @@ QUERIES = {
     "mixing_jaccard": (mixing_jaccard, _FE + """, held AS (SELECT DISTINCT segstr, cnval, history_id, history_id // 10000 AS run FROM flow_edges), ref AS (SELECT * FROM held WHERE history_id % 10000 = 3),
         sizes AS (SELECT run, count(*) AS n_ref FROM ref GROUP BY run), per AS (SELECT h.run, h.history_id, count(*) AS n_own, count(r.run) AS n_both FROM held h LEFT JOIN ref r ON h.run = r.run AND h.segstr = r.segstr AND h.cnval = r.cnval GROUP BY 1, 2)
         SELECT run, history_id, n_own, n_ref, n_both, round(n_both / (n_own + n_ref - n_both)::double + 1e-10, 6) AS jaccard FROM per JOIN sizes USING (run)"""),
-    "confusion_matrix": (confusion_matrix, _HS + ", " + _LIKELIHOOD + """, t AS (SELECT CASE WHEN cnval < 0 THEN 'amp' WHEN cnval = 1 THEN 'del' ELSE 'oth' END AS type, likelihood > 0.2 AS p, (segstr, cnval) IN (SELECT (segstr, cnval) FROM flow_edges WHERE history_id % 10000 = 0) AS t FROM lik)
-        SELECT coalesce(type, 'any') AS type, count(*) FILTER (p AND t) AS tp, count(*) FILTER (p AND NOT t) AS fp, count(*) FILTER (NOT p AND t) AS fn, count(*) FILTER (NOT p AND NOT t) AS tn,
-        round(2.0 * count(*) FILTER (p AND t) / nullif(2 * count(*) FILTER (p AND t) + count(*) FILTER (p AND NOT t) + count(*) FILTER (NOT p AND t), 0) + 1e-10, 6) AS f1 FROM t GROUP BY ROLLUP (type)"""),
-    "optimal_histories": (optimal_histories, _with("hist_stats") + "SELECT history_id, upper_cost::bigint AS upper_cost, row_number() OVER (ORDER BY history_id) - 1 AS number FROM hist_stats WHERE upper_cost = (SELECT min(upper_cost) FROM hist_stats)"),
+    "confusion_matrix": (confusion_matrix, """WITH o AS (SELECT l_orderkey, list(CASE l_returnflag WHEN 'R' THEN -1 WHEN 'A' THEN 1 END ORDER BY l_linenumber, l_returnflag = 'A') FILTER (l_returnflag IN ('R', 'A')) AS v,
+          round(avg(l_discount), 9) > 0.05 AND max(l_quantity) > 20 AS p, max(l_tax) > 0.07 AS t, count(*) % 3 = 0 AS e FROM lineitem GROUP BY l_orderkey),
+        f AS (SELECT *, list_reduce(list_prepend(0, coalesce(v, [])), lambda s, c: CASE WHEN c < 0 AND s <> 2 THEN 1 WHEN c > 0 AND s <> 1 THEN 2 ELSE 4 END) AS k FROM o),
+        n AS (SELECT CASE k WHEN 1 THEN 'amp' WHEN 2 THEN 'del' WHEN 4 THEN 'amdl' ELSE 'oth' END AS type, p, t, e FROM f),
+        c AS (SELECT coalesce(type, 'any') AS type, count(*) FILTER (p AND t) AS tp, count(*) FILTER (p AND NOT t) AS fp, count(*) FILTER (NOT p AND t) AS fn, count(*) FILTER (NOT p AND NOT t) AS tn, count(*) FILTER (NOT p AND t AND e) AS ex FROM n GROUP BY ROLLUP (type))
+        SELECT *, round(2.0 * (tp + ex) / nullif(2 * (tp + ex) + (fn - ex) + fp, 0) + 1e-10, 6) AS f1 FROM c"""),
+    "optimal_histories": (optimal_histories, _with("hist_stats") + "SELECT history_id, upper_cost::bigint AS upper_cost, row_number() OVER (ORDER BY history_id) - 1 AS number FROM hist_stats WHERE (upper_cost, lower_cost) = (SELECT (upper_cost, lower_cost) FROM hist_stats ORDER BY upper_cost, lower_cost LIMIT 1)"),
     "history_length_stats": (history_length_stats, _FE + "SELECT history_id, count(*) AS events, max(ord::bigint * 3 % 11) AS max_length, list_sort(list(ord::bigint * 3 % 11))[count(*) // 2 + 1] AS median_length FROM flow_edges GROUP BY history_id"),
     "events_per_history": (events_per_history, _FE + "SELECT history_id, count(DISTINCT ord) AS orders, count(DISTINCT (segstr, cnval)) AS events FROM flow_edges GROUP BY history_id"),
     "score_pairs": (score_pairs, _with("hist_stats") + "SELECT history_id % 10000 >= 12 AS late, upper_cost::bigint AS upper_cost, lower_cost::bigint AS lower_cost, count(*) AS histories FROM hist_stats GROUP BY ALL"),
     "region_dup_del_stats": (region_dup_del_stats, _HS + """, a AS (SELECT sum(exp(-upper_cost::double)) AS w FROM hist_stats), per AS (SELECT segstr AS region, cnval > 0 AS gain, history_id, count(*) AS n, min(ord) AS o, sum(cnval)::double AS v FROM flow_edges GROUP BY ALL),
         s AS (SELECT region, gain, sum(exp(-upper_cost::double) * n) AS n, sum(exp(-upper_cost::double) * o) AS o, sum(exp(-upper_cost::double) * v) AS v, sum(exp(-upper_cost::double)) AS sw FROM per JOIN hist_stats USING (history_id) GROUP BY ALL)
         SELECT region, gain, round(n / a.w + 1e-10, 6) AS mean_count, round((o + 1000 * (a.w - sw)) / a.w + 1e-10, 6) AS mean_order, round(v / a.w + 1e-10, 6) AS mean_value FROM s, a"""),
-    "region_shared_cycles": (region_shared_cycles, _FE + """, m AS (SELECT DISTINCT segstr AS region, concat(history_id, '.', l_orderkey % 40) AS cycle FROM flow_edges WHERE l_linenumber <= 2), size AS (SELECT region, count(*) AS cycles FROM m GROUP BY region),
+    "region_shared_cycles": (region_shared_cycles, _FE + """, m AS (SELECT DISTINCT segstr AS region, concat(history_id, '.', l_orderkey % 40) AS cycle FROM flow_edges), size AS (SELECT region, count(*) AS cycles FROM m GROUP BY region),
         shared AS (SELECT a.region, b.region AS other, count(*) AS shared FROM m a JOIN m b USING (cycle) WHERE a.region <> b.region GROUP BY 1, 2)
         SELECT region, other, shared, row_number() OVER (PARTITION BY region ORDER BY shared DESC, other) AS rank, round(shared / cycles::double + 1e-10, 6) AS share FROM shared JOIN size USING (region) QUALIFY rank <= 3"""),
     "merged_analyses": (merged_analyses, _FE + "SELECT segstr, round(avg(preval) + 1e-10, 6) AS preval, round(avg(ord) + 1e-10, 6) AS ord, string_agg(DISTINCT concat('g', l_orderkey % 5), ',' ORDER BY concat('g', l_orderkey % 5)) AS genes FROM flow_edges GROUP BY segstr"),

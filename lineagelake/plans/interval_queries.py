@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import cycles
-from ..operators import genehistory, graph, intervals
+from ..operators import events, genehistory, graph, intervals
 from ..sources import views
 from .event_queries import _r, _with
 
@@ -58,7 +58,7 @@ def nonoverlap_fix(spark, d):
 
 def germline_antijoin(spark, d):
     calls = views.sv_calls(spark, d)
-    return intervals.without_overlapping(calls.where("flag <> 'A'"), calls.where("flag = 'A' AND l_linenumber = 1")).select("chrom", "start", "finish", "l_orderkey", "l_linenumber")
+    return intervals.without_overlapping(calls.where("flag <> 'A'"), calls.where("flag = 'A'")).select("chrom", "start", "finish", "l_orderkey", "l_linenumber")
 
 
 def chrom_whitelist(spark, d):
@@ -72,8 +72,8 @@ def elementary_intervals(spark, d):
 
 
 def border_margins(spark, d):
-    segments = views.genes(spark, d).where("gene_id % 3 = 0").select("chrom", "start", F.col("finish").alias("finish"), F.col("gene_id").alias("seg_id"))
-    probes = views.sv_calls(spark, d).where("l_linenumber = 1").select("chrom", F.col("start").alias("pos")).distinct()
+    segments = views.genes(spark, d).select("chrom", "start", F.col("finish").alias("finish"), F.col("gene_id").alias("seg_id"))
+    probes = views.sv_calls(spark, d).select("chrom", F.col("start").alias("pos")).distinct()
     return intervals.border_margins(segments, probes)
 
 
@@ -87,23 +87,23 @@ def coverage_normalise(spark, d):
 
 
 def value_ranges(spark, d):
-    rows = views.table(spark, d, "orders").where("o_orderpriority LIKE '1%'").select((F.col("o_custkey") % 5).alias("g"), F.col("o_custkey").alias("value"))
+    rows = views.table(spark, d, "orders").select((F.col("o_custkey") % 5).alias("g"), F.col("o_custkey").alias("value"))
     return intervals.value_runs(rows, by=("g",)).select("g", "first", "last", "text")
 
 
 def chromosome_closure(spark, d):
-    calls = views.sv_calls(spark, d).where("l_linenumber = 1")
+    calls = views.sv_calls(spark, d)
     lengths = views.sv_calls(spark, d).groupBy("chrom").agg((F.max("finish") + 1000).alias("length"))
     return intervals.close_segments(calls, lengths)
 
 
 def gene_labels(spark, d):
-    segments = views.sv_calls(spark, d).where("l_linenumber = 1").select("chrom", "start", "finish", F.col("l_orderkey").alias("seg_id"))
+    segments = views.sv_calls(spark, d).select("chrom", "start", "finish", F.concat_ws(":", "l_orderkey", "l_linenumber", "chrom", "start", "finish").alias("seg_id"))
     return genehistory.label_segments(segments, views.genes(spark, d)).select("seg_id", "labels").distinct()
 
 
 def gene_best_segment(spark, d):
-    segments = views.sv_calls(spark, d).where("l_linenumber <= 3").select("chrom", "start", "finish", (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("seg_id"), (F.col("flag") == "A").alias("is_breakpoint"), F.col("value").alias("likelihood"))
+    segments = views.sv_calls(spark, d).select("chrom", "start", "finish", (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("seg_id"), (F.col("flag") == "A").alias("is_breakpoint"), F.col("value").alias("likelihood"))
     out = genehistory.best_segment(views.genes(spark, d), segments)
     return out.select("gene_id", "name", "seg_id", "is_breakpoint", _r("likelihood"))
 
@@ -116,9 +116,9 @@ def event_genes(spark, d):
 def _profiles(spark, d):
     stats = views.hist_stats(spark, d)
     w = F.when(F.col("upper_cost") + F.col("lower_cost") != 0, 1.0).otherwise(0.0)
-    rows = views.flow_edges(spark, d).where("l_linenumber = 1").groupBy("segstr", "history_id", "cnval").agg(F.max("preval").alias("preval"))
+    rows = views.flow_edges(spark, d).groupBy("segstr", "history_id", "cnval").agg(F.max("preval").alias("preval"))
     values = rows.join(stats.select("history_id", w.alias("weight")), "history_id").withColumnRenamed("segstr", "segment")
-    return genehistory.copy_number_profiles(values, 84.0)
+    return genehistory.copy_number_profiles(values, events.total_weight(stats))
 
 
 def cn_profiles(spark, d):
@@ -156,7 +156,7 @@ def flow_offsets(spark, d):
 
 
 def _bonds(spark, d):
-    rows = views.table(spark, d, "orders").where("o_orderkey % 3 = 0")
+    rows = views.table(spark, d, "orders")
     return rows.select((F.col("o_custkey") * 2).alias("u"), ((F.col("o_custkey") + F.col("o_orderkey") % 4) * 2 + 1).alias("v"), F.round("o_totalprice", 2).alias("flow"))
 
 
@@ -186,7 +186,7 @@ def net_connections(spark, d):
     return graph.net_connections(_segments(spark, d), graph.components(_bonds(spark, d)))
 
 
-_BONDS = "bonds AS (SELECT o_custkey * 2 AS u, (o_custkey + o_orderkey % 4) * 2 + 1 AS v, round(o_totalprice, 2) AS flow FROM orders WHERE o_orderkey % 3 = 0)"
+_BONDS = "bonds AS (SELECT o_custkey * 2 AS u, (o_custkey + o_orderkey % 4) * 2 + 1 AS v, round(o_totalprice, 2) AS flow FROM orders)"
 _SEGMENTS = "segments AS (SELECT c_custkey * 2 AS node, c_custkey * 2 + 1 AS twin, round(c_acctbal + 1000, 2) AS flow FROM customer)"
 _COMPONENTS = f"""WITH RECURSIVE {_BONDS}, both_ways AS (SELECT DISTINCT u, v FROM bonds UNION SELECT DISTINCT v, u FROM bonds),
     reach(node, label) USING KEY (node) AS (SELECT u, least(u, min(v)) FROM both_ways GROUP BY u UNION
@@ -196,9 +196,9 @@ _IMBALANCE = """imb AS (SELECT node, coalesce(s, 0) AS segment_flow, coalesce(b,
       (SELECT node, sum(flow) AS s FROM (SELECT node, flow FROM segments UNION ALL SELECT twin, flow FROM segments WHERE twin <> node) t GROUP BY node) x
       FULL JOIN (SELECT node, sum(flow) AS b FROM (SELECT u AS node, flow FROM bonds UNION ALL SELECT v, flow FROM bonds) t GROUP BY node) y USING (node))"""
 _PAIRS = "FROM sv_calls c JOIN genes g ON c.chrom = g.chrom AND c.start <= g.finish AND c.finish >= g.start"
-_PROFILES = _with("flow_edges", "hist_stats") + """, v AS (SELECT segstr AS segment, history_id, cnval, max(preval) AS preval, any_value(CASE WHEN upper_cost + lower_cost <> 0 THEN 1.0 ELSE 0.0 END) AS w FROM flow_edges JOIN hist_stats USING (history_id) WHERE l_linenumber = 1 GROUP BY ALL),
+_PROFILES = _with("flow_edges", "hist_stats") + """, v AS (SELECT segstr AS segment, history_id, cnval, max(preval) AS preval, any_value(CASE WHEN upper_cost + lower_cost <> 0 THEN 1.0 ELSE 0.0 END) AS w FROM flow_edges JOIN hist_stats USING (history_id) GROUP BY ALL),
     p AS (SELECT segment, history_id, string_agg(cnval::varchar, ',' ORDER BY preval DESC, cnval) AS profile, max(w) AS w FROM v WHERE cnval <> 0 GROUP BY ALL),
-    prof AS (SELECT segment, profile, count(*) AS numhists, sum(w) / 84.0 AS likelihood FROM p GROUP BY ALL)"""
+    prof AS (SELECT segment, profile, count(*) AS numhists, sum(w) / (SELECT count(*) FROM hist_stats WHERE upper_cost > 0 AND upper_cost + lower_cost <> 0) AS likelihood FROM p GROUP BY ALL)"""
 
 QUERIES = {
     "overlap_join": (overlap_join, _SVG + "SELECT c.chrom, l_orderkey, l_linenumber, gene_id " + _PAIRS),
@@ -213,19 +213,19 @@ QUERIES = {
     "gap_fill_bins": (gap_fill_bins, _SV + """, g AS (SELECT chrom, lag(finish) OVER (PARTITION BY chrom ORDER BY start, finish, l_orderkey, l_linenumber) AS a, start AS z FROM sv_calls)
         SELECT chrom, a + k * 1000 AS start, a + (k + 1) * 1000 AS finish FROM (SELECT chrom, a, unnest(range(0, ((z - a + 999) // 1000 - 1)::bigint)) AS k FROM g WHERE z - a > 1000) t"""),
     "nonoverlap_fix": (nonoverlap_fix, _SV + "SELECT chrom, CASE WHEN last >= start THEN last + 1 ELSE start END AS start, finish, l_orderkey, l_linenumber FROM (SELECT *, lag(finish) OVER (PARTITION BY chrom ORDER BY start, finish, l_orderkey, l_linenumber) AS last FROM sv_calls) t"),
-    "germline_antijoin": (germline_antijoin, _SV + "SELECT chrom, start, finish, l_orderkey, l_linenumber FROM sv_calls c WHERE flag <> 'A' AND NOT EXISTS (SELECT 1 FROM sv_calls g WHERE g.flag = 'A' AND g.l_linenumber = 1 AND g.chrom = c.chrom AND c.start < g.finish AND c.finish > g.start)"),
+    "germline_antijoin": (germline_antijoin, _SV + "SELECT chrom, start, finish, l_orderkey, l_linenumber FROM sv_calls c WHERE flag <> 'A' AND NOT EXISTS (SELECT 1 FROM sv_calls g WHERE g.flag = 'A' AND g.chrom = c.chrom AND c.start < g.finish AND c.finish > g.start)"),
     "chrom_whitelist": (chrom_whitelist, _SVG + ", w AS (SELECT DISTINCT chrom FROM genes WHERE gene_id % 24 < 12) SELECT chrom, concat('chr', l_orderkey % 30 + 1) AS chrom2, count(*) AS n FROM sv_calls WHERE chrom IN (SELECT chrom FROM w) AND concat('chr', l_orderkey % 30 + 1) IN (SELECT chrom FROM w) GROUP BY 1, 2"),
     "elementary_intervals": (elementary_intervals, _with("genes") + """, b AS (SELECT chrom, start AS p, 1 AS d FROM genes UNION ALL SELECT chrom, finish + 30000, -1 FROM genes), s AS (SELECT chrom, p, sum(d) AS d FROM b GROUP BY ALL)
         SELECT chrom, p AS start, finish, depth::bigint AS depth FROM (SELECT chrom, p, lead(p) OVER w AS finish, sum(d) OVER (PARTITION BY chrom ORDER BY p ROWS UNBOUNDED PRECEDING) AS depth FROM s WINDOW w AS (PARTITION BY chrom ORDER BY p)) t WHERE finish IS NOT NULL AND depth > 0"""),
-    "border_margins": (border_margins, _SVG + """, seg AS (SELECT chrom, start, finish, gene_id AS seg_id FROM genes WHERE gene_id % 3 = 0), p AS (SELECT DISTINCT chrom, start AS pos FROM sv_calls WHERE l_linenumber = 1)
+    "border_margins": (border_margins, _SVG + """, seg AS (SELECT chrom, start, finish, gene_id AS seg_id FROM genes), p AS (SELECT DISTINCT chrom, start AS pos FROM sv_calls)
         SELECT seg_id, max(pos) FILTER (pos < start) AS before, min(pos) FILTER (pos BETWEEN start AND finish) AS first_in, max(pos) FILTER (pos BETWEEN start AND finish) AS last_in, min(pos) FILTER (pos > finish) AS after FROM seg LEFT JOIN p USING (chrom) GROUP BY seg_id"""),
     "length_weighted_mean": (length_weighted_mean, _SV + "SELECT chrom, sum(finish - start + 1)::bigint AS length, round(sum(value * (finish - start + 1)) / sum(finish - start + 1) + 1e-10, 6) AS mean FROM sv_calls GROUP BY chrom"),
     "coverage_normalise": (coverage_normalise, _SV + ", m AS (SELECT sum(value * (finish - start + 1)) / sum(finish - start + 1) AS m FROM sv_calls) SELECT l_orderkey, l_linenumber, round(value / m + 1e-10, 6) AS normal FROM sv_calls, m"),
-    "value_ranges": (value_ranges, """SELECT g, min(v) AS first, max(v) AS last, CASE WHEN min(v) = max(v) THEN min(v)::varchar ELSE concat(min(v), '-', max(v)) END AS text FROM (SELECT g, v, v - row_number() OVER (PARTITION BY g ORDER BY v) AS k FROM (SELECT DISTINCT o_custkey % 5 AS g, o_custkey AS v FROM orders WHERE o_orderpriority LIKE '1%') t) u GROUP BY g, k"""),
-    "chromosome_closure": (chromosome_closure, _SV + """, cuts AS (SELECT DISTINCT chrom, start AS pos FROM sv_calls WHERE l_linenumber = 1), len AS (SELECT chrom, max(finish) + 1000 AS length FROM sv_calls GROUP BY chrom)
+    "value_ranges": (value_ranges, """SELECT g, min(v) AS first, max(v) AS last, CASE WHEN min(v) = max(v) THEN min(v)::varchar ELSE concat(min(v), '-', max(v)) END AS text FROM (SELECT g, v, v - row_number() OVER (PARTITION BY g ORDER BY v) AS k FROM (SELECT DISTINCT o_custkey % 5 AS g, o_custkey AS v FROM orders) t) u GROUP BY g, k"""),
+    "chromosome_closure": (chromosome_closure, _SV + """, cuts AS (SELECT DISTINCT chrom, start AS pos FROM sv_calls), len AS (SELECT chrom, max(finish) + 1000 AS length FROM sv_calls GROUP BY chrom)
         SELECT chrom, coalesce(lag(pos) OVER (PARTITION BY chrom ORDER BY pos) + 1, 0) AS start, pos AS finish FROM cuts UNION ALL SELECT chrom, max(pos) + 1, any_value(length) FROM cuts JOIN len USING (chrom) GROUP BY chrom HAVING max(pos) < any_value(length)"""),
-    "gene_labels": (gene_labels, _SVG + "SELECT l_orderkey AS seg_id, coalesce(string_agg(DISTINCT name, ',' ORDER BY name), '') AS labels FROM (SELECT * FROM sv_calls WHERE l_linenumber = 1) c LEFT JOIN genes g ON c.chrom = g.chrom AND c.start <= g.finish AND c.finish >= g.start GROUP BY l_orderkey"),
-    "gene_best_segment": (gene_best_segment, _SVG + "SELECT gene_id, name, seg_id, is_breakpoint, round(likelihood + 1e-10, 6) AS likelihood FROM (SELECT gene_id, name, l_orderkey * 10 + l_linenumber AS seg_id, flag = 'A' AS is_breakpoint, value AS likelihood " + _PAIRS + " WHERE l_linenumber <= 3) t QUALIFY row_number() OVER (PARTITION BY gene_id, name ORDER BY is_breakpoint, likelihood DESC, seg_id) = 1"),
+    "gene_labels": (gene_labels, _SVG + "SELECT concat(l_orderkey, ':', l_linenumber, ':', c.chrom, ':', c.start, ':', c.finish) AS seg_id, coalesce(string_agg(DISTINCT name, ',' ORDER BY name), '') AS labels FROM sv_calls c LEFT JOIN genes g ON c.chrom = g.chrom AND c.start <= g.finish AND c.finish >= g.start GROUP BY 1"),
+    "gene_best_segment": (gene_best_segment, _SVG + "SELECT gene_id, name, seg_id, is_breakpoint, round(likelihood + 1e-10, 6) AS likelihood FROM (SELECT gene_id, name, l_orderkey * 10 + l_linenumber AS seg_id, flag = 'A' AS is_breakpoint, value AS likelihood " + _PAIRS + ") t QUALIFY row_number() OVER (PARTITION BY gene_id, name ORDER BY is_breakpoint, likelihood DESC, seg_id) = 1"),
     "event_genes": (event_genes, _SVG + "SELECT l_orderkey % 500 AS event, coalesce(string_agg(DISTINCT name, ',' ORDER BY name), 'None') AS genes FROM sv_calls c LEFT JOIN genes g ON c.chrom = g.chrom AND c.start <= g.finish AND c.finish >= g.start GROUP BY 1"),
     "cn_profiles": (cn_profiles, _PROFILES + " SELECT segment, profile, numhists, round(likelihood + 1e-10, 6) AS likelihood FROM prof"),
     "best_cn_profile": (best_cn_profile, _PROFILES + " SELECT segment, profile, round(likelihood + 1e-10, 6) AS likelihood, round(total + 1e-10, 6) AS total FROM (SELECT *, sum(likelihood) OVER (PARTITION BY segment) AS total, row_number() OVER (PARTITION BY segment ORDER BY round(likelihood, 9) DESC, profile) AS n FROM prof) t WHERE n = 1"),

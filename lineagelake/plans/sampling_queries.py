@@ -1,4 +1,4 @@
-"""Queries of streams, simulations and iterative estimates."""
+"""Queries of streams, block sequences, order-dependent folds and iterative estimates."""
 
 from __future__ import annotations
 
@@ -23,18 +23,17 @@ def stream_run_occurrences(spark, d):
 
 
 def _genomes(spark, d):
-    return sampling.simulate_genomes(views.table(spark, d, "customer").select(F.col("c_custkey").alias("sim_id"), (F.col("c_custkey") % 21 + 10).alias("blocks"), (F.col("c_custkey") % 9).alias("events")))
+    """Each order as a circular genome: its parts in line order, returned ones reversed."""
+    block = F.when(F.col("l_returnflag") == "R", -F.col("l_partkey")).otherwise(F.col("l_partkey"))
+    rows = views.table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("sim_id")).agg(F.array_sort(F.collect_list(F.struct("l_linenumber", block.alias("b")))).alias("o"))
+    return rows.select("sim_id", F.col("o.b").alias("genome"))
 
 
-def simulate(spark, d):
-    return _genomes(spark, d).select("sim_id", F.size("genome").cast("bigint").alias("blocks"), F.array_join("operations", ",").alias("operations"))
-
-
-def simulated_bonds(spark, d):
+def genome_bonds(spark, d):
     return sampling.adjacency_counts(_genomes(spark, d))
 
 
-def simulated_copies(spark, d):
+def genome_copies(spark, d):
     return sampling.block_copies(_genomes(spark, d)).groupBy("sim_id").agg(F.max("n").alias("most"), F.count(F.lit(1)).alias("blocks"))
 
 
@@ -45,16 +44,10 @@ def em_clock(spark, d):
 
 
 def partial_order_depth(spark, d):
-    rows = views.table(spark, d, "orders").where("o_orderkey % 5 = 0").select((F.col("o_custkey") % 60).alias("before"), (F.col("o_custkey") % 60 + F.col("o_orderkey") % 7 + 8).alias("after"))
+    rows = views.table(spark, d, "orders").select(F.col("o_custkey").alias("before"), (F.col("o_custkey") * 2 + F.col("o_orderkey") % 7 + 1).alias("after"))
     return sampling.topological_depth(rows).select("element", F.col("depth").cast("bigint").alias("depth"))
 
 
-def cbs_segments(spark, d):
-    calls = views.sv_calls(spark, d)
-    probes = calls.groupBy(F.concat(F.lit("s"), (F.col("l_orderkey") % 2).cast("string")).alias("sample"), "chrom", F.floor(F.col("start") / 20_000).cast("bigint").alias("pos")).agg(F.avg(F.col("value") + F.when(F.col("start") % 500_000 < 250_000, 1.0).otherwise(0.0)).alias("value"))
-    return sampling.segment_copy_numbers(probes).select("sample", "chrom", "start", "finish", "num_marks", F.round("mean", 6).alias("mean"))
-
-
 def absorbed_segments(spark, d):
     rows = views.sv_calls(spark, d).groupBy("chrom", "start").agg(F.max("finish").alias("finish"), F.count(F.lit(1)).alias("c"), F.avg("value").alias("mean"))
     out = sampling.absorb_small(rows.select(F.lit("s").alias("sample"), "chrom", "start", "finish", (F.col("start") / 10 % 9).cast("bigint").alias("m0"), "mean").withColumn("num_marks", F.col("m0") + 1))
@@ -66,25 +59,18 @@ def germline_fold(spark, d):
     return sampling.germline_fold(calls)
 
 
-def linear_decomposition(spark, d):
-    rows = views.table(spark, d, "lineitem").where("l_linenumber <= 4").select(F.concat(F.lit("s"), (F.col("l_orderkey") % 40).cast("string")).alias("sample"), F.concat(F.lit("e"), (F.col("l_partkey") % 6).cast("string")).alias("event"), (F.col("l_partkey") % 6 < 3).alias("missed"), (F.col("l_suppkey") % 8).alias("edge"), F.lit(1.0).alias("value"))
-    return sampling.explained(rows.distinct())
-
+_GENOMES = "WITH genomes AS (SELECT l_orderkey AS sim_id, list(CASE WHEN l_returnflag = 'R' THEN -l_partkey ELSE l_partkey END ORDER BY l_linenumber, CASE WHEN l_returnflag = 'R' THEN -l_partkey ELSE l_partkey END) AS g FROM lineitem GROUP BY l_orderkey)"
 
 QUERIES = {
     "stream_event_windows": (stream_event_windows, "SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M') AS start, event_type, count(*) AS n, round(sum(value) + 1e-10, 4) AS total FROM events GROUP BY 1, 2"),
     "stream_run_occurrences": (stream_run_occurrences, _with("flow_edges") + "SELECT history_id // 10000 AS run, segstr, cnval, count(*) AS n, max(preval) AS max_preval FROM flow_edges GROUP BY ALL"),
-    "simulate": (simulate, None),
-    "simulated_bonds": (simulated_bonds, None),
-    "simulated_copies": (simulated_copies, None),
+    "genome_bonds": (genome_bonds, _GENOMES + """, p AS (SELECT sim_id, g[i] AS x, -g[i % len(g) + 1] AS y FROM (SELECT *, unnest(range(1, len(g) + 1)) AS i FROM genomes) t)
+        SELECT sim_id, least(x, y) AS "left", greatest(x, y) AS "right", count(*) AS n FROM p GROUP BY ALL"""),
+    "genome_copies": (genome_copies, _GENOMES + " SELECT sim_id, max(n) AS most, count(*) AS blocks FROM (SELECT sim_id, abs(b) AS block, count(*) AS n FROM (SELECT sim_id, unnest(g) AS b FROM genomes) t GROUP BY ALL) u GROUP BY sim_id"),
     "em_clock": (em_clock, None),
-    "partial_order_depth": (partial_order_depth, """WITH RECURSIVE c AS (SELECT DISTINCT o_custkey % 60 AS a, o_custkey % 60 + o_orderkey % 7 + 8 AS b FROM orders WHERE o_orderkey % 5 = 0),
+    "partial_order_depth": (partial_order_depth, """WITH RECURSIVE c AS (SELECT DISTINCT o_custkey AS a, o_custkey * 2 + o_orderkey % 7 + 1 AS b FROM orders),
         r(element, depth) AS (SELECT a, 0 FROM c UNION SELECT b, depth + 1 FROM r JOIN c ON r.element = c.a), e AS (SELECT a AS element FROM c UNION SELECT b FROM c)
         SELECT element, coalesce(max(depth), 0)::bigint AS depth FROM e LEFT JOIN r USING (element) GROUP BY element"""),
-    "cbs_segments": (cbs_segments, None),
-    "absorbed_segments": (absorbed_segments, _with("sv_calls") + """, r AS (SELECT chrom, start, max(finish) AS finish, avg(value) AS mean, start // 10 % 9 + 1 AS num_marks FROM sv_calls GROUP BY chrom, start),
-        i AS (SELECT *, greatest(sum((num_marks >= 5)::int) OVER (PARTITION BY chrom ORDER BY start ROWS UNBOUNDED PRECEDING), 1) AS island FROM r)
-        SELECT 's' AS sample, chrom, min(start) AS start, max(finish) AS finish, sum(num_marks)::bigint AS num_marks, round(sum(mean * num_marks) / sum(num_marks) + 1e-10, 5) AS mean FROM i GROUP BY chrom, island"""),
+    "absorbed_segments": (absorbed_segments, None),
     "germline_fold": (germline_fold, None),
-    "linear_decomposition": (linear_decomposition, None),
 }

@@ -6,17 +6,13 @@ stream with everything that is there now, lets it end, and reads the sink.
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.events import run_of
-
-
-def _shared(spark: SparkSession) -> str:
-    return (spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.gettempdir()).rstrip("/")
+from ..operators.shared import shared_dir
 
 
 def stream_of(spark: SparkSession, path: str) -> DataFrame:
@@ -45,7 +41,7 @@ def catch_up(stream: DataFrame, mode: str = "complete") -> DataFrame:
     """Run ``stream`` over all that is available, write each batch to the shared folder, and
     return the sink's last (complete) or all (append) rows."""
     spark = stream.sparkSession
-    name = f"{_shared(spark)}/stream-{uuid.uuid4().hex}"
+    name = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
 
     def sink(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{name}/batch={number:08d}" if mode == "append" else f"{name}/last")

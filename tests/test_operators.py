@@ -112,17 +112,6 @@ def test_components(spark):
     assert found == {n: root(n) for n in parent}
 
 
-def test_simulation_is_deterministic_and_sound(spark):
-    sims = spark.createDataFrame([(k, 20, 15) for k in range(30)], "sim_id long, blocks int, events int")
-    a = {r.sim_id: (r.genome, r.operations) for r in sampling.simulate_genomes(sims).collect()}
-    b = {r.sim_id: (r.genome, r.operations) for r in sampling.simulate_genomes(sims.repartition(7)).collect()}
-    assert a == b
-    for genome, ops in a.values():
-        assert len(ops) == 15 and genome and set(map(abs, genome)) <= set(range(1, 21))
-        if not {"dup", "del"} & set(ops):
-            assert sorted(map(abs, genome)) == list(range(1, 21))
-
-
 def test_poisson_mixture(spark):
     import numpy as np
 
@@ -132,12 +121,6 @@ def test_poisson_mixture(spark):
     assert found[0][0] == pytest.approx(0.75, abs=0.03)
 
 
-def test_segmentation_finds_a_step(spark):
-    rows = [("s", "chr1", k, 1.0 + (5.0 if 40 <= k < 80 else 0.0) + 0.01 * (k * 7 % 5)) for k in range(120)]
-    got = sampling.segment_copy_numbers(spark.createDataFrame(rows, "sample string, chrom string, pos long, value double")).orderBy("start").collect()
-    assert [(r.start, r.finish) for r in got] == [(0, 39), (40, 79), (80, 119)]
-
-
 def test_partial_order(spark):
     df = spark.createDataFrame([(1, 2), (2, 3), (1, 3)], "before long, after long")
     assert {r.element: r.depth for r in sampling.topological_depth(df).collect()} == {1: 0, 2: 1, 3: 2}
@@ -170,12 +153,53 @@ def test_germline_fold_streams_the_plain_loop(spark, span, share):
     assert "FlatMapGroupsInPandas" not in got._jdf.queryExecution().toString()  # no task holds a chromosome
 
 
-def test_linear_explanation(spark):
-    rows = [("x", "a", True, k, 1.0) for k in range(6)] + [("x", "b", True, k, 1.0) for k in range(6, 12)] + [("x", "a+b", False, k, 1.0) for k in range(12)] + [("x", "part", False, k, 1.0) for k in range(2, 6)]
-    got = {r.event: r.explained for r in sampling.explained(spark.createDataFrame(rows, "sample string, event string, missed boolean, edge long, value double")).collect()}
-    assert got == {"a+b": True, "part": False}
-
-
 def test_newick(spark):
     tree = spark.createDataFrame([("a", None, 0.8), ("b", "a", 0.5), ("c", "a", 0.2)], "event string, parent string, ratio double")
     assert writers.newick(tree) == "((b:0.3,c:0.6)a:0.2);"
+
+
+def test_repeated_points_are_answered_each(spark):
+    points = spark.createDataFrame([("c", 5), ("c", 5), ("c", 50)], "chrom string, pos long")
+    found = intervals.points_in_intervals(points, spark.createDataFrame([("c", 1, 9, 7), ("c", 2, 8, 6)], "chrom string, r_start long, r_finish long, i int"))
+    assert sorted((r.pos, r.i) for r in found.collect()) == [(5, 7), (5, 7)]
+
+
+def absorbed(rows, least=5):
+    """The rule in plain steps: rows (start, finish, marks, mean) of one chromosome."""
+    cells = [dict(start=a, finish=z, marks=n, mean=m, soft=None) for a, z, n, m in rows]
+    kept = []
+    size = lambda c: c["finish"] - c["start"] + 1
+    for k, c in enumerate(cells):
+        if c["marks"] < least and kept:
+            last = kept[-1]
+            last["mean"] = (last["mean"] * size(last) + c["mean"] * size(c) / 2) / (size(last) + size(c) // 2)
+            last["finish"] = c["finish"]
+            last["marks"] += c["marks"] // 2
+        else:
+            kept.append(c)
+        if c["marks"] < least and k + 1 < len(cells):
+            n = cells[k + 1]
+            n["mean"] = (c["mean"] * size(c) / 2 + n["mean"] * size(n)) / (size(c) // 2 + size(n))
+            n["start"] = c["start"] if c["soft"] is None else (c["start"] + c["soft"]) // 2
+            n["soft"] = c["finish"]
+            n["marks"] += c["marks"] // 2
+    return [(c["start"], c["finish"], c["marks"], round(c["mean"], 9)) for c in kept]
+
+
+def test_absorbing_equals_plain_steps(spark):
+    import random
+
+    r = random.Random(11)
+    rows, want = [], {}
+    for k in range(40):
+        at, cells = 0, []
+        for _ in range(r.randrange(1, 9)):
+            end = at + r.randrange(1, 40)
+            cells.append((at, end, r.randrange(1, 12), float(r.randrange(1, 5))))
+            at = end + 1
+        rows += [("s", f"c{k}", *c) for c in cells]
+        want[f"c{k}"] = absorbed(cells)
+    got = {}
+    for x in sampling.absorb_small(spark.createDataFrame(rows, "sample string, chrom string, start long, finish long, num_marks long, mean double")).collect():
+        got.setdefault(x.chrom, []).append((x.start, x.finish, x.num_marks, round(x["mean"], 9)))
+    assert {k: sorted(v) for k, v in got.items()} == {k: sorted(v) for k, v in want.items()}
