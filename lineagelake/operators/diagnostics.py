@@ -151,3 +151,22 @@ def regression(points: DataFrame, by: str) -> DataFrame:
     """Least-squares line of y on x per ``by``: slope, intercept, r2."""
     return points.groupBy(by).agg(F.regr_slope("y", "x").alias("slope"), F.regr_intercept("y", "x").alias("intercept"), F.regr_r2("y", "x").alias("r2"), F.count(F.lit(1)).alias("n"))
 
+
+def accuracy(rows: DataFrame, by: str, score: str, node: str) -> DataFrame:
+    """Per ``by`` (a simulation): mean, least and greatest score, distinct nodes and counts of rows (predicted, true)."""
+    p, t = F.col("predicted"), F.col("true")
+    return rows.groupBy(by).agg(F.avg(score).alias("mean_score"), F.min(score).alias("min_score"), F.max(score).alias("max_score"), F.countDistinct(node).alias("nodes"), F.count_if(p & t).alias("tp"), F.count_if(p & ~t).alias("fp"), F.count_if(~p & t).alias("fn"), F.count_if(~p & ~t).alias("tn"))
+
+
+def add_up(counts: DataFrame, sample: str, place: str, value: str) -> DataFrame:
+    """Per place the sum over all samples; null where some sample has no such place."""
+    samples = counts.agg(F.countDistinct(sample).alias("n")).scalar()
+    sums = counts.groupBy(place).agg(F.sum(value).alias("s"), F.countDistinct(sample).alias("n_"))
+    return sums.select(place, F.when(F.col("n_") == samples, F.col("s")).alias("total"))
+
+
+def unmatched_totals(parts: DataFrame, whole: DataFrame, by: str, value: str, total: str, tolerance: float = 1e-6) -> DataFrame:
+    """Keys whose parts do not add up to their total, within ``tolerance``: by, found, total (0 where missing)."""
+    sums = parts.groupBy(by).agg(F.sum(value).alias("found")).join(whole.select(by, total), by, "full")
+    both = sums.select(by, F.coalesce("found", F.lit(0.0)).alias("found"), F.coalesce(total, F.lit(0.0)).alias(total))
+    return both.where(F.abs(F.col("found") - F.col(total)) > tolerance)

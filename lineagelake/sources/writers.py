@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -64,6 +64,95 @@ def event_lines(summary: DataFrame) -> DataFrame:
     return summary.select(_text("event_id", "likelihood", pair("numhists", "num_runs"), pair("preval_mean", "preval_sd"), pair("order_mean", "order_sd"), "cnval", "segstr", "counts").alias("value"))
 
 
+def stats_lines(stats: DataFrame) -> DataFrame:
+    """Lines of history statistics."""
+    return stats.select(_text("upper_cost", "lower_cost", "error", "length", "median_length", "max_length").alias("value"))
+
+
+def event_table_lines(events: DataFrame) -> DataFrame:
+    """Lines of the event table: avecost is the mean of upper and lower costs."""
+    return events.select(_text("event_id", "event_type", "avecost", "likelihood", "cnval", "length", "numsegs", "preval_mean", "preval_sd", "order_mean", "order_sd", "numhists").alias("value"))
+
+
+def simulation_lines(events: DataFrame) -> DataFrame:
+    """Lines of events held against the truth: true is 1 (found), 0 (wrong) or -1 (missed)."""
+    three = lambda *c: F.concat_ws(",", *(F.col(x).cast("string") for x in c))
+    return events.select(_text("event_id", "event_type", "avecost", "likelihood", "cnval", "true", "length", three("ref_preval", "preval_mean", "preval_sd"), three("ref_order", "order_mean", "order_sd"), "numhists").alias("value"))
+
+
+def confusion_lines(confusion: DataFrame, types: tuple[str, ...] = ("any", "amp", "del", "oth", "amdl")) -> DataFrame:
+    """One line a measure (TP, FP, FN, TN, EX), a number for each type (0 where there is none), and the F1 score."""
+    measures = F.explode(F.array(*(F.struct(F.lit(k).alias("place"), F.lit(m.upper()).alias("measure"), F.col(m).alias("n")) for k, m in enumerate(("tp", "fp", "fn", "tn", "ex"))))).alias("m")
+    wide = confusion.select("type", measures).groupBy("m.place", "m.measure").pivot("type", list(types)).agg(F.sum("m.n")).na.fill(0)
+    score = confusion.where("type = 'any'").select(F.lit(5).alias("place"), F.concat(F.lit("F1Score:\t"), F.col("f1").cast("string")).alias("value"))
+    return wide.select("place", _text("measure", *types).alias("value")).unionByName(score).orderBy("place").select("value")
+
+
+def breakpoint_lines(edges: DataFrame, merged: DataFrame) -> DataFrame:
+    """Places with predicted and true counts of edges and of merged edges (rows chrom, pos, n_pred, n_true of both)."""
+    other = merged.select("chrom", "pos", F.col("n_pred").alias("n2"), F.col("n_true").alias("t2"))
+    return edges.join(other, ["chrom", "pos"]).select(_text("chrom", "pos", "n_pred", "n_true", "n2", "t2").alias("value"))
+
+
+def segment_history_lines(profiles: DataFrame) -> DataFrame:
+    """One line a profile of a segment: comma lists of copy numbers, prevalences and their deviations, and a label if there is one."""
+    listed = lambda c: F.array_join(F.transform(c, lambda x: x.cast("string")), ",")
+    line = _text("chrom", "start", "finish", "likelihood", "numhists", listed("cnvals"), listed("pvals"), listed("pvals_sd"))
+    return profiles.select((F.concat_ws("\t", line, "label") if "label" in profiles.columns else line).alias("value"))
+
+
+def gene_order_lines(genes: DataFrame, profiles: DataFrame, least: float = 0.5) -> DataFrame:
+    """Lines of genes (chrom, start, finish, name, seg_id): the total likelihood of the segment's profiles
+    (seg_id, likelihood, preval, preval_sd) and the best one's figures where that total exceeds ``least``, else 0."""
+    best = profiles.groupBy("seg_id").agg(F.sum("likelihood").alias("total"), F.max(F.struct("likelihood", "preval", "preval_sd")).alias("b"))
+    rows = genes.join(best, "seg_id", "left")
+    sure = F.col("total") > least
+    pick = lambda c: F.when(sure, F.col(f"b.{c}")).otherwise(0.0)
+    return rows.select(_text("chrom", "start", "finish", "name", F.coalesce("total", F.lit(0.0)), pick("likelihood"), pick("preval"), pick("preval_sd")).alias("value"))
+
+
+def link_lines(links: DataFrame) -> DataFrame:
+    """Lines of links between events."""
+    return links.select(_text("node1", "node2", "numhists", "likelihood").alias("value"))
+
+
+def annotation_lines(annotated: DataFrame) -> DataFrame:
+    """Lines of an event and the genes it touches."""
+    return annotated.select(_text("event", "genes").alias("value"))
+
+
+def coverage_graph(segments: DataFrame) -> DataFrame:
+    """Coverage lines of segments numbered by chromosome (chrom 1 to 24): 23 is chrX, 24 chrY."""
+    name = F.when(F.col("chrom") == 23, "chrX").when(F.col("chrom") == 24, "chrY").otherwise(F.concat(F.lit("chr"), F.col("chrom").cast("string")))
+    return segments.select(_text(name, "start", "finish", "mean").alias("value"))
+
+
+def breakend_lines(breaks: DataFrame, value: float = 1000.0) -> DataFrame:
+    """Adjacency lines of breakends, strands turned round, all of one value."""
+    turned = lambda c: F.when(F.col(c) == "+", "-").otherwise("+")
+    zeros = [F.lit(0)] * 10
+    return breaks.select(_text(F.lit("A"), "chrom", "start", turned("strand"), "chrom2", "start2", turned("strand2"), F.lit(value), F.lit(1.0), *zeros).alias("value"))
+
+
+def region_lines(summary: DataFrame) -> DataFrame:
+    """Lines of a table of regions or genes: its columns in order."""
+    return summary.select(_text(*summary.columns).alias("value"))
+
+
+def write_by_place(edges: DataFrame, path: str) -> None:
+    """Edges as Parquet by kind and chromosome, sorted by place, so that a region is read by partition and row group."""
+    kept = edges.where(F.col("is_adj") | (F.col("end") > F.col("start")))
+    kept.repartition("is_adj", "chrom").sortWithinPartitions("start", "end").write.mode("overwrite").partitionBy("is_adj", "chrom").parquet(path)
+
+
+def read_region(spark: SparkSession, path: str, chrom: str, start: int, finish: int) -> DataFrame:
+    """Edges of ``write_by_place`` that touch a region: segments that overlap it, adjacencies that start in it."""
+    # kinds and names of partitions are read as text would be
+    at = spark.read.parquet(path).withColumn("is_adj", F.col("is_adj").cast("boolean")).withColumn("chrom", F.col("chrom").cast("string")).where(F.col("chrom") == chrom)
+    segments = at.where(~F.col("is_adj") & (F.col("start") <= finish) & (F.col("end") >= start))
+    return segments.unionByName(at.where(F.col("is_adj") & F.col("start").between(start, finish)))
+
+
 def newick(tree: DataFrame) -> str:
     """Newick text of one small event tree (event, parent, ratio); lengths are differences of
     ratios.  Meant for display: the tree is brought to the driver."""
