@@ -25,20 +25,23 @@ def shared_dir(spark: SparkSession) -> str:
 _scratch: list[list[str]] = []
 
 
-def write_shared(df: DataFrame, label: str) -> tuple[DataFrame, str]:
-    """``df`` written as a Parquet table in the shared folder and read back, and its path."""
+def write_shared(df: DataFrame, label: str, compression: str = "snappy") -> tuple[DataFrame, str]:
+    """``df`` written as a Parquet table in the shared folder and read back, and its path.
+
+    Spark broadcasts tables by their size in files: dense compression is only for tables that no join builds on.
+    """
     path = f"{shared_dir(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.option("compression", compression).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path), path
 
 
-def materialize(df: DataFrame, label: str = "stage") -> DataFrame:
+def materialize(df: DataFrame, label: str = "stage", compression: str = "snappy") -> DataFrame:
     """Write ``df`` as a Parquet table in the shared folder and read it back.
 
     Cuts the lineage: later stages re-read files instead of recomputing, so a lost
     executor costs only its running tasks.
     """
-    out, path = write_shared(df, label)
+    out, path = write_shared(df, label, compression)
     if _scratch:
         _scratch[-1].append(path)
     return out
