@@ -127,7 +127,7 @@ def write_archive(pages: DataFrame, path: str, min_bytes: int = MIN_REVISIT_BYTE
     plan of revisits is too large for Spark to broadcast.
     """
     date = date or datetime.datetime.now(datetime.UTC).strftime("%Y-%m-%dT%H:%M:%SZ")
-    chunks = materialize(chunk_table(pages, chunk_bytes), "warc-chunks")
+    chunks = materialize(chunk_table(pages, chunk_bytes), "warc-chunks", "zstd")
     plan = materialize(plan_revisits(chunks, min_bytes), "warc-plan")
     rows = chunks.join(plan, "record", "left")
     uri = F.coalesce(F.regexp_replace("url", "[\r\n]", ""), F.lit(""))
