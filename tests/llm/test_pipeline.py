@@ -52,3 +52,26 @@ def test_stages(spark, sf_dir):
         assert (r.n_tokens, r.ids_sha256) == (len(ids), hashlib.sha256(ids.tobytes()).hexdigest())
         assert r.decoded_sha256 == hashlib.sha256(text[r.doc_id].encode()).hexdigest()
     assert corpus_pipeline.run(spark, sf_dir).count() == len(clean)
+
+
+def write(spark, folder, docs):
+    schema = "doc_id long, text string, lang string, source string, n_chars long, row string, spans int"
+    spark.createDataFrame([(*d, len(d[1] or ""), "r", 1) for d in docs], schema).write.parquet(f"{folder}/documents.parquet")
+    spark.createDataFrame([(1, "the quick brown fox jumps over the lazy dog again")], "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
+    return f"file://{folder}"
+
+
+def test_odd_rows_go_through(spark, tmp_path):
+    """Nulls, empty and letterless texts, repeated rows, null ids, secrets and columns with clashing names."""
+    words = "plain words about the weather in the north of the country where rain falls often and long".split()
+    text = lambda k: " ".join(words[(k * j) % len(words)] + str(k) for j in range(1, 40))
+    docs = [(k, text(k), "en", "s") for k in range(30)]
+    docs += [(100, None, "en", "s"), (101, "", None, "s"), (102, "12 34 !?", None, "s"), (None, text(50), "en", None), (3, text(3), "en", "s"), (3, text(3), "en", "s"), (104, text(60) + " the quick brown fox jumps over the lazy dog again", "en", "s"), (105, text(70) + " password = hunter2hunter2", "en", "s"), (106, "long " * 20_000 + text(80), "en", "s")]
+    got = corpus_pipeline.run(spark, write(spark, tmp_path, docs)).collect()
+    ids = sorted(-1 if r.doc_id is None else r.doc_id for r in got)
+    assert ids == [-1, *range(30), 105, 106]
+    assert all(r.n_tokens > 0 and r.decoded_sha256 for r in got)
+
+
+def test_no_documents(spark, tmp_path):
+    assert corpus_pipeline.run(spark, write(spark, tmp_path, [])).count() == 0
