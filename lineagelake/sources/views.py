@@ -25,6 +25,10 @@ SQL = {
         FROM (SELECT l_suppkey % 4 AS s, l_orderkey % 25 AS i FROM lineitem) t""",
     "genes": """SELECT concat('chr', cast(p_partkey % 24 + 1 AS varchar)) AS chrom, p_partkey * 1000 AS start,
         p_partkey * 1000 + p_size * 40 AS finish, concat(p_brand, '-', cast(p_partkey % 97 AS varchar)) AS name, p_partkey AS gene_id FROM part""",
+    "breakends": """SELECT concat(l_orderkey, ':', l_linenumber, ':', l_partkey, ':', l_suppkey) AS breakend_id, concat('chr', l_suppkey % 24 + 1) AS chrom,
+        l_partkey * 1000 + (l_orderkey * 7 + l_linenumber) % 50 * 10 AS start, l_partkey * 1000 + (l_orderkey * 7 + l_linenumber) % 50 * 10 + l_linenumber * 3 AS finish, (l_orderkey + l_linenumber) % 2 = 0 AS strand,
+        concat('chr', l_suppkey % 24 + 1) AS chrom2, l_partkey * 1000 + (l_orderkey * 3) % 50 * 10 AS start2, l_partkey * 1000 + (l_orderkey * 3) % 50 * 10 + 12 AS finish2, l_orderkey % 2 = 0 AS strand2,
+        cast(max(l_quantity) AS double) AS coverage FROM lineitem GROUP BY l_orderkey, l_linenumber, l_partkey, l_suppkey""",
 }
 
 
@@ -61,3 +65,15 @@ def hist_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 def genes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Named intervals."""
     return table(spark, sf_dir, "part").select(_chrom("p_partkey").alias("chrom"), (F.col("p_partkey") * 1000).alias("start"), (F.col("p_partkey") * 1000 + F.col("p_size") * 40).alias("finish"), F.concat("p_brand", F.lit("-"), (F.col("p_partkey") % 97).cast("string")).alias("name"), F.col("p_partkey").alias("gene_id"))
+
+
+def breakends(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Breakends with their far ends and coverage; ids are distinct."""
+    keys = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
+    rows = table(spark, sf_dir, "lineitem").groupBy(*keys).agg(F.max("l_quantity").cast("double").alias("coverage"))
+    order, line = F.col("l_orderkey"), F.col("l_linenumber")
+    start, start2 = F.col("l_partkey") * 1000 + (order * 7 + line) % 50 * 10, F.col("l_partkey") * 1000 + (order * 3) % 50 * 10
+    return rows.select(
+        F.concat_ws(":", *keys).alias("breakend_id"), _chrom("l_suppkey").alias("chrom"), start.alias("start"), (start + line * 3).alias("finish"), ((order + line) % 2 == 0).alias("strand"),
+        _chrom("l_suppkey").alias("chrom2"), start2.alias("start2"), (start2 + 12).alias("finish2"), (order % 2 == 0).alias("strand2"), "coverage",
+    )
