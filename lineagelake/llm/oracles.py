@@ -60,3 +60,11 @@ DECONTAMINATION = f"""WITH d AS (SELECT doc_id, regexp_extract_all(translate(coa
   i AS (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), {_WORD}) AS ws FROM benchmark),
   ds AS (SELECT doc_id, unnest({_SHINGLES}) AS s FROM d WHERE len(ws) > 0), q AS (SELECT item_id, {_SHINGLES} AS ss FROM i WHERE len(ws) > 0), qs AS (SELECT item_id, len(ss) AS n_item, unnest(ss) AS s FROM q)
   SELECT doc_id, item_id, count(*) AS n_shared, n_item, count(*) / n_item::double AS containment FROM ds JOIN qs USING (s) GROUP BY doc_id, item_id, n_item HAVING count(*) >= ceil(0.8 * n_item - 1e-9)"""
+
+_TERMS = f"regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+')"
+LEXICAL = f"""WITH d AS (SELECT doc_id, {_TERMS} AS ts FROM documents), c AS (SELECT sum(len(ts))::bigint AS l, count(*) AS n FROM d WHERE len(ts) > 0),
+  tf AS (SELECT doc_id, n, term, count(*) AS tf FROM (SELECT doc_id, len(ts) AS n, unnest(ts) AS term FROM d) t GROUP BY ALL),
+  w AS (SELECT term, floor(1000 * ln((2 * c.n + 2)::double / (2 * df + 1)))::bigint AS w FROM (SELECT term, count(*) AS df FROM tf GROUP BY term) f, c),
+  i AS (SELECT DISTINCT item_id, unnest({_TERMS}) AS term FROM benchmark),
+  s AS (SELECT item_id, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 20 * (50 + (50 * tf.n * c.n) // c.l))))::bigint AS score FROM i JOIN tf USING (term) JOIN w USING (term), c GROUP BY ALL)
+  SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::int AS rank, doc_id, score FROM s WHERE score > 0 QUALIFY rank <= 50"""
