@@ -68,3 +68,11 @@ LEXICAL = f"""WITH d AS (SELECT doc_id, {_TERMS} AS ts FROM documents), c AS (SE
   i AS (SELECT DISTINCT item_id, unnest({_TERMS}) AS term FROM benchmark),
   s AS (SELECT item_id, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 20 * (50 + (50 * tf.n * c.n) // c.l))))::bigint AS score FROM i JOIN tf USING (term) JOIN w USING (term), c GROUP BY ALL)
   SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::int AS rank, doc_id, score FROM s WHERE score > 0 QUALIFY rank <= 50"""
+
+_FOURS = _SHINGLES.replace("- 4,", "- 3,").replace("i + 4]", "i + 3]")
+NEAR_COPIES = f"""WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), {_WORD}) AS ws FROM documents),
+  sets AS (SELECT doc_id, CASE WHEN len(ws) > 0 THEN list_sort({_FOURS}) ELSE [] END AS ss FROM d), c AS (SELECT min(doc_id) AS cls, ss FROM sets WHERE len(ss) > 0 GROUP BY ss),
+  s AS (SELECT cls, len(ss) AS n, unnest(ss) AS s FROM c),
+  l AS (SELECT a.cls AS a, b.cls AS b FROM s a JOIN s b ON a.s = b.s AND a.cls < b.cls AND 100 * least(a.n, b.n) >= 80 * greatest(a.n, b.n) GROUP BY a.cls, b.cls, a.n, b.n HAVING 100 * count(*) >= 80 * (a.n + b.n - count(*))),
+  e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l), r(a, b) AS (SELECT cls, cls FROM c UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a), low AS (SELECT a AS cls, min(b) AS component_id FROM r GROUP BY a)
+  SELECT doc_id, len(sets.ss)::bigint AS n_shingles, coalesce(component_id, doc_id) AS component_id, doc_id = coalesce(component_id, doc_id) AS kept FROM sets LEFT JOIN c ON sets.ss = c.ss LEFT JOIN low USING (cls)"""

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chat, decontam, langid, lexical, lm, oracles, quality, secret_scan, sharding, warc, whitening
+from . import bpe, chat, decontam, langid, lexical, lm, minhash, oracles, quality, secret_scan, sharding, warc, whitening
 from .common import read
 from .simhash import near_duplicates
 
@@ -63,6 +63,10 @@ def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.with_digests(bpe.round_trip(read(spark, sf_dir, "documents"), path, pattern))
 
 
+def op11_tensored_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(read(spark, sf_dir, "documents"))
+
+
 def op12_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.whiten(read(spark, sf_dir, "embeddings"))
 
@@ -72,7 +76,7 @@ def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_simhash_dedup": op1_simhash_dedup, "op2_lm_scoring": op2_lm_scoring, "op3_language_id": op3_language_id, "op4_secret_scan": op4_secret_scan, "op5_warc": op5_warc, "op6_quality_rules": op6_quality_rules, "op7_chat_prefix_tree": op7_chat_prefix_tree, "op8_benchmark_decontamination": op8_benchmark_decontamination, "op9_byte_bpe": op9_byte_bpe, "op10_kk_sharding": op10_kk_sharding, "op12_embedding_whitening": op12_embedding_whitening, "op13_lexical_search": op13_lexical_search}
+    return {"op1_simhash_dedup": op1_simhash_dedup, "op2_lm_scoring": op2_lm_scoring, "op3_language_id": op3_language_id, "op4_secret_scan": op4_secret_scan, "op5_warc": op5_warc, "op6_quality_rules": op6_quality_rules, "op7_chat_prefix_tree": op7_chat_prefix_tree, "op8_benchmark_decontamination": op8_benchmark_decontamination, "op9_byte_bpe": op9_byte_bpe, "op10_kk_sharding": op10_kk_sharding, "op11_tensored_minhash": op11_tensored_minhash, "op12_embedding_whitening": op12_embedding_whitening, "op13_lexical_search": op13_lexical_search}
 
 
 def oracle_sql() -> dict[str, str]:
@@ -83,5 +87,6 @@ def oracle_sql() -> dict[str, str]:
         "op6_quality_rules": oracles.QUALITY,
         "op7_chat_prefix_tree": oracles.CHAT,
         "op8_benchmark_decontamination": oracles.DECONTAMINATION,
+        "op11_tensored_minhash": oracles.NEAR_COPIES,
         "op13_lexical_search": oracles.LEXICAL,
     }
