@@ -71,10 +71,11 @@ def running(parts: DataFrame, by: list[str], order: list[str], folds: dict[str,
     for name, f in folds.items():
         merge = {"sum": F.sum, "count": F.sum, "max": F.max, "min": F.min, "xor": F.bit_xor, "last": lambda v: F.last(v, ignorenulls=True)}[f.kind]
         gathered = gathered.withColumn(f"c_{name}", merge(f"t_{name}").over(step))
-    gathered = gathered.select(F.col(PART).alias("q_"), F.col("last_").alias("g_"), *(f"c_{name}" for name in folds))
-    earlier = (F.col("q_") > F.col(PART)) if reverse else (F.col("q_") < F.col(PART))
-    near = F.min if reverse else F.max
-    carry = ends.join(gathered, F.col("first_").eqNullSafe(F.col("g_")) & earlier).groupBy(PART, "first_").agg(near(F.struct("q_", *(f"c_{name}" for name in folds))).alias("c_"))
+    # a group's parts are neighbours: the part before ends with this one's first group, or none does
+    near = Window.orderBy(direction(PART))
+    held = ends.join(gathered.select(PART, *(f"c_{name}" for name in folds)), PART)
+    lagged = held.select(PART, "first_", F.lag("last_").over(near).alias("g_"), F.lag(F.struct(*(f"c_{name}" for name in folds))).over(near).alias("c_"))
+    carry = lagged.where(F.col("first_").eqNullSafe(F.col("g_"))).drop("g_")
     out = own.join(F.broadcast(carry), PART, "left")
     carried = group.eqNullSafe(F.col("first_"))
     return out.select(*parts.columns, *(F.when(carried, f.joined(F.col(f"c_.c_{name}"), F.col(name))).otherwise(F.col(name)).alias(name) for name, f in folds.items()))
