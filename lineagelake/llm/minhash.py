@@ -8,10 +8,11 @@ of 0.8 share no table with chance 2 * (1 - 0.8 ** 3) ** 16, about 2 in 100,000;
 Equal sets are one class from the start.  A table key can only be shared where its first half is, so keys are
 formed for shared halves alone: a document that resembles none forms none.
 
-Links are found without all pairs of a crowded key.  In each round every class that shares a key with a class of
-another group is compared with one pivot, the least of all its keys' pivots, and joins its group if they link.
-What the rounds leave, pairs of different groups under one key, is joined and verified pair by pair.  Two classes
-of one group need no comparison, so a large group of near copies costs a comparison a member.
+Links are found without forming the pairs of a crowded key, and without repeating them for every key that two
+documents share.  A key's pivot is its least class; a class is at home with the least pivot of its keys.  Homes
+are cut into blocks of ``BLOCK`` classes: first each block is compared within itself, then blocks of one home, and
+of homes that meet under some key, with each other.  A task compares the likeliest pairs first and skips those
+that links already join, so a large group of near copies costs little more than a comparison a member.
 
 A comparison looks at set sizes and two bits of each of the 96 minhashes first and then intersects the full
 sets of shingle hashes (64 bits), made from the whole texts.
@@ -20,11 +21,12 @@ sets of shingle hashes (64 bits), made from the whole texts.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.graph import components
@@ -36,8 +38,8 @@ SIDE, GROUP = 16, 3
 LANES = 2 * SIDE * GROUP
 #: Lanes whose two low bits must agree: sets at the threshold agree in 0.85 of 96, so that fewer than 60 has chance below 10 ** -7.
 AGREE = 60
-#: Rounds of pivots before the remaining pairs are joined.
-ROUNDS = 2
+#: Classes of one block, about.
+BLOCK = 256
 #: Most classes whose places are broadcast to fetch their texts; beyond, places and texts are joined by a shuffle.
 MAX_PLACES = 400_000
 _RNG = np.random.default_rng(20)
@@ -98,15 +100,6 @@ def table_keys(classes: DataFrame) -> DataFrame:
     return both.select("cls", "i", F.col("u")[F.col("i")].alias("part"), F.posexplode("v").alias("j", "other")).select(F.xxhash64("i", "part", "j", "other").alias("key"), "cls")
 
 
-def _alike(x: str, y: str) -> Column:
-    """Whether sizes and sketched bits allow a link between the rows ``x`` and ``y``."""
-    n, m = F.col(f"{x}.n"), F.col(f"{y}.n")
-    pairs = 0x5555555555555555
-    differ = [F.col(f"{x}.bits")[k].bitwiseXOR(F.col(f"{y}.bits")[k]) for k in range(3)]
-    lanes = sum((F.bit_count(d.bitwiseOR(F.shiftrightunsigned(d, 1)).bitwiseAND(F.lit(pairs))) for d in differ), F.lit(0))
-    return (100 * F.least(n, m) >= PERCENT * F.greatest(n, m)) & (LANES - lanes >= AGREE)
-
-
 def _texts(rows: DataFrame, row: str, text_col: str, wanted: DataFrame) -> DataFrame:
     """(cls, packed): the compressed texts of the classes' first rows; wanted: cls, row."""
     places = wanted.select(F.col("row").alias(row), "cls")
@@ -119,32 +112,91 @@ def _texts(rows: DataFrame, row: str, text_col: str, wanted: DataFrame) -> DataF
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([press.compress(t.encode("utf-8", "surrogatepass")) for t in b.column(1).to_pylist()], pa.binary())], names=["cls", "packed"])
 
     found = rows.select(F.col(row), F.col(text_col).alias("text")).join(places, row).select("cls", "text")
-    return materialize(map_batches(found, run, "cls bigint, packed binary"), "candidate-texts")
+    return map_batches(found, run, "cls bigint, packed binary")
 
 
-def _verify(pairs: DataFrame, classes: DataFrame, texts: DataFrame) -> DataFrame:
-    """The pairs (a, b) of classes that link on their full sets, written."""
-    slim = classes.select("cls", "n", "bits")
-    near = pairs.join(slim.alias("x"), F.col("a") == F.col("x.cls")).join(slim.alias("y"), F.col("b") == F.col("y.cls")).where(_alike("x", "y")).select("a", "b")
-    near = materialize(near, "likely-pairs")
-    with_b = near.join(texts.select(F.col("cls").alias("b"), F.col("packed").alias("second")), "b")
-    both = with_b.join(texts.select(F.col("cls").alias("a"), F.col("packed").alias("first")), "a")
+def agreement(one: np.ndarray, two: np.ndarray) -> np.ndarray:
+    """Lanes whose two bits agree, of every row of ``one`` with every row of ``two``."""
+    differ = one[:, None, :] ^ two[None, :, :]
+    differ = (differ | (differ >> np.uint64(1))) & np.uint64(0x5555555555555555)
+    return LANES - np.bitwise_count(differ).sum(axis=2, dtype=np.int64)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingler, unpack = Shingler(SHINGLE_WORDS), zstandard.ZstdDecompressor()
-        last, one = None, np.zeros(0, np.uint64)
-        full = lambda packed: shingle_set(shingler, unpack.decompress(packed).decode("utf-8", "surrogatepass"))
-        for b in batches:
-            linked = []
-            for a, first, second in zip(b.column(0).to_pylist(), b.column(2).to_pylist(), b.column(3).to_pylist()):
-                if a != last:  # the join has a pivot's rows together
-                    last, one = a, full(first)
-                two = full(second)
-                shared = len(np.intersect1d(one, two, assume_unique=True))
-                linked.append(100 * shared >= PERCENT * (len(one) + len(two) - shared))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], names=["a", "b"]).filter(pa.array(linked))
 
-    return materialize(map_batches(both.select("a", "b", "first", "second"), run, "a bigint, b bigint"), "links")
+def linked_pairs(labels: list[int], sizes: list[int], bits: np.ndarray, packed: list[bytes], across: np.ndarray | None) -> tuple[list[tuple[int, int]], list[int]]:
+    """Verified links (i, j) that join rows of different labels, no more than it takes, and each row's group after them.
+
+    The likeliest pairs come first; pairs that are one group by then need no comparison.  ``across``: of which
+    side each row is, if only pairs of both sides are asked for.
+    """
+    shingler, unpack = Shingler(SHINGLE_WORDS), zstandard.ZstdDecompressor()
+    n, names = np.array(sizes), np.unique(labels, return_inverse=True)[1]
+    left, right = (np.arange(len(n)),) * 2 if across is None else (np.flatnonzero(across == 0), np.flatnonzero(across == 1))
+    agree = agreement(bits[left], bits[right])
+    small, large = np.minimum(n[left][:, None], n[right]), np.maximum(n[left][:, None], n[right])
+    likely = (agree >= AGREE) & (100 * small >= PERCENT * large) & (names[left][:, None] != names[right])
+    if across is None:
+        likely &= np.tri(len(n), k=-1, dtype=bool).T
+    at = np.flatnonzero(likely)
+    at = at[np.argsort(-agree.ravel()[at], kind="stable")]
+    parent = list(range(int(names.max(initial=0)) + 1))
+    sets: dict[int, np.ndarray] = {}
+
+    def root(x: int) -> int:
+        while parent[x] != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
+
+    def full(i: int) -> np.ndarray:
+        if i not in sets:
+            sets[i] = shingle_set(shingler, unpack.decompress(packed[i]).decode("utf-8", "surrogatepass"))
+        return sets[i]
+
+    found = []
+    for i, j in zip(left[at // max(len(right), 1)].tolist(), right[at % max(len(right), 1)].tolist()):
+        a, b = root(names[i]), root(names[j])
+        if a == b:
+            continue
+        one, two = full(i), full(j)
+        short, long = (one, two) if len(one) < len(two) else (two, one)
+        place = np.minimum(np.searchsorted(long, short), len(long) - 1)
+        shared = int((long[place] == short).sum())
+        if 100 * shared >= PERCENT * (len(one) + len(two) - shared):
+            parent[b] = a
+            found.append((i, j))
+    return found, [root(x) for x in names]
+
+
+def _compare(dealt: DataFrame, within: bool) -> DataFrame:
+    """(a, b), written: links within each task's rows, or across its two sides.
+
+    dealt: p, block, q, other (they name a task), side, cls, label, n, bits, packed.  Within a task, b is every member
+    of a group and a its least; across, links as they were found.
+    """
+    task = ["p", "block", "q", "other"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = (r for b in batches for r in zip(*(c.to_pylist() for c in b.columns)))
+        out: list[tuple[int, int]] = []
+        for _, group in groupby(rows, key=lambda r: r[:4]):
+            side, cls, labels, sizes, bits, packed = map(list, zip(*(r[4:] for r in group)))
+            if len(cls) > 1:
+                across = None if within else np.array(side)
+                found, groups = linked_pairs(labels, sizes, np.array(bits, np.int64).view(np.uint64), packed, across)
+                if within:
+                    least: dict[int, int] = {}
+                    for c, g in zip(cls, groups):
+                        least[g] = min(least.get(g, c), c)
+                    out += [(least[g], c) for c, g in zip(cls, groups) if c != least[g]]
+                else:
+                    out += [(cls[i], cls[j]) for i, j in found]
+            if len(out) > 10_000:
+                yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.int64()) for k in (0, 1)], names=["a", "b"])
+                out = []
+        yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.int64()) for k in (0, 1)], names=["a", "b"])
+
+    together = dealt.repartition(*task).sortWithinPartitions(*task)
+    return materialize(map_batches(together.select(*task, "side", "cls", "label", "n", "bits", "packed"), run, "a bigint, b bigint"), "links")
 
 
 def links(rows: DataFrame, row: str, text_col: str, classes: DataFrame) -> DataFrame:
@@ -152,33 +204,28 @@ def links(rows: DataFrame, row: str, text_col: str, classes: DataFrame) -> DataF
     keys = table_keys(classes)
     shared = materialize(keys.groupBy("key").agg(F.min("cls").alias("pivot"), F.max("cls").alias("top")).where("pivot < top").select("key", "pivot"), "shared-keys")
     buckets = materialize(keys.join(shared, "key"), "buckets")
-    texts = _texts(rows, row, text_col, buckets.select("cls").distinct().join(classes, "cls").select("cls", "row"))
-    compared = buckets.where("cls <> pivot").groupBy(F.col("cls").alias("b")).agg(F.min("pivot").alias("a")).select("a", "b")
-    found = _verify(compared, classes, texts)
-    groups = found.select(F.col("b").alias("cls"), F.col("a").alias("label"))
-    mixed = _mixed(buckets.select("key", "cls"), groups, 0)
-    for k in range(1, ROUNDS):
-        compared = mixed.where("label <> pivot_label").groupBy("cls").agg(F.min_by("pivot", F.xxhash64(F.lit(k), "pivot")).alias("pivot"), F.min_by("pivot_label", F.xxhash64(F.lit(k), "pivot")).alias("pivot_label"), F.first("label").alias("label"))
-        compared = materialize(compared, "compared")
-        more = _verify(compared.select(F.col("pivot").alias("a"), F.col("cls").alias("b")), classes, texts)
-        found = found.unionByName(more)
-        # a class that has linked takes its pivot's label; the others of its old group keep theirs
-        moved = compared.join(more.select(F.col("b").alias("cls")), "cls").select("cls", F.col("pivot_label").alias("to"))
-        groups = groups.join(moved, "cls", "full").select("cls", F.coalesce("to", "label").alias("label"))
-        mixed = _mixed(mixed.select("key", "cls"), groups, k)
-    slim = mixed.select("key", "cls", "label").join(classes.select("cls", "n", "bits"), "cls")
-    meet = (F.col("x.key") == F.col("y.key")) & (F.col("x.cls") < F.col("y.cls")) & (F.col("x.label") != F.col("y.label")) & _alike("x", "y")
-    rest = slim.alias("x").join(slim.alias("y"), meet).select(F.col("x.cls").alias("a"), F.col("y.cls").alias("b")).distinct()
-    return found.unionByName(_verify(rest, classes, texts))
-
-
-def _mixed(buckets: DataFrame, groups: DataFrame, k: int) -> DataFrame:
-    """(key, cls, label, pivot, pivot_label) of the keys that classes of several groups share; groups: cls, label."""
-    held = buckets.join(groups, "cls", "left").withColumn("label", F.coalesce("label", "cls"))
-    drawn = F.xxhash64(F.lit(k + 1), "cls")
-    keys = held.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.min_by("cls", drawn).alias("pivot"), F.min_by("label", drawn).alias("pivot_label"))
-    keys = materialize(keys.where("low < high").drop("low", "high"), "mixed-keys")
-    return materialize(held.join(keys, "key"), "mixed")
+    home = materialize(buckets.groupBy("cls").agg(F.min("pivot").alias("p")), "homes")
+    blocks = materialize(home.groupBy("p").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("m")), "home-blocks")
+    places = home.join(classes.select("cls", "row", "n", "bits"), "cls").join(blocks, "p")
+    places = materialize(places.withColumn("block", F.pmod(F.xxhash64("cls"), F.col("m")).cast("int")), "places")
+    members = materialize(_texts(rows, row, text_col, places.select("cls", "row")).join(places.drop("row"), "cls"), "members")
+    own = members.select("p", "block", F.col("p").alias("q"), F.col("block").alias("other"), F.lit(0).alias("side"), "cls", F.col("cls").alias("label"), "n", "bits", "packed")
+    first = _compare(own, within=True)
+    labelled = members.join(first.select(F.col("b").alias("cls"), F.col("a").alias("label")), "cls", "left").withColumn("label", F.coalesce("label", "cls"))
+    # homes that a key has in common, and the blocks of one home
+    met = buckets.join(home, "cls").select("key", "p").distinct()
+    several = materialize(met.groupBy("key").agg(F.min("p").alias("low"), F.max("p").alias("high")).where("low < high").select("key"), "keys-of-homes")
+    met = materialize(met.join(several, "key"), "homes-that-meet")
+    pairs = met.join(met.withColumnRenamed("p", "q"), "key").where("p < q").select("p", "q").distinct()
+    pairs = materialize(pairs.unionByName(blocks.where("m > 1").select("p", F.col("p").alias("q"))), "home-pairs")
+    sized = pairs.join(blocks, "p").join(blocks.select(F.col("p").alias("q"), F.col("m").alias("k")), "q")
+    ends = materialize(sized.select(F.explode(F.array(F.struct(F.col("p").alias("home"), F.lit(0).alias("side"), "p", "q", F.col("k").alias("there")), F.struct(F.col("q").alias("home"), F.lit(1).alias("side"), "p", "q", F.col("m").alias("there")))).alias("e")).select("e.*"), "home-ends")
+    dealt = labelled.withColumnRenamed("p", "home").join(ends, "home").withColumn("x", F.explode(F.sequence(F.lit(0), F.col("there") - 1)))
+    # one home's blocks meet once, the lower one on the left
+    kept = (F.col("p") != F.col("q")) | F.when(F.col("side") == 0, F.col("block") < F.col("x")).otherwise(F.col("block") > F.col("x"))
+    mine, theirs = F.when(F.col("side") == 0, F.col("block")).otherwise(F.col("x")), F.when(F.col("side") == 0, F.col("x")).otherwise(F.col("block"))
+    dealt = dealt.where(kept).select("p", mine.alias("block"), "q", theirs.alias("other"), "side", "cls", "label", "n", "bits", "packed")
+    return first.unionByName(_compare(dealt, within=False))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -61,9 +61,9 @@ def test_against_all_pairs(spark, groups, size):
     assert 1 < len({w[2] for w in want}) < len(docs)
 
 
-def test_pairs_that_no_pivot_finds(spark, monkeypatch):
-    """One round of pivots, the texts by a shuffled join: the joined pairs find the rest."""
-    monkeypatch.setattr(minhash, "ROUNDS", 1)
+def test_links_between_blocks_and_homes(spark, monkeypatch):
+    """Blocks of a few classes, the texts by a shuffled join: what no block holds by itself is found across."""
+    monkeypatch.setattr(minhash, "BLOCK", 4)
     monkeypatch.setattr(minhash, "MAX_PLACES", 0)
     words, chain = [f"w{k}" for k in range(200)], []
     for k in range(30):  # each links with its neighbours in the chain, not with its ends
