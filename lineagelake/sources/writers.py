@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..operators import forest
+from ..operators.shared import materialize, shuffle_partitions
+
 
 def _text(*columns: Column | str) -> Column:
     return F.concat_ws("\t", *(F.coalesce((F.col(c) if isinstance(c, str) else c).cast("string"), F.lit("NA")) for c in columns))
@@ -153,23 +156,29 @@ def read_region(spark: SparkSession, path: str, chrom: str, start: int, finish:
     return segments.unionByName(at.where(F.col("is_adj") & F.col("start").between(start, finish)))
 
 
-def newick(tree: DataFrame) -> str:
-    """Newick text of one small event tree (event, parent, ratio); lengths are differences of
-    ratios.  Meant for display: the tree is brought to the driver."""
-    rows = {r["event"]: (r["parent"], r["ratio"]) for r in tree.collect()}
-    children: dict = {}
-    for event, (parent, _) in rows.items():
-        children.setdefault(parent, []).append(event)
-    done: dict = {}
-    stack = [(e, False) for e in sorted(children.get(None, []))]
-    while stack:
-        event, ready = stack.pop()
-        below = sorted(children.get(event, []))
-        if not ready:
-            stack.append((event, True))
-            stack += [(c, False) for c in below]
-        else:
-            parent, ratio = rows[event]
-            length = (rows[parent][1] if parent is not None else 1.0) - ratio
-            done[event] = (f"({','.join(done[c] for c in below)})" if below else "") + f"{event}:{length:g}"
-    return f"({','.join(done[e] for e in sorted(children.get(None, [])))});"
+def newick(tree: DataFrame) -> DataFrame:
+    """(root, place, piece): the Newick text of each event tree (event, parent, ratio), cut where events begin and end.
+
+    In the order of ``place`` a tree's pieces are its text, so no task holds a tree or a text.  Children come by
+    event; an event is a fork of its children and of what is left of itself (without children, of two such
+    leaves), a leaf is named by its event and as long as its ratio, a fork as long as its ratio falls short of its
+    parent's (a root's of 1).  An event whose parent is null or unknown is a root; null events have no text, of
+    rows that repeat an event one counts; cycles of parents raise.
+    """
+    rows = materialize(tree.where("event IS NOT NULL").dropDuplicates(["event"]).select("event", "parent", F.col("ratio").cast("double").alias("ratio")), "events")
+    up = rows.select(F.col("event").alias("parent"), F.col("ratio").alias("above"))
+    held = materialize(rows.join(up, "parent", "left").select("event", F.when(F.col("above").isNotNull(), F.col("parent")).alias("parent"), "ratio", "above"), "events")
+    found = forest.ordered_places(held.select(F.col("event").alias("node"), "parent"))
+    full = found.join(held.select(F.col("event").alias("node"), "ratio", "above"), "node")
+    leaf = F.format_string("%s:%f", F.col("node").cast("string"), "ratio")
+    length = F.format_string("%f", F.coalesce("above", F.lit(1.0)) - F.col("ratio"))
+    start = F.concat(F.when(F.col("first"), "").otherwise(","), F.lit("("))
+    end = F.concat(F.when(F.col("children") > 0, F.concat(F.lit(","), leaf)).otherwise(F.concat(leaf, F.lit(",n"), leaf)), F.lit("):"), length, F.when(F.col("depth") == 0, ";").otherwise(""))
+    pieces = F.explode(F.array(F.struct(F.col("enter").alias("place"), start.alias("piece")), F.struct(F.col("leave").alias("place"), end.alias("piece"))))
+    return full.select("root", pieces.alias("p")).select("root", "p.place", "p.piece")
+
+
+def write_newick(tree: DataFrame, path: str) -> None:
+    """``newick`` as text files that hold the trees one after the other when read in order of their names: a piece
+    a line, as white space between pieces means nothing."""
+    newick(tree).repartitionByRange(shuffle_partitions(tree.sparkSession), "root", "place").sortWithinPartitions("root", "place").select(F.col("piece").alias("value")).write.mode("overwrite").text(path)

@@ -153,11 +153,6 @@ def test_germline_fold_streams_the_plain_loop(spark, span, share):
     assert "FlatMapGroupsInPandas" not in got._jdf.queryExecution().toString()  # no task holds a chromosome
 
 
-def test_newick(spark):
-    tree = spark.createDataFrame([("a", None, 0.8), ("b", "a", 0.5), ("c", "a", 0.2)], "event string, parent string, ratio double")
-    assert writers.newick(tree) == "((b:0.3,c:0.6)a:0.2);"
-
-
 def test_repeated_points_are_answered_each(spark):
     points = spark.createDataFrame([("c", 5), ("c", 5), ("c", 50)], "chrom string, pos long")
     found = intervals.points_in_intervals(points, spark.createDataFrame([("c", 1, 9, 7), ("c", 2, 8, 6)], "chrom string, r_start long, r_finish long, i int"))
