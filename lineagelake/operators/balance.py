@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import materialize
+from .shared import materialize, materialize_with
 
 # fixed values of the model: the standard deviation of a segment, the least one of a bond, that of a
 # missing bond where chains are balanced, and the weight of a node's error
@@ -39,9 +39,9 @@ def least_squares(variables: DataFrame, entries: DataFrame, targets: DataFrame,
     for _ in range(max_rounds):
         along = materialize(through(now.select("var", "p"), "var").groupBy("node").agg(F.sum(F.col("coef") * F.col("p")).alias("t")), "along")
         back = through(along, "node").groupBy("var").agg((weight * F.sum(F.col("coef") * F.col("t"))).alias("s"))
-        step = materialize(now.join(back, "var", "left").withColumn("q", F.col("d") * F.col("p") + F.coalesce("s", F.lit(0.0))).drop("s"), "corrections")
         r, p, q, m = (F.col(c) for c in "rpqm")
-        pq, rr, rq, qq = (v or 0.0 for v in step.agg(F.sum(p * q), F.sum(r * r / m), F.sum(r * q / m), F.sum(q * q / m)).first())
+        step, sums = materialize_with(now.join(back, "var", "left").withColumn("q", F.col("d") * F.col("p") + F.coalesce("s", F.lit(0.0))).drop("s"), "corrections", pq=F.sum(p * q), rr=F.sum(r * r / m), rq=F.sum(r * q / m), qq=F.sum(q * q / m))
+        pq, rr, rq, qq = (sums[c] or 0.0 for c in ("pq", "rr", "rq", "qq"))
         start = rr if start is None else start
         if rr <= tolerance**2 * start or pq <= 0:
             return step.select("var", F.col("x").alias("value"))

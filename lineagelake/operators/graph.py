@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import materialize
+from .shared import materialize, materialize_with
 
 
 def both_ways(edges: DataFrame) -> DataFrame:
@@ -28,13 +28,14 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     before = None
     for _ in range(max_rounds):
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("low"))
+        # written first, so that adaptive execution can split the rows of a part's centre
+        low = materialize(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("low")), "least-neighbours")
         large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("low").alias("v")).distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("low"))
+        large = materialize(large, "links")
+        low = materialize(large.groupBy("u").agg(F.min("v").alias("low")), "least-neighbours")
         small = large.join(low, "u").select("u", "v", "low")
         small = small.select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("low").alias("v")), F.struct(F.col("u"), F.col("low").alias("v")))).alias("e")).select("e.u", "e.v").where("u <> v").distinct()
-        edges = materialize(small, "links")
-        now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+        edges, now = materialize_with(small, "links", n=F.count(F.lit(1)), mark=F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")))
         if now == before:
             break
         before = now

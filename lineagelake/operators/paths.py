@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import materialize
+from .shared import materialize, materialize_with
 
 #: Flows this small are none.
 LEAST_FLOW = 1e-3
@@ -28,11 +28,11 @@ def alternating_distances(edges: DataFrame, origins: DataFrame, least_flow: floa
     way = materialize(strong.unionByName(strong.select(F.col("v").alias("u"), F.col("u").alias("v"), "plus")).where("u IS NOT NULL AND v IS NOT NULL").distinct(), "ways")
     signed = origins.where("source IS NOT NULL AND origin IS NOT NULL").select("source", "origin", (F.col("value") > 0).alias("plus"), "blocked")
     signed = materialize(signed.dropDuplicates(["source"]), "origins")
-    even = materialize(signed.select("source", F.col("origin").alias("node"), "plus", "blocked"), "frontier")
+    even, found = materialize_with(signed.select("source", F.col("origin").alias("node"), "plus", "blocked"), "frontier", rows=F.count(F.lit(1)))
     known = {0: [even.select("source", "node", F.lit(0).alias("distance"))], 1: []}
     seen = {0: even.select("source", "node"), 1: even.select("source", "node").where("false")}
     distance = 0
-    while even.limit(1).count():
+    while found["rows"]:
         distance += 1
         front = even
         for parity in (1, 0):
@@ -40,13 +40,13 @@ def alternating_distances(edges: DataFrame, origins: DataFrame, least_flow: floa
             sign = F.col("sign") != F.col("plus") if parity else F.col("sign") == F.col("plus")
             open_ = (F.lit(distance > 1 or not parity)) | F.col("blocked").isNull() | (F.col("to") != F.col("blocked"))
             reached = front.join(side, "node").where(sign & open_).select("source", F.col("to").alias("node"), "plus", "blocked").dropDuplicates(["source", "node"])
-            front = materialize(reached.join(seen[parity], ["source", "node"], "left_anti"), "frontier")
+            front, found = materialize_with(reached.join(seen[parity], ["source", "node"], "left_anti"), "frontier", rows=F.count(F.lit(1)))
             seen[parity] = materialize(seen[parity].unionByName(front.select("source", "node")), "reached")
             known[parity].append(front.select("source", "node", F.lit(distance).alias("distance")))
         even = front
-    found = None
+    out = None
     for parity, tables in known.items():
         for t in tables:
             rows = t.select("source", "node", F.when(F.lit(parity == 0), F.col("distance")).alias("even"), F.when(F.lit(parity == 1), F.col("distance")).alias("odd"))
-            found = rows if found is None else found.unionByName(rows)
-    return found.groupBy("source", "node").agg(F.max("even").alias("even"), F.max("odd").alias("odd"))
+            out = rows if out is None else out.unionByName(rows)
+    return out.groupBy("source", "node").agg(F.max("even").alias("even"), F.max("odd").alias("odd"))

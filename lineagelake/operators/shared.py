@@ -7,7 +7,7 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -47,6 +47,13 @@ def materialize(df: DataFrame, label: str = "stage", compression: str = "snappy"
     return out
 
 
+def materialize_with(df: DataFrame, label: str, **sums: Column) -> tuple[DataFrame, dict]:
+    """``materialize``, and aggregates of the rows taken while they are written, so no job reads them again."""
+    seen = Observation()
+    out = materialize(df.observe(seen, *(c.alias(n) for n, c in sums.items())), label)
+    return out, seen.get
+
+
 def remove(spark: SparkSession, path: str) -> None:
     p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)

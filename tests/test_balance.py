@@ -31,10 +31,10 @@ def dense(carriers, holders, bonds, missing):
     return dict(zip(names, x + c))
 
 
-def graph(seed, n=12):
+def graph(seed, n=8):
     r = random.Random(seed)
     segments = [(2 * k, 2 * k + 1, r.choice([0.0, 5.0, 12.5, 40.0])) for k in range(n)]
-    ends = [r.randrange(2 * n) for _ in range(50)]
+    ends = [r.randrange(2 * n) for _ in range(30)]
     bonds = [(u, v, r.choice([None, -1.0, 0.0, 3.0, 30.0])) for u, v in zip(ends[::2], ends[1::2])] + [(3, 3, 4.0)]
     # of free bonds one between two nodes is enough, and none in a ring: those no numbers would determine
     seen, kept = {}, []
@@ -47,7 +47,7 @@ def graph(seed, n=12):
     return segments, kept
 
 
-@pytest.mark.parametrize("seed", [1, 2])
+@pytest.mark.parametrize("seed", [1])
 def test_balance_equals_a_dense_solution(spark, seed):
     segments, bonds = graph(seed)
     rows = [(a, b, 0, f * 0.25) for a, b, f in segments] + [(b, a, 1, f * 0.75) for a, b, f in segments]
