@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .secret_scan import BASE, KINDS, MAX_OWNERS, SHAPES
+from .secret_scan import BASE, KINDS, MAX_OWNERS, MAX_REPOS, SHAPES
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _WORD = r"'[^\x20\x09-\x0D]+'"
@@ -21,12 +21,12 @@ def secrets() -> str:
         )
     listed = "string_agg({0}concat(kind, ':', s::bigint, ':', (s + n)::bigint), ',' ORDER BY s, rank) FILTER ({1})"
     return f"""WITH d AS (SELECT doc_id, source, coalesce(text, '') AS t FROM documents), found AS ({' UNION ALL '.join(parts)}),
-      own AS (SELECT value, count(DISTINCT owner) <= {MAX_OWNERS} AS owned FROM found GROUP BY value),
+      own AS (SELECT value, owners, repos, owners <= {MAX_OWNERS} AND repos <= {MAX_REPOS} * greatest(owners, 1) AS owned FROM (SELECT value, count(DISTINCT owner) AS owners, count(DISTINCT doc_id) AS repos FROM found GROUP BY value) o),
       j AS (SELECT * FROM found JOIN own USING (value)),
       per AS (SELECT doc_id, count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (kind = 'access') AS n_access, count(*) FILTER (kind = 'hex') AS n_hex,
-        {listed.format('', 'base')} AS b, {listed.format('', 'base OR owned')} AS spans, count(*) FILTER (NOT owned) AS n_copied, count(*) FILTER (owned) AS n_owned FROM j GROUP BY doc_id)
+        {listed.format('', 'base')} AS b, {listed.format('', 'base OR owned')} AS spans, count(*) FILTER (NOT owned) AS n_copied, count(*) FILTER (owned) AS n_owned, max(owners) AS most_owners, max(repos) AS most_repos FROM j GROUP BY doc_id)
       SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(b, '')) AS base_sha256, coalesce(spans, '') AS spans,
-        coalesce(n_copied, 0) AS n_copied, coalesce(n_owned, 0) AS n_owned FROM documents LEFT JOIN per USING (doc_id)"""
+        coalesce(n_copied, 0) AS n_copied, coalesce(n_owned, 0) AS n_owned, coalesce(most_owners, 0) AS most_owners, coalesce(most_repos, 0) AS most_repos FROM documents LEFT JOIN per USING (doc_id)"""
 
 
 def warc() -> str:

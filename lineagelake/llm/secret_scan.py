@@ -4,8 +4,8 @@ Spans come from two scans of each kind's pattern: all matches, and the text betw
 them; running sums of their lengths (a window per text and kind) give the places.  Kinds of ``BASE`` always stay.  Kinds of
 ``SHAPES`` are candidates by shape alone; whether such a value is a live-looking
 credential is decided by the corpus: the hash of each value is counted over distinct
-repositories and distinct owners, values that several owners hold are widely copied
-examples and only owner-specific ones become spans, however often their owner repeats them.
+repositories and distinct owners.  Values that several owners hold, or that stand in more than ``MAX_REPOS``
+repositories of their one owner, are widely copied examples; only owner-specific ones become spans.
 """
 
 from __future__ import annotations
@@ -27,12 +27,13 @@ SHAPES = {
     "stripe": (r"[rs]k_(?:live|test)_[A-Za-z0-9]{10,}+", 0, 18),
     "jwt": (r"eyJ[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]{8,}+", 0, 30),
     "google": (r"AIza[A-Za-z0-9_-]{30,}+", 0, 34),
+    "account": (r"[0-9]{13,}+", 0, 13),
+    "login": (r"[a-z]+://[^\x20\x09-\x0D/:@]+:[^\x20\x09-\x0D/:@]+@", 0, 9),
 }
 #: Kinds in the order in which spans at one place are listed.
 KINDS = [*BASE, *SHAPES]
-#: A value of more distinct owners is widely copied.  How many repositories one owner has copied it to says
-#: nothing against the owner.
-MAX_OWNERS = 1
+#: A value of more distinct owners, or of more distinct repositories an owner, is widely copied.
+MAX_OWNERS, MAX_REPOS = 1, 1000
 #: Characters of a block of text that redaction cuts pieces from.
 BLOCK = 8192
 SPAN = "struct<start:int,rank:int,end:int,hash:string>"
@@ -90,19 +91,20 @@ def _listed(spans: str) -> Column:
     return F.expr(f"array_join(transform({spans}, x -> concat(element_at(array({names}), x.rank + 1), ':', x.start, ':', x.end)), ',')")
 
 
-def scan(docs: DataFrame, max_owners: int = MAX_OWNERS, max_repos: int | None = None, **columns: str) -> DataFrame:
+def scan(docs: DataFrame, max_owners: int = MAX_OWNERS, max_repos: int = MAX_REPOS, **columns: str) -> DataFrame:
     """Every row's spans: doc_id, n_assign, n_access, n_hex, base_spans, spans (text:
     kind:start:end by start, then kind; code points, end exclusive), all_spans (array of
-    start, rank, end, hash), n_copied and n_owned (spans whose value is widely copied, or not).
+    start, rank, end, hash), n_copied and n_owned (spans whose value is widely copied, or not), and
+    most_owners and most_repos (of any of its values, 0 without).
 
-    Null and empty texts have no spans.  Repeated rows give repeated results; a
-    single-owner value repeated by one owner stays owner-specific, unless ``max_repos`` bounds
-    the repositories that hold it.  Spans of several kinds at one place follow in the order of ``KINDS``.
+    A value is widely copied if more than ``max_owners`` hold it, or if its repositories are more than ``max_repos`` for
+    each of its owners (one, if its owners are all null).  Null and empty texts have no spans.  Repeated rows give
+    repeated results and count once; other columns are not read.  Spans of several kinds at one place follow in the order of ``KINDS``.
     A text's spans are put in order by themselves, so work grows with their number.
     """
     found = materialize(find(docs, **columns), "secrets-found")
-    few = F.lit(True) if max_repos is None else F.col("repos") <= max_repos
-    verdict = ownership(found).select("hash", ((F.col("owners") <= max_owners) & few).alias("owned"))
+    few = F.col("repos") <= max_repos * F.greatest("owners", F.lit(1))
+    verdict = ownership(found).select("hash", "owners", "repos", ((F.col("owners") <= max_owners) & few).alias("owned"))
     so_far = Window.partitionBy("row", "rank").orderBy("i").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     each = found.select("row", F.explode("hits").alias("h")).select("row", "h.*").withColumn("end", F.sum(F.col("before") + F.col("whole")).over(so_far).cast("int")).where("hash IS NOT NULL")
     span = F.struct((F.col("end") - F.col("whole")).alias("start"), "rank", "end", "hash")
@@ -113,16 +115,18 @@ def scan(docs: DataFrame, max_owners: int = MAX_OWNERS, max_repos: int | None =
         *(F.count_if(F.col("rank") == KINDS.index(k)).alias(f"n_{k}") for k in BASE),
         F.count_if(~F.col("owned")).alias("n_copied"),
         F.count_if("owned").alias("n_owned"),
+        F.max("owners").alias("most_owners"),
+        F.max("repos").alias("most_repos"),
     )
     out = found.select("row", "doc_id").join(judged, "row", "left")
     for c in ("base", "all_spans"):
         out = out.withColumn(c, F.coalesce(c, F.expr(f"CAST(array() AS array<{SPAN}>)")))
     count = lambda c: F.coalesce(c, F.lit(0).cast("long")).alias(c)
-    return out.select("row", "doc_id", *(count(f"n_{k}") for k in BASE), _listed("base").alias("base_spans"), _listed("all_spans").alias("spans"), "all_spans", count("n_copied"), count("n_owned"))
+    return out.select("row", "doc_id", *(count(f"n_{k}") for k in BASE), _listed("base").alias("base_spans"), _listed("all_spans").alias("spans"), "all_spans", *map(count, ("n_copied", "n_owned", "most_owners", "most_repos")))
 
 
 def with_digests(scanned: DataFrame) -> DataFrame:
-    return scanned.select("doc_id", "n_assign", "n_access", "n_hex", F.sha2("base_spans", 256).alias("base_sha256"), "spans", "n_copied", "n_owned")
+    return scanned.select("doc_id", "n_assign", "n_access", "n_hex", F.sha2("base_spans", 256).alias("base_sha256"), "spans", "n_copied", "n_owned", "most_owners", "most_repos")
 
 
 def redact(docs: DataFrame) -> DataFrame:

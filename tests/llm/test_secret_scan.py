@@ -85,3 +85,23 @@ def test_rows_without_a_place_of_their_own(spark, sf_dir):
     docs = read(spark, sf_dir, "documents")
     twice = docs.withColumn("copy", F.explode(F.array(F.lit(1), F.lit(2))))
     assert secret_scan.redact(twice).count() == 2 * docs.count()
+
+
+def test_each_count_matters(spark):
+    """Owners alone, repositories alone and both: taking either away changes the spans."""
+    one, two, three = "4929" * 4, "5150" * 4, "6011" * 4
+    rows = [(k, f"no {one}", "ann") for k in range(6)] + [(10, f"no {two}", "ann"), (11, f"no {two}", "bob")] + [(20, f"no {three}", "cy"), (20, f"no {three}", "cy"), (21, f"no {three}", None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    spans = lambda **bounds: {r.doc_id: r.spans for r in secret_scan.scan(df, **bounds).collect()}
+    both, owners, repos = spans(max_repos=5), spans(max_repos=100), spans(max_owners=9, max_repos=5)
+    mine = {20: "account:3:19", 21: "account:3:19"}
+    assert both == dict.fromkeys([*range(6), 10, 11], "") | mine
+    assert owners == dict.fromkeys(range(6), "account:3:19") | {10: "", 11: ""} | mine
+    assert repos == dict.fromkeys(range(6), "") | dict.fromkeys([10, 11], "account:3:19") | mine
+    got = {r.doc_id: (r.most_owners, r.most_repos) for r in secret_scan.scan(df).collect()}
+    assert got[0] == (1, 6) and got[10] == (2, 2) and got[20] == (1, 2)
+
+
+def test_logins_in_addresses(spark):
+    df = spark.createDataFrame([(1, "at ftp://me:pa55@host/x and http://h:80/y", "s")], "doc_id long, text string, source string")
+    assert secret_scan.scan(df).first().spans == "login:3:17"
