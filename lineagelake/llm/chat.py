@@ -105,7 +105,8 @@ def format_chats(conversations: DataFrame, tokenizer: tuple[str, str] | None = N
 
     nodes: node, parent, depth, role, head, body, start, length, offset, until; a node's text is
     ``head || body``, its loss mask covers ``body`` without the end mark where the role is
-    assistant.  chains: conv_id, level, node: the nodes of each conversation.
+    assistant.  chains: conv_id, at: the offset of each conversation's last node, from which the layout
+    gives all its turns.
 
     Units are characters; with ``tokenizer`` (path of a rank file, pattern) they are the tokens of each
     node's text, which nodes then hold in ``ids`` (little-endian unsigned 32-bit).  A null role or text is
@@ -126,16 +127,40 @@ def format_chats(conversations: DataFrame, tokenizer: tuple[str, str] | None = N
         nodes = materialize(nodes.drop("length", "start").join(starts, "node"), "chat-tree")
         worded = nodes.drop("row").join(worded.select("node", "head", "body"), "node").join(coded, "node")
     places = materialize(lay_out(nodes.select("node", "parent", "depth", "length"), steps), "chat-places").select("node", "offset", "until")
-    return materialize(worded.join(places, "node"), "chat-nodes"), steps.select("conv_id", "level", "node")
+    last = steps.groupBy("conv_id").agg(F.max_by("node", "level").alias("node"))
+    chains = last.join(places.select("node", F.col("offset").alias("at")), "node").select("conv_id", "at")
+    return materialize(worded.join(places, "node"), "chat-nodes"), materialize(chains, "chat-chains")
+
+
+def ancestors(nodes: DataFrame, places: DataFrame) -> DataFrame:
+    """(at, node): for each place ``at`` of ``places`` at which a node begins, that node and those whose attention interval
+    holds the place.
+
+    nodes: node, depth, offset, until.  Depth first, the ancestor at a depth is the last node of that depth up to
+    the place, if its interval reaches beyond it: a running value along each depth, whatever the length of a chain.
+    """
+    none = lambda kind: F.lit(None).cast(kind)
+    given = nodes.select("depth", F.col("offset").alias("place"), F.lit(0).alias("asked"), "node", "until")
+    asked = places.select("at").distinct().join(nodes.select(F.col("offset").alias("at"), F.col("depth").alias("deepest")), "at")
+    asked = asked.select(F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("deepest").cast("bigint"))).alias("depth"), F.col("at").alias("place"), F.lit(1).alias("asked"), none("string").alias("node"), none("bigint").alias("until"))
+    by, order = ["depth"], ["place", "asked"]
+    rows = in_parts(given.withColumn("depth", F.col("depth").cast("bigint")).unionByName(asked), by, order)
+    seen = running(rows, by, order, {"above": Fold("last", F.when(F.col("asked") == 0, F.struct("node", "until")))})
+    return seen.where("asked = 1 AND above.until > place").select(F.col("place").alias("at"), F.col("above.node").alias("node"))
 
 
 def read_back(nodes: DataFrame, chains: DataFrame) -> DataFrame:
-    """(conv_id, level, role, text, loss, length): each turn as the packed output gives it;
-    ``loss`` is the text under the loss mask."""
+    """(conv_id, level, role, text, loss, length): each turn as the packed output gives it; ``loss`` is the text
+    under the loss mask.
+
+    A conversation's turns are the ancestors of its last node by the layout's intervals, in the order of their
+    first positions, which ``level`` is.
+    """
+    held = materialize(ancestors(nodes, chains), "chat-ancestors")
     text = F.expr(f"substring(body, 1, char_length(body) - {len(TURN_END)})")
     role = F.expr(f"substring(head, {len(ROLE_OPEN) + 1}, char_length(head) - {len(ROLE_OPEN) + len(ROLE_CLOSE)})")
-    plain = nodes.select("node", unescape(role).alias("role"), unescape(text).alias("text"), (F.char_length("head") + F.char_length("body")).cast("long").alias("length"))
-    return chains.join(plain, "node").select("conv_id", "level", "role", "text", F.when(F.col("role") == ASSISTANT, F.col("text")).otherwise("").alias("loss"), "length")
+    plain = nodes.select("node", F.col("start").alias("level"), unescape(role).alias("role"), unescape(text).alias("text"), (F.char_length("head") + F.char_length("body")).cast("long").alias("length"))
+    return chains.join(held, "at").join(plain, "node").select("conv_id", "level", "role", "text", F.when(F.col("role") == ASSISTANT, F.col("text")).otherwise("").alias("loss"), "length")
 
 
 def with_digests(back: DataFrame) -> DataFrame:

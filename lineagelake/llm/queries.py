@@ -40,7 +40,7 @@ def op7_chat_prefix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = "</s>[INST] ok [/INST]"
     probe = spark.createDataFrame([(-1, 0, "user", said), (-1, 1, "assistant", said)], "conv_id bigint, turn bigint, role string, text string")
     chats = read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(probe)
-    return chat.with_digests(chat.read_back(*chat.format_chats(chats)))
+    return chat.with_digests(chat.read_back(*chat.format_chats(chats, byte_bpe_50k())))
 
 
 def op10_kk_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -69,14 +69,28 @@ def test_random_trees(spark):
     order = sorted(n.values(), key=lambda r: r.offset)
     assert [r.offset for r in order] == [sum(x.length for x in order[:k]) for k in range(len(order))]
     check_intervals(n)
+    turns = collections.Counter(r[0] for r in rows)
     by = collections.defaultdict(list)
-    for r in chains.collect():
-        by[r.conv_id].append((r.level, r.node))
+    for r in chains.join(chat.ancestors(nodes, chains), "at").collect():
+        by[r.conv_id].append((n[r.node].start, r.node))
+    assert {c: len(p) for c, p in by.items()} == turns
     for path in by.values():
         path = [x for _, x in sorted(path)]
         assert [n[x].parent for x in path] == [None, *path[:-1]]
 
 
+def test_turns_come_from_the_layout(spark):
+    """Places, intervals and positions that are wrong give wrong turns."""
+    from pyspark.sql import functions as F
+
+    nodes, chains = chat.format_chats(spark.createDataFrame(ROWS, "conv_id long, turn long, role string, text string"))
+    digests = lambda laid: {r.conv_id: (r.n_turns, r.turns_sha256) for r in chat.with_digests(chat.read_back(laid, chains)).collect()}
+    right, zero = digests(nodes), F.lit(0).cast("bigint")
+    assert len(right) == 6
+    for column, wrong in (("offset", zero), ("until", zero), ("start", -F.col("start"))):
+        assert digests(nodes.withColumn(column, wrong)) != right
+
+
 def test_tokens(spark):
     from lineagelake.llm.queries import byte_bpe_50k
 
