@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..operators import sampling
+from ..operators.shared import shared_dir
 from ..sources import views
 from ..streaming import histories
 from .event_queries import _with
@@ -22,6 +25,16 @@ def stream_run_occurrences(spark, d):
     return histories.catch_up(histories.occurrences_per_run(edges))
 
 
+def stream_merged_events(spark, d):
+    """Events merged over a stream of occurrences, read from the table that its batches have added to."""
+    rows = histories.stream_of(spark, f"{d.rstrip('/')}/lineitem.parquet")
+    cnval = F.when(F.col("l_returnflag") == "R", -1).when(F.col("l_returnflag") == "A", 1).otherwise(2)
+    edges = rows.select(((F.col("l_suppkey") % 4) * views.RUN_STRIDE + F.col("l_orderkey") % 25).alias("history_id"), F.concat(F.lit("seg"), (F.col("l_partkey") % 300).cast("string")).alias("segstr"), cnval.alias("cnval"), F.col("l_discount").cast("double").alias("preval"))
+    path = f"{shared_dir(spark)}/rolled-{uuid.uuid4().hex}"
+    histories.roll(histories.merged_events(edges), path)
+    return histories.rolled(spark, path, ["segstr", "cnval"]).withColumn("sum_preval", F.round(F.col("sum_preval") + 1e-10, 4))
+
+
 def _genomes(spark, d):
     """Each order as a circular genome: its parts in line order, returned ones reversed."""
     block = F.when(F.col("l_returnflag") == "R", -F.col("l_partkey")).otherwise(F.col("l_partkey"))
@@ -64,6 +77,7 @@ _GENOMES = "WITH genomes AS (SELECT l_orderkey AS sim_id, list(CASE WHEN l_retur
 QUERIES = {
     "stream_event_windows": (stream_event_windows, "SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M') AS start, event_type, count(*) AS n, round(sum(value) + 1e-10, 4) AS total FROM events GROUP BY 1, 2"),
     "stream_run_occurrences": (stream_run_occurrences, _with("flow_edges") + "SELECT history_id // 10000 AS run, segstr, cnval, count(*) AS n, max(preval) AS max_preval FROM flow_edges GROUP BY ALL"),
+    "stream_merged_events": (stream_merged_events, _with("flow_edges") + "SELECT segstr, cnval, count(*) AS n, min(history_id) AS first_history, max(history_id) AS last_history, round(sum(preval) + 1e-10, 4) AS sum_preval, max(preval) AS max_preval FROM flow_edges GROUP BY ALL"),
     "genome_bonds": (genome_bonds, _GENOMES + """, p AS (SELECT sim_id, g[i] AS x, -g[i % len(g) + 1] AS y FROM (SELECT *, unnest(range(1, len(g) + 1)) AS i FROM genomes) t)
         SELECT sim_id, least(x, y) AS "left", greatest(x, y) AS "right", count(*) AS n FROM p GROUP BY ALL"""),
     "genome_copies": (genome_copies, _GENOMES + " SELECT sim_id, max(n) AS most, count(*) AS blocks FROM (SELECT sim_id, abs(b) AS block, count(*) AS n FROM (SELECT sim_id, unnest(g) AS b FROM genomes) t GROUP BY ALL) u GROUP BY sim_id"),
