@@ -37,7 +37,7 @@ def test_equals_sql(spark, duck, sf_dir, name):
 def test_queries_without_sql_keep_what_they_must(spark, duck, sf_dir):
     """What holds of their rows, whatever the rule: the rules themselves are held against plain steps in other tests."""
     run = lambda n: registry.queries()[n](spark, sf_dir)
-    assert set(registry.queries()) - set(SQL) == {"absorbed_segments", "em_clock", "figure_eights", "germline_fold"}
+    assert set(registry.queries()) - set(SQL) == {"absorbed_segments", "balanced_rings", "cactus_chains", "cactus_tree", "called_segments", "em_clock", "event_clock", "figure_eights", "germline_fold"}
     orders = duck.execute("SELECT l_orderkey, count(*) FROM lineitem GROUP BY 1").fetchall()
     eights = {r.l_orderkey: r for r in run("figure_eights").collect()}
     assert {k: r.edges for k, r in eights.items()} == dict(orders) and all(sum(map(int, r.sizes.split(","))) == r.edges for r in eights.values())
@@ -49,6 +49,12 @@ def test_queries_without_sql_keep_what_they_must(spark, duck, sf_dir):
     chroms = duck.execute("SELECT count(DISTINCT l_suppkey % 24), sum(1) FROM lineitem").fetchone()
     found = run("absorbed_segments").agg(F.countDistinct("chrom"), F.min("num_marks"), F.count(F.lit(1))).first()
     assert found[0] == chroms[0] and found[1] >= 1 and 0 < found[2] <= chroms[1]
+    rings = run("balanced_rings").agg(F.sum("error_before"), F.sum("error_after"), F.count(F.lit(1))).first()
+    assert rings[2] == len(orders) and rings[1] < rings[0]
+    priors = run("event_clock").groupBy("restart").agg(F.sum("prior").alias("p"), F.count(F.lit(1)).alias("n")).collect()
+    assert len(priors) == 10 and all(r.n == 5 and abs(r.p - 1) < 1e-4 for r in priors)
+    cut = run("called_segments").agg(F.countDistinct("chrom"), F.sum("num_marks")).first()
+    assert cut[0] == chroms[0] and 0 < cut[1] <= chroms[1]
 
 
 def test_entry(spark):
