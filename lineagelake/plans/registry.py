@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import breakend_queries, event_queries, file_queries, forest_queries, interval_queries, sampling_queries
+from . import breakend_queries, event_queries, file_queries, forest_queries, format_queries, interval_queries, sampling_queries
 
-ALL = {**event_queries.QUERIES, **interval_queries.QUERIES, **sampling_queries.QUERIES, **file_queries.QUERIES, **breakend_queries.QUERIES, **forest_queries.QUERIES}
+ALL = {**event_queries.QUERIES, **interval_queries.QUERIES, **sampling_queries.QUERIES, **file_queries.QUERIES, **breakend_queries.QUERIES, **forest_queries.QUERIES, **format_queries.QUERIES}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
