@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import cycles
+
 KEY = ("segstr", "cnval")
 RUN_STRIDE = 10_000
 
@@ -25,6 +27,26 @@ def _mean_cost() -> Column:
     return (F.col("upper_cost") + F.col("lower_cost")) / 2
 
 
+def occurrences_of(edges: DataFrame, stride: int = RUN_STRIDE) -> DataFrame:
+    """Occurrences (history_id, segstr, cnval, preval, ord, numsegs, numadjs) of the edges that history files hold.
+
+    edges: as ``readers.histories`` gives them.  A cycle is the edges of one (run, history_id, net, cycle), in the order
+    of edge_index; an adjacency comes in both directions, of which the first line counts.  Its text is that of
+    the cycle in canonical form, so one event reads the same in all histories, wherever and whichever way it is written;
+    copy-number change, prevalence and order are its first edge's.  Histories are numbered run * stride + history_id.  A
+    cycle is short, so its edges are gathered in one row; edges without a history or a cycle are left out.
+    """
+    parts = ["is_adj", "chrom", "start", "strand", "chrom2", "end", "strand2", "value"]
+    known = edges.where("history_id IS NOT NULL AND cycle IS NOT NULL AND edge_index IS NOT NULL")
+    at = ["run", "history_id", "net", "cycle"]
+    once = known.groupBy(*at, "edge_index").agg(F.min_by(F.struct(*parts, "prevalence", "cnval", "ord"), "line_no").alias("e"))
+    walks = once.groupBy(*at).agg(F.array_sort(F.collect_list(F.struct("edge_index", "e"))).alias("o"))
+    chain = F.transform("o", lambda x: F.struct(*(x["e"][c].alias(c) for c in parts)))
+    first = F.col("o")[0]["e"]
+    count = lambda adj: F.size(F.filter("o", lambda x: x["e"]["is_adj"] == adj)).cast("bigint")
+    return walks.select((F.coalesce("run", F.lit(0).cast("bigint")) * stride + F.col("history_id")).alias("history_id"), cycles.cycle_text(cycles.canonical(chain)).alias("segstr"), first["cnval"].alias("cnval"), first["prevalence"].alias("preval"), first["ord"].alias("ord"), count(False).alias("numsegs"), count(True).alias("numadjs"))
+
+
 def total_weight(stats: DataFrame, k: float = 0.0) -> Column:
     """Sum of exp(-k * mean cost) over the histories whose upper and mean cost are not zero, as a
     scalar subquery: it is computed once, within the query that uses it."""

@@ -4,9 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..operators import events
+from ..operators.shared import materialize
 from ..sources import readers, views, writers
-from .event_queries import _with
-from .file_queries import _columns, _path, _through
+from . import file_queries
+from .event_queries import _r, _with
+from .file_queries import _columns, _path, _through, _walks
 
 _BE, _SV = _with("breakends"), _with("sv_calls")
 _SIDES = ["chrom", "start", "finish", "strand", "chrom2", "start2", "finish2", "strand2", "coverage"]
@@ -142,6 +145,16 @@ def file_analyses(spark, d):
     return _through(spark, spark.createDataFrame([("# name and figures",)], "value string").unionByName(text), readers.analyses)
 
 
+def files_to_events(spark, d):
+    """History files to scored events: the orders' walks written as sampled cycles, read, put in canonical form, merged and scored."""
+    steps = _walks(spark, d).select("l_orderkey", F.posexplode("edges").alias("edge_index", "e")).select("l_orderkey", "edge_index", "e.*")
+    zero = [F.lit(0).alias(c) for c in ("net", "upper_cost", "lower_cost", "event_upper", "event_lower")]
+    sampled = steps.select("is_adj", "chrom", "start", "strand", "chrom2", "end", "strand2", (-F.col("value")).alias("flow"), F.lit(0.5).alias("prevalence"), (F.col("l_orderkey") % 25).alias("history_id"), F.col("l_orderkey").alias("cycle"), "edge_index", (F.col("l_orderkey") % 9).alias("ord"), F.lit("p").alias("event_ptr"), *zero)
+    back = _through(spark, writers.history_lines(sampled), readers.histories, "HISTORIES_3")
+    found = events.summary(materialize(events.occurrences_of(back), "occurrences"), views.hist_stats(spark, d))
+    return found.select("segstr", "cnval", "numhists", "num_runs", _r("likelihood"), _r("preval_mean"), _r("order_mean"), _r("order_sd"))
+
+
 def file_simulations(spark, d):
     """Specifications and folders of simulations."""
     rows = views.table(spark, d, "orders").select("o_orderkey", (F.col("o_custkey") % 200).alias("blocks"), (F.col("o_orderkey") % 40).alias("events"))
@@ -170,5 +183,9 @@ QUERIES = {
     "file_simulation_table": (file_simulation_table, _SCORED + 'SELECT event_id, n % 3 - 1 AS "true", n * 10 AS length, n AS numhists, 0.125::double AS ref_preval, preval_mean, 2.0::double AS ref_order, order_mean FROM s'),
     "file_annotations": (file_annotations, _with("genes") + "SELECT chrom AS event, string_agg(DISTINCT name, ',' ORDER BY name) AS genes FROM genes GROUP BY chrom"),
     "file_analyses": (file_analyses, _with("genes") + "SELECT gene_id::varchar AS name, " + ", ".join(f"gene_id * {j} % 17 / 4 AS stat{j}" for j in range(1, 7)) + ", name AS partners FROM genes"),
+    "files_to_events": (files_to_events, f"""WITH hist_stats AS ({views.SQL["hist_stats"]}), walks AS ({file_queries.QUERIES["canonical_cycles"][1]}), occ AS (SELECT segstr, 30000 + l_orderkey % 25 AS history_id, l_orderkey % 9 AS ord FROM walks),
+        total AS (SELECT count(*) AS t FROM hist_stats WHERE upper_cost > 0 AND upper_cost + lower_cost <> 0),
+        lik AS (SELECT segstr, count(*) AS numhists, count(*) FILTER (upper_cost + lower_cost <> 0) AS w FROM (SELECT DISTINCT segstr, history_id FROM occ) h LEFT JOIN hist_stats USING (history_id) GROUP BY segstr)
+        SELECT segstr, 2::bigint AS cnval, numhists, 1::bigint AS num_runs, round(w / t + 1e-10, 6) AS likelihood, 0.5::double AS preval_mean, round(avg(ord) + 1e-10, 6) AS order_mean, round(stddev_pop(ord) + 1e-10, 6) AS order_sd FROM occ JOIN hist_stats USING (history_id) JOIN lik USING (segstr), total GROUP BY segstr, numhists, w, t"""),
     "file_simulations": (file_simulations, "SELECT (o_custkey % 200)::int AS blocks, (o_orderkey % 40)::int AS events, 'none' AS sim_id FROM orders UNION ALL SELECT (o_custkey % 200)::int, (o_orderkey % 40)::int, o_orderkey::varchar FROM orders"),
 }
