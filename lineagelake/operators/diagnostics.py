@@ -7,15 +7,19 @@ from pyspark.sql import functions as F
 
 from .events import KEY, iteration_of, run_of
 from .numbering import numbered
+from .ordered import Fold, in_parts, running
+from .shared import materialize
 
 
 def rank_fractions(occurrences: DataFrame, tie: tuple[str, ...] = (), by: str = "ord") -> DataFrame:
     """Add ``fraction``: each occurrence's place in its history by ``by``, from 0 to 1; the
     only occurrence of a history gets 1.1."""
-    history = Window.partitionBy("history_id")
-    n = F.count(F.lit(1)).over(history)
-    place = F.row_number().over(history.orderBy(by, *KEY, *tie)) - 1
-    return occurrences.withColumn("fraction", F.when(n == 1, F.lit(1.1)).otherwise(place / F.when(n > 1, n - 1)))
+    group, order = ["history_id"], [by, *(c for c in (*KEY, *tie) if c != by)]
+    place = running(in_parts(occurrences, group, order), group, order, {"place_": Fold("count", F.lit(1), own=False)})
+    sizes = materialize(occurrences.groupBy(F.col("history_id").alias("of_")).agg(F.count(F.lit(1)).alias("n_")), "history-sizes")
+    sized = place.join(sizes, F.col("history_id").eqNullSafe(F.col("of_")))
+    fraction = F.when(F.col("n_") == 1, F.lit(1.1)).otherwise(F.col("place_") / F.when(F.col("n_") > 1, F.col("n_") - 1))
+    return sized.select(*occurrences.columns, fraction.alias("fraction"))
 
 
 def early_late(fractions: DataFrame) -> DataFrame:

@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import cycles
+from .ordered import Fold, in_parts, running
+from .shared import materialize
 
 KEY = ("segstr", "cnval")
 RUN_STRIDE = 10_000
@@ -142,10 +144,12 @@ def links(occurrences: DataFrame, tie: tuple[str, ...] = ()) -> DataFrame:
     """Links from each event to the next by mean prevalence within each history:
     segstr, cnval, next_segstr, next_cnval, numhists."""
     once = occurrences.groupBy(*KEY, "history_id").agg(F.avg("preval").alias("p"))
-    mean = F.round(F.avg("p").over(Window.partitionBy(*KEY)), 9)
-    order = Window.partitionBy("history_id").orderBy("m", *KEY)
-    following = F.lead(F.struct(*KEY)).over(order)
-    pairs = once.withColumn("m", mean).withColumn("f", following).where("f IS NOT NULL")
+    once = materialize(once, "prevalences")
+    mean = materialize(once.groupBy(*(F.col(c).alias(f"{c}_") for c in KEY)).agg(F.round(F.avg("p"), 9).alias("m")), "mean-prevalences")
+    same = F.col("segstr").eqNullSafe(F.col("segstr_")) & F.col("cnval").eqNullSafe(F.col("cnval_"))
+    ranked = once.join(mean, same).select(*KEY, "history_id", "m")
+    by, order = ["history_id"], ["m", *KEY]
+    pairs = running(in_parts(ranked, by, order), by, order, {"f": Fold("last", F.struct(*KEY), own=False)}, reverse=True).where("f IS NOT NULL")
     return pairs.groupBy(*KEY, F.col("f.segstr").alias("next_segstr"), F.col("f.cnval").alias("next_cnval")).agg(F.count(F.lit(1)).alias("numhists"))
 
 

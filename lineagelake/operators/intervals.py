@@ -179,8 +179,9 @@ def normalise_coverage(segments: DataFrame, value: str = "value") -> DataFrame:
 
 def value_runs(values: DataFrame, value: str = "value", by: tuple[str, ...] = ()) -> DataFrame:
     """Consecutive distinct integers as ranges: by, first, last, text ("a-b" or "a")."""
-    order = Window.partitionBy(*by).orderBy(value)
-    runs = values.select(*by, value).distinct().withColumn("g_", F.col(value) - F.row_number().over(order))
+    group, order = list(by), [value]
+    seen = running(in_parts(values.select(*by, value).distinct(), group, order), group, order, {"k_": Fold("count", F.lit(1))})
+    runs = seen.withColumn("g_", F.col(value) - F.col("k_"))
     out = runs.groupBy(*by, "g_").agg(F.min(value).alias("first"), F.max(value).alias("last")).drop("g_")
     return out.withColumn("text", F.when(F.col("first") == F.col("last"), F.col("first").cast("string")).otherwise(F.concat_ws("-", "first", "last")))
 
