@@ -146,10 +146,10 @@ def links(fps: DataFrame) -> DataFrame:
     pairs = a.join(b, (a["key"] == b["key"]) & meet & (F.bit_count(F.col("u").bitwiseXOR(F.col("v"))) <= MAX_BITS)).select("u", "v")
     blocks = F.ceil(F.col("n") / BLOCK).cast("int")
     hot = hot.withColumn("block", F.pmod(F.xxhash64("fp"), blocks).cast("int")).withColumn("m", blocks)
-    exact = hot.where("side = -1").select("*", F.explode(F.expr("transform(sequence(0, m - 1), x -> struct(least(x, block) AS bi, greatest(x, block) AS bj))")).alias("p"))
-    zero = hot.where("side = 0").select("*", F.explode(F.expr("transform(sequence(0, m - 1), x -> struct(block AS bi, x AS bj))")).alias("p"))
-    one = hot.where("side = 1").select("*", F.explode(F.expr("transform(sequence(0, m - 1), x -> struct(x AS bi, block AS bj))")).alias("p"))
-    dealt = exact.unionByName(zero).unionByName(one).select("key", "side", "fp", "block", "p.bi", "p.bj")
+    # a block meets each other one: of an exact key once, of a wildcard key as the side that its bit tells
+    met = F.expr("""transform(sequence(0, m - 1), x -> CASE side WHEN 0 THEN struct(block AS bi, x AS bj) WHEN 1 THEN struct(x AS bi, block AS bj)
+        ELSE struct(least(x, block) AS bi, greatest(x, block) AS bj) END)""")
+    dealt = hot.select("key", "side", "fp", "block", F.explode(met).alias("p")).select("key", "side", "fp", "block", "p.bi", "p.bj")
     forests = dealt.groupBy("key", "bi", "bj").applyInArrow(lambda t: _group(t), "u bigint, v bigint")
     return pairs.unionByName(forests)
 
@@ -171,7 +171,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     root = components(links(lowest.select("fp"))).withColumnRenamed("component", "root")
     grouped = lowest.join(root, lowest["fp"] == root["node"], "left").select("fp", "low", F.coalesce("root", "fp").alias("root"))
     named = grouped.groupBy("root").agg(F.min("low").alias("component_id"))
-    label = grouped.join(named, "root").select("fp", "component_id")
+    # written, so that the last plan, which the driver holds whole, is a join or two
+    label = materialize(grouped.join(named, "root").select("fp", "component_id"), "labels")
     return marked.join(label, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 

@@ -112,6 +112,14 @@ def test_components(spark):
     assert found == {n: root(n) for n in parent}
 
 
+def test_components_read_their_edges_once(spark, tmp_path):
+    """Loops are told from the written edges: the result does not run again what made them."""
+    spark.createDataFrame([(1, 2), (3, 3), (3, 3), (2, 2), (None, 4), (5, None)], "u long, v long").write.parquet(str(tmp_path / "edges"))
+    found = graph.components(spark.read.parquet(str(tmp_path / "edges")))
+    assert sorted(map(tuple, found.collect())) == [(1, 1), (2, 1), (3, 3)]
+    assert not any("edges" in f.rsplit("/", 2)[-2] for f in found.inputFiles())
+
+
 def test_poisson_mixture(spark):
     import numpy as np
 
