@@ -9,10 +9,12 @@ Equal sets are one class from the start.  A table key can only be shared where i
 formed for shared halves alone: a document that resembles none forms none.
 
 Links are found without forming the pairs of a crowded key, and without repeating them for every key that two
-documents share.  A key's pivot is its least class; a class is at home with the least pivot of its keys.  Homes
-are cut into blocks of ``BLOCK`` classes: first each block is compared within itself, then blocks of one home, and
-of homes that meet under some key, with each other.  A task compares the likeliest pairs first and skips those
-that links already join, so a large group of near copies costs little more than a comparison a member.
+documents share.  A key's pivot is its least class; a class is at home with the least pivot of its keys, and small
+homes whose pivots' pivots lead to one class are put together.  Homes are cut into blocks of ``BLOCK`` classes.  First each
+block is compared within itself; then one comparison is tried for every two groups so found that meet under a key.
+A key whose classes are one group by then is settled.  Only classes that hold another key are dealt out again: blocks
+of one home, and of homes that meet under such a key, are compared with each other.  A task compares the likeliest pairs first
+and skips those that links already join, so a large group of near copies costs little more than a comparison a member.
 
 A comparison looks at set sizes and two bits of each of the 96 minhashes first and then intersects the full
 sets of shingle hashes (64 bits), made from the whole texts.
@@ -199,25 +201,68 @@ def _compare(dealt: DataFrame, within: bool) -> DataFrame:
     return materialize(map_batches(together.select(*task, "side", "cls", "label", "n", "bits", "packed"), run, "a bigint, b bigint"), "links")
 
 
+def _homes(buckets: DataFrame) -> DataFrame:
+    """(cls, p): each class's home.  A class is at home with the least pivot of its keys; homes of fewer than ``BLOCK``
+    classes whose pivots' pivots lead to one class share rooms of about ``BLOCK``, each home in one of them."""
+    least = materialize(buckets.groupBy("cls").agg(F.min("pivot").alias("p")), "least-pivots")
+    sized = least.groupBy("p").agg(F.count(F.lit(1)).alias("size"))
+    up, step = sized.select("p", "size", F.col("p").alias("top")), least.select(F.col("cls").alias("top"), F.col("p").alias("next"))
+    for _ in range(3):
+        up = up.join(step, "top").select("p", "size", F.col("next").alias("top"))
+    up = materialize(up, "pivots-of-pivots")
+    small = up.where(F.col("size") < BLOCK)
+    rooms = small.groupBy("top").agg(F.ceil(F.sum("size") / BLOCK).alias("rooms"))
+    shared = small.join(rooms, "top").select("p", F.xxhash64("top", F.pmod(F.xxhash64("p"), F.col("rooms"))).alias("home"))
+    return least.join(shared, "p", "left").select("cls", F.coalesce("home", F.xxhash64("p", F.lit(-1))).alias("p"))
+
+
+def _open(held: DataFrame) -> DataFrame:
+    """(key): keys under which classes of different labels and blocks meet, which no comparison has had before it."""
+    unit = F.struct("p", "block")
+    both = held.groupBy("key").agg(F.min("label").alias("a"), F.max("label").alias("b"), F.min(unit).alias("c"), F.max(unit).alias("d"))
+    return both.where("a < b AND c <> d").select("key")
+
+
+def _bridges(held: DataFrame, members: DataFrame) -> DataFrame:
+    """(a, b): links found by one comparison for every two labels that meet under a key, the least label of a key with each other."""
+    ends = materialize(held.groupBy("key", "label").agg(F.min("cls").alias("cls")), "labels-of-keys")
+    star = ends.join(ends.groupBy("key").agg(F.min(F.struct("label", "cls")).alias("low")), "key").where(F.col("label") > F.col("low.label"))
+    pairs = star.groupBy(F.col("low.label").alias("p"), F.col("label").alias("q")).agg(F.min(F.struct(F.col("low.cls").alias("one"), F.col("cls").alias("two"))).alias("e"))
+    none = F.lit(0).alias("block"), F.lit(0).alias("other")
+    sides = F.array(F.struct(F.lit(0).alias("side"), F.col("e.one").alias("cls"), F.col("p").alias("label")), F.struct(F.lit(1).alias("side"), F.col("e.two").alias("cls"), F.col("q").alias("label")))
+    sides = materialize(pairs.select("p", *none, "q", F.explode(sides).alias("s")).select("p", "block", "q", "other", "s.*"), "bridges-to-try")
+    return _compare(sides.join(members.select("cls", "n", "bits", "packed"), "cls"), within=False)
+
+
 def links(rows: DataFrame, row: str, text_col: str, classes: DataFrame) -> DataFrame:
     """(a, b): links between classes, enough of them to connect every two that links connect."""
     keys = table_keys(classes)
     shared = materialize(keys.groupBy("key").agg(F.min("cls").alias("pivot"), F.max("cls").alias("top")).where("pivot < top").select("key", "pivot"), "shared-keys")
     buckets = materialize(keys.join(shared, "key"), "buckets")
-    home = materialize(buckets.groupBy("cls").agg(F.min("pivot").alias("p")), "homes")
-    blocks = materialize(home.groupBy("p").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("m")), "home-blocks")
+    home = materialize(_homes(buckets), "homes")
+    blocks = materialize(home.groupBy("p").agg(F.greatest(F.round(F.count(F.lit(1)) / BLOCK), F.lit(1)).cast("int").alias("m")), "home-blocks")
     places = home.join(classes.select("cls", "row", "n", "bits"), "cls").join(blocks, "p")
     places = materialize(places.withColumn("block", F.pmod(F.xxhash64("cls"), F.col("m")).cast("int")), "places")
     members = materialize(_texts(rows, row, text_col, places.select("cls", "row")).join(places.drop("row"), "cls"), "members")
     own = members.select("p", "block", F.col("p").alias("q"), F.col("block").alias("other"), F.lit(0).alias("side"), "cls", F.col("cls").alias("label"), "n", "bits", "packed")
     first = _compare(own, within=True)
-    labelled = members.join(first.select(F.col("b").alias("cls"), F.col("a").alias("label")), "cls", "left").withColumn("label", F.coalesce("label", "cls"))
-    # homes that a key has in common, and the blocks of one home
-    met = buckets.join(home, "cls").select("key", "p").distinct()
+    label = F.coalesce("label", "cls").alias("label")
+    held = buckets.select("key", "cls").join(places.select("cls", "p", "block"), "cls").join(first.select(F.col("b").alias("cls"), F.col("a").alias("label")), "cls", "left").select("key", "cls", "p", "block", label)
+    held = materialize(held.join(_open(held), "key"), "open-keys")
+    bridges = _bridges(held, members)
+    found = first.unionByName(bridges)
+    group = components(found.select(F.col("a").alias("u"), F.col("b").alias("v"))).select(F.col("node").alias("cls"), F.col("component").alias("label"))
+    held = held.drop("label").join(group, "cls", "left").select("key", "cls", "p", "block", label)
+    held = materialize(held.join(_open(held), "key"), "keys-still-open")
+    asked = materialize(held.select("cls", "label").distinct(), "classes-still-open")
+    labelled = members.join(asked, "cls")
+    # homes that an open key has in common, and the blocks of one home
+    met = held.select("key", "p").distinct()
     several = materialize(met.groupBy("key").agg(F.min("p").alias("low"), F.max("p").alias("high")).where("low < high").select("key"), "keys-of-homes")
     met = materialize(met.join(several, "key"), "homes-that-meet")
     pairs = met.join(met.withColumnRenamed("p", "q"), "key").where("p < q").select("p", "q").distinct()
-    pairs = materialize(pairs.unionByName(blocks.where("m > 1").select("p", F.col("p").alias("q"))), "home-pairs")
+    cut = held.groupBy("key", "p").agg(F.min("block").alias("low"), F.max("block").alias("high")).where("low < high").select("p").distinct()
+    pairs = materialize(pairs.unionByName(cut.select("p", F.col("p").alias("q"))), "home-pairs")
     sized = pairs.join(blocks, "p").join(blocks.select(F.col("p").alias("q"), F.col("m").alias("k")), "q")
     ends = materialize(sized.select(F.explode(F.array(F.struct(F.col("p").alias("home"), F.lit(0).alias("side"), "p", "q", F.col("k").alias("there")), F.struct(F.col("q").alias("home"), F.lit(1).alias("side"), "p", "q", F.col("m").alias("there")))).alias("e")).select("e.*"), "home-ends")
     dealt = labelled.withColumnRenamed("p", "home").join(ends, "home").withColumn("x", F.explode(F.sequence(F.lit(0), F.col("there") - 1)))
@@ -225,7 +270,7 @@ def links(rows: DataFrame, row: str, text_col: str, classes: DataFrame) -> DataF
     kept = (F.col("p") != F.col("q")) | F.when(F.col("side") == 0, F.col("block") < F.col("x")).otherwise(F.col("block") > F.col("x"))
     mine, theirs = F.when(F.col("side") == 0, F.col("block")).otherwise(F.col("x")), F.when(F.col("side") == 0, F.col("x")).otherwise(F.col("block"))
     dealt = dealt.where(kept).select("p", mine.alias("block"), "q", theirs.alias("other"), "side", "cls", "label", "n", "bits", "packed")
-    return first.unionByName(_compare(dealt, within=False))
+    return found.unionByName(_compare(dealt, within=False))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -76,6 +76,17 @@ def test_links_between_blocks_and_homes(spark, monkeypatch):
     assert {w[2] for w in want} == {0} and found(spark, docs) == want
 
 
+def test_a_group_that_links_is_not_dealt_out_in_pairs_of_blocks(spark, monkeypatch):
+    """Near copies in many blocks: the blocks are joined by a few comparisons, not by comparing all of them with each other."""
+    monkeypatch.setattr(minhash, "BLOCK", 4)
+    dealt, compare = [], minhash._compare
+    monkeypatch.setattr(minhash, "_compare", lambda rows, within: (dealt.append(rows.count()), compare(rows, within))[1])
+    words = [f"w{k}" for k in range(200)]
+    docs = [(k, " ".join([*words[:k], f"x{k}", *words[k + 1 :]])) for k in range(160)]
+    assert {c for _, _, c in found(spark, docs)} == {0}
+    assert sum(dealt) < 12 * len(docs)
+
+
 def test_odd_rows(spark):
     """Null, empty and blank texts, short texts, repeated and null ids, capitals, a long text, a clashing column."""
     long = " ".join(f"l{k}" for k in range(30_000))
