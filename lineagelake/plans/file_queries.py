@@ -166,8 +166,8 @@ def file_links(spark, d):
 def file_gene_orders(spark, d):
     """Genes with the profiles of the segment of their own number."""
     genes = views.genes(spark, d).withColumn("seg_id", F.col("gene_id"))
-    profiles = views.table(spark, d, "lineitem").select(F.col("l_partkey").alias("seg_id"), F.round(F.col("l_discount") / 2, 4).alias("likelihood"), F.col("l_tax").alias("preval"), (F.col("l_quantity") / 100).alias("preval_sd"))
-    back = _through(spark, writers.gene_order_lines(genes, profiles), _columns("chrom string", "start bigint", "finish bigint", "name string", "total double", "likelihood double", "preval double", "preval_sd double"))
+    profiles = views.table(spark, d, "lineitem").select(F.col("l_partkey").alias("seg_id"), F.round(F.col("l_discount") / 2, 4).alias("likelihood"), F.col("l_tax").alias("preval"), (F.col("l_quantity") / 100).alias("preval_sd"), F.struct("_metadata.file_path", "_metadata.row_index").alias("place"))
+    back = _through(spark, writers.gene_order_lines(genes, profiles, order="place"), _columns("chrom string", "start bigint", "finish bigint", "name string", "total double", "likelihood double", "preval double", "preval_sd double"))
     return back.withColumn("total", F.round(F.col("total") + 1e-10, 4))
 
 

@@ -104,10 +104,22 @@ def segment_history_lines(profiles: DataFrame) -> DataFrame:
     return profiles.select((F.concat_ws("\t", line, "label") if "label" in profiles.columns else line).alias("value"))
 
 
-def gene_order_lines(genes: DataFrame, profiles: DataFrame, least: float = 0.5) -> DataFrame:
+def gene_order_lines(genes: DataFrame, profiles: DataFrame, least: float = 0.5, order: str | None = None) -> DataFrame:
     """Lines of genes (chrom, start, finish, name, seg_id): the total likelihood of the segment's profiles
-    (seg_id, likelihood, preval, preval_sd) and the best one's figures where that total exceeds ``least``, else 0."""
-    best = profiles.groupBy("seg_id").agg(F.sum("likelihood").alias("total"), F.max(F.struct("likelihood", "preval", "preval_sd")).alias("b"))
+    (seg_id, likelihood, preval, preval_sd) and the best one's figures where that total exceeds ``least``, else 0.
+
+    Totals are exact to 18 decimals, so they do not depend on how rows are dealt out.  Where they come to just ``least``, doubles are
+    added up one by one in the order of the column ``order``, if there is one, as SQL on one thread does.
+    """
+    exact = F.col("likelihood").try_cast("decimal(38,18)")
+    beyond = F.count_if(exact.isNull() & F.col("likelihood").isNotNull())  # no numbers, or too large ones
+    total = F.when(beyond == 0, F.try_sum(exact).cast("double")).otherwise(F.sum("likelihood"))
+    best = profiles.groupBy("seg_id").agg(total.alias("total"), F.max(F.struct("likelihood", "preval", "preval_sd")).alias("b"))
+    if order:
+        close = best.where(F.abs(F.col("total") - least) < 1e-9).select("seg_id")
+        listed = F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), "likelihood")))
+        added = profiles.where("likelihood IS NOT NULL").join(close, "seg_id", "left_semi").groupBy("seg_id").agg(F.aggregate(listed, F.lit(0.0), lambda a, x: a + x["likelihood"]).alias("added"))
+        best = best.join(added, "seg_id", "left").withColumn("total", F.coalesce("added", "total"))
     rows = genes.join(best, "seg_id", "left")
     sure = F.col("total") > least
     pick = lambda c: F.when(sure, F.col(f"b.{c}")).otherwise(0.0)

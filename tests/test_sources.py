@@ -63,3 +63,17 @@ def test_tracks(spark):
     assert sorted(r.value for r in writers.coverage_track(cnvs).collect()) == ["chr1\t1\t5\t1.0", "chr1\t6\t9\t2.0"]
     phases = spark.createDataFrame([("chr1", 1, 5, [1.0, 3.0]), ("None", 0, 1, [1.0]), ("chr2", 1, 2, [2.0])], "chrom string, start long, finish long, phases array<double>")
     assert sorted((r.track, r.value.split("\t")[-1]) for r in writers.phase_tracks(phases).collect()) == [("majority", "3.0"), ("minority", "1.0"), ("total", "2.0"), ("total", "4.0")]
+
+
+def test_gene_totals_do_not_depend_on_the_order_of_rows(spark):
+    genes = spark.createDataFrame([("chr1", 1, 9, "g", 1)], "chrom string, start long, finish long, name string, seg_id long")
+    chances = [0.04, 0.02, 0.045, 0.005, 0.035, 0.05, 0.03, 0.035, 0.005, 0.025, 0.015, 0.02, 0.005, 0.025, 0.145]
+    # they add up to just the limit: as doubles to more, read from the front, and to less from the back
+    for sign, told in ((1, "0.5000000000000001\t0.145\t0.5\t0.1"), (-1, "0.4999999999999999\t0.0\t0.0\t0.0")):
+        rows = [(1, c, 0.5, 0.1, sign * k) for k, c in enumerate(chances)]
+        for dealt in (rows, rows[::-1]):
+            profiles = spark.createDataFrame(dealt, "seg_id long, likelihood double, preval double, preval_sd double, place long").coalesce(1)
+            assert writers.gene_order_lines(genes, profiles, order="place").first().value == f"chr1\t1\t9\tg\t{told}"
+            assert writers.gene_order_lines(genes, profiles).first().value == "chr1\t1\t9\tg\t0.5\t0.0\t0.0\t0.0"
+    odd = spark.createDataFrame([(1, 1e300, 0.5, 0.1)], "seg_id long, likelihood double, preval double, preval_sd double")
+    assert writers.gene_order_lines(genes, odd).first().value.split("\t")[4] == "1.0E300"
