@@ -6,29 +6,52 @@ stored flipped: ``-`` in a file is orientation true here.
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Iterator
+from urllib.parse import unquote
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..operators.numbering import numbered
-
 #: Bytes that the gunzip source inflates at once.
 INFLATE = 1 << 20
 CHROMOSOMES = [*map(str, range(1, 23)), "X", "Y"]
 
 
-def _numbered_lines(spark: SparkSession, path: str) -> DataFrame:
-    """(path, line_no, line) in file order; takes a file whole, so only for formats of which a
-    run writes small files and whose line numbers mean something."""
-    whole = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("path"), "value")
-    return whole.select("path", F.posexplode(F.split("value", "\r?\n")).alias("line_no", "line")).where("line <> ''")
+def _split_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """(path, block, line): lines of text files with the stretch of the file that a task reads them from."""
+    text = spark.read.option("lineSep", "\n").text(path)
+    return text.select(F.col("_metadata.file_path").alias("path"), F.struct("_metadata.file_block_start", "_metadata.file_block_length").alias("block"), F.regexp_replace("value", "\r$", "").alias("line"))
+
+
+def _in_file_order(rows: DataFrame, name: str, by_file: bool = True) -> DataFrame:
+    """``_split_lines``, of which some may have been left out, with ``name``: the rows' places from 0 within their file, or in all files by path.
+
+    A task reads a stretch in order, so the files are read once more to count the rows of each stretch, and no row is
+    shuffled or sorted.  Where nobody asks for ``name`` the count is not made.
+    """
+    rows = rows.withColumn("id_", F.monotonically_increasing_id())
+    count = rows.groupBy("path", "block").agg(F.min("id_").alias("first_"), F.count(F.lit(1)).alias("n_"))
+    before = F.sum("n_").over((Window.partitionBy("path").orderBy("block") if by_file else Window.orderBy("path", "block")).rowsBetween(Window.unboundedPreceding, -1))
+    starts = count.withColumn("start_", F.coalesce(before, F.lit(0)) - F.col("first_"))
+    starts = F.broadcast(starts.groupBy(F.col("path").alias("p_"), F.col("block").alias("b_")).agg(F.first("start_").alias("start_")))
+    start = F.coalesce("start_", F.raise_error(F.lit("files were split in two ways")).cast("bigint"))
+    return rows.join(starts, (F.col("path") == F.col("p_")) & (F.col("block") == F.col("b_")), "left").withColumn(name, F.col("id_") + start).drop("id_", "p_", "b_", "start_")
+
+
+def _numbered_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """(path, line_no, line) in file order, without empty lines, which count."""
+    return _in_file_order(_split_lines(spark, path), "line_no").where("line <> ''").select("path", "line_no", "line")
 
 
 def _words(spark: SparkSession, path: str, separator: str = r"\s+", numbered: bool = False) -> DataFrame:
     lines = _numbered_lines(spark, path) if numbered else spark.read.text(path).select(F.col("value").alias("line")).where("line <> ''")
+    return _split_words(lines, separator)
+
+
+def _split_words(lines: DataFrame, separator: str = r"\s+") -> DataFrame:
     return lines.withColumn("w", F.split(F.trim("line") if separator == r"\s+" else F.col("line"), separator))
 
 
@@ -54,8 +77,8 @@ def chrom_lengths(spark: SparkSession, path: str, prefix: bool = True) -> DataFr
 
 def _numbered(df: DataFrame) -> DataFrame:
     """Breakends with their running number among the kept rows, as part of the id."""
-    rows = numbered(df, ["path", "line_no"], "n_")
-    return rows.withColumn("breakend_id", F.concat(F.lit("BND"), F.col("n_").cast("string"), F.lit(":"), F.col("chrom"), F.lit(":"), F.col("start").cast("string"))).drop("path", "line_no", "n_")
+    rows = _in_file_order(df, "n_", by_file=False)
+    return rows.withColumn("breakend_id", F.concat(F.lit("BND"), F.col("n_").cast("string"), F.lit(":"), F.col("chrom"), F.lit(":"), F.col("start").cast("string"))).drop("path", "block", "n_")
 
 
 def _flip(k: int) -> Column:
@@ -69,7 +92,7 @@ def breakends(spark: SparkSession, path: str, style: str = "legacy") -> DataFram
     Styles: ``legacy`` (12 columns; negative score dropped), ``pairs`` (``chr:a-b`` twice;
     negative score dropped) and ``tabbed`` (no class or score).
     """
-    w = _words(spark, path, numbered=True)
+    w = _split_words(_split_lines(spark, path).where("line <> ''"))
     if style == "legacy":
         w = w.where(_w(11, "double") >= 0)
         cols = [with_prefix(_w(0)), _w(1, "bigint"), _w(2, "bigint"), _flip(3), with_prefix(_w(4)), _w(5, "bigint"), _w(6, "bigint"), _flip(7), _w(8) == "GERMLINE", _w(9, "double")]
@@ -84,7 +107,7 @@ def breakends(spark: SparkSession, path: str, style: str = "legacy") -> DataFram
     else:
         raise ValueError(f"unknown style {style!r}")
     names = ["chrom", "start", "finish", "strand", "chrom2", "start2", "finish2", "strand2", "germline", "coverage"]
-    return _numbered(w.select("path", "line_no", *(c.alias(n) for c, n in zip(cols, names))))
+    return _numbered(w.select("path", "block", *(c.alias(n) for c, n in zip(cols, names))))
 
 
 def copy_numbers(spark: SparkSession, path: str, mixed: bool = False) -> DataFrame:
@@ -148,8 +171,32 @@ def copy_number_matrix(spark: SparkSession, path: str) -> DataFrame:
     return long.select(F.col("SNP").alias("snp"), number.alias("chrom_number"), F.col("PhysicalPosition").try_cast("bigint").alias("pos"), "sample", F.col("value").try_cast("double").alias("value"))
 
 
+def _packed_files(spark: SparkSession, path: str) -> tuple[list[str], list[str]]:
+    """The files that are plain text, and those that are gzip or that Spark would unpack by their names."""
+    plain, packed = [], []
+    hadoop, conf = spark._jvm.org.apache.hadoop, spark._jsc.hadoopConfiguration()
+    codecs = hadoop.io.compress.CompressionCodecFactory(conf)
+    for name in spark.read.text(path).inputFiles():
+        file = hadoop.fs.Path(spark._jvm.java.net.URI(name))
+        stream = file.getFileSystem(conf).open(file)
+        try:
+            zipped = (stream.read(), stream.read()) == (0x1F, 0x8B)
+        finally:
+            stream.close()
+        (packed if zipped or codecs.getCodec(file) is not None else plain).append(re.sub(r"([\\\[\]{}*?])", r"\\\1", unquote(name)))
+    return plain, packed
+
+
 def gunzip_lines(spark: SparkSession, path: str) -> DataFrame:
-    """(path, line_no, line) of files that may be gzip whatever their names; inflated in steps."""
+    """(path, line_no, line) of files that may be gzip whatever their names: plain files are split among tasks, a packed one
+    is one task's, which holds it as it is packed and inflates it in steps."""
+    plain, packed = _packed_files(spark, path)
+    if not packed:
+        return _numbered_lines(spark, path)
+    return _inflated_lines(spark, packed).unionByName(_numbered_lines(spark, plain)) if plain else _inflated_lines(spark, packed)
+
+
+def _inflated_lines(spark: SparkSession, paths: list[str]) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -173,7 +220,7 @@ def gunzip_lines(spark: SparkSession, path: str) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([pa.array([name] * len(text), pa.string()), pa.array(range(n, n + len(text)), pa.int64()), pa.array(text, pa.string())], names=["path", "line_no", "line"])
                     n += len(text)
 
-    files = spark.read.format("binaryFile").load(path).select("path", "content")
+    files = spark.read.format("binaryFile").load(paths).select("path", "content")
     return files.mapInArrow(run, "path string, line_no bigint, line string").where("line <> ''")
 
 

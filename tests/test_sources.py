@@ -77,3 +77,32 @@ def test_gene_totals_do_not_depend_on_the_order_of_rows(spark):
             assert writers.gene_order_lines(genes, profiles).first().value == "chr1\t1\t9\tg\t0.5\t0.0\t0.0\t0.0"
     odd = spark.createDataFrame([(1, 1e300, 0.5, 0.1)], "seg_id long, likelihood double, preval double, preval_sd double")
     assert writers.gene_order_lines(genes, odd).first().value.split("\t")[4] == "1.0E300"
+
+
+def test_plain_files_are_split_and_lines_keep_their_numbers(spark, tmp_path):
+    adj = "A\t1\t%d\t+\t2\t9\t-\t0.25\t0.5\t3\t0\t1\t0\t4\t10\t8\t1\t1\tptr"
+    (tmp_path / "HISTORIES_1.[x] y").write_text("\n".join(adj % k if k % 10 else "" for k in range(1000)))
+    (tmp_path / "HISTORIES_2").write_bytes(gzip.compress((adj % 5 + "\r\n").encode()))
+    (tmp_path / "HISTORIES_3").write_text("\r\n".join(adj % k for k in range(500)) + "\r\n")
+    calls = tmp_path / "calls"
+    calls.mkdir()
+    for name, from_, n in (("b", 300, 200), ("a", 0, 300)):
+        (calls / name).write_text("".join(f"1 {k} {k + 5} + 2 30 40 - x 2 x {-1 if k % 3 == 0 else 1}\n" for k in range(from_, from_ + n)))
+    old = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.sources.binaryFile.maxLength")}
+    try:
+        for k, v in zip(old, ("2000", "1000")):  # no plain file is taken whole
+            spark.conf.set(k, v)
+        found = readers.histories(spark, f"file://{tmp_path}/HISTORIES_*").select("run", "line_no", "start", "event_ptr")
+        assert found.rdd.getNumPartitions() > 10
+        rows = sorted(tuple(r) for r in found.collect())
+        assert rows == [(1, k, k, "ptr") for k in range(1000) if k % 10] + [(2, 0, 5, "ptr")] + [(3, k, k, "ptr") for k in range(500)]
+        only = readers.histories(spark, f"file://{tmp_path}/HISTORIES_3").select("line_no", "start").collect()
+        assert sorted(map(tuple, only)) == [(k, k) for k in range(500)]
+        ends = readers.breakends(spark, f"file://{calls}")
+        assert ends.rdd.getNumPartitions() > 5
+        assert sorted((r.start, r.breakend_id) for r in ends.collect()) == [(k, f"BND{n}:chr1:{k}") for n, k in enumerate(k for k in range(500) if k % 3)]
+        plan = ends.select("start")._jdf.queryExecution().optimizedPlan().toString()
+        assert "Join" not in plan  # who asks for no id counts nothing
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
