@@ -143,6 +143,8 @@ def links(fps: DataFrame) -> DataFrame:
     a = usual.where("side <> 1").select("key", "side", F.col("fp").alias("u"))
     b = usual.where("side <> 0").select("key", F.col("side").alias("other"), F.col("fp").alias("v"))
     meet = ((F.col("side") == 0) & (F.col("other") == 1)) | ((F.col("side") == -1) & (F.col("other") == -1) & (F.col("u") < F.col("v")))
+    # Spark takes an exploded table for no larger than what it came from, and would broadcast all keys
+    a, b = a.hint("merge"), b.hint("merge")
     pairs = a.join(b, (a["key"] == b["key"]) & meet & (F.bit_count(F.col("u").bitwiseXOR(F.col("v"))) <= MAX_BITS)).select("u", "v")
     blocks = F.ceil(F.col("n") / BLOCK).cast("int")
     hot = hot.withColumn("block", F.pmod(F.xxhash64("fp"), blocks).cast("int")).withColumn("m", blocks)

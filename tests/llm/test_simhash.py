@@ -90,3 +90,9 @@ def test_any_spread_of_bits_is_found(spark, bits):
     df = spark.createDataFrame([(signed(x),) for x in {y for p in pairs for y in p}], "fp long")
     found = {frozenset((x.u, x.v)) for x in simhash.links(df).collect()}
     assert all(a == b or frozenset((signed(a), signed(b))) in found for a, b in pairs)
+
+
+def test_exploded_keys_are_not_broadcast(spark):
+    """Spark takes the 67 keys of each fingerprint for as small as the fingerprint."""
+    plan = simhash.links(spark.range(1000).selectExpr("xxhash64(id) AS fp"))._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin [key" in plan and "BroadcastHashJoin [key#" not in plan.split("SortMergeJoin [key")[0]
