@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import contextlib
+import functools
+import re
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 
@@ -25,6 +27,24 @@ def shared_dir(spark: SparkSession) -> str:
 _scratch: list[list[str]] = []
 
 
+#: Bytes shuffled after which the driver collects its garbage.
+SHUFFLED = 128 << 20
+_shuffled: dict[str, int] = {}
+
+
+def free_shuffles(spark: SparkSession) -> None:
+    """Let Spark delete the files of shuffles that no plan needs any more: it does when the driver collects its garbage,
+    which a driver that holds little hardly ever does by itself."""
+    context = spark.sparkContext
+    executors = context._jsc.sc().statusStore().executorList(False).iterator()
+    now = 0
+    while executors.hasNext():
+        now += executors.next().totalShuffleWrite()
+    if now - _shuffled.get(context.applicationId, 0) > SHUFFLED:
+        _shuffled[context.applicationId] = now
+        spark._jvm.System.gc()
+
+
 def write_shared(df: DataFrame, label: str, compression: str = "snappy") -> tuple[DataFrame, str]:
     """``df`` written as a Parquet table in the shared folder and read back, and its path.
 
@@ -32,6 +52,7 @@ def write_shared(df: DataFrame, label: str, compression: str = "snappy") -> tupl
     """
     path = f"{shared_dir(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
     df.write.option("compression", compression).parquet(path)
+    free_shuffles(df.sparkSession)
     return df.sparkSession.read.schema(df.schema).parquet(path), path
 
 
@@ -44,9 +65,39 @@ def materialize(df: DataFrame, label: str = "stage", compression: str = "snappy"
     out, path = write_shared(df, label, compression)
     if _scratch:
         _scratch[-1].append(path)
+    out.shared_path_ = path
     return out
 
 
+def release(*tables: DataFrame) -> None:
+    """Delete tables of ``materialize`` that nothing reads any more."""
+    for t in tables:
+        remove(t.sparkSession, t.shared_path_)
+
+
+def lean(operator: Callable) -> Callable:
+    """``operator`` with the tables that it wrote deleted when it returns, but for those that its results are read from."""
+
+    @functools.wraps(operator)
+    def run(*args, **kwargs):
+        _scratch.append([])
+        paths = []
+        try:
+            out = operator(*args, **kwargs)
+            results = [x for x in (out if isinstance(out, tuple) else (out,)) if isinstance(x, DataFrame)]
+            held = {name for r in results for f in r.inputFiles() for name in re.findall(r"/([^/]+-[0-9a-f]{32})/", f)}
+            paths = [p for p in _scratch[-1] if p.rsplit("/", 1)[1] not in held]
+            for path in paths:
+                remove(results[0].sparkSession, path)
+            return out
+        finally:
+            rest = [p for p in _scratch.pop() if p not in paths]
+            if _scratch:
+                _scratch[-1].extend(rest)
+
+    return run
+
+
 def materialize_with(df: DataFrame, label: str, **sums: Column) -> tuple[DataFrame, dict]:
     """``materialize``, and aggregates of the rows taken while they are written, so no job reads them again."""
     seen = Observation()

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions import cycles
 from ..operators import diagnostics, events
-from ..operators.shared import shared_dir
+from ..operators.shared import free_shuffles, shared_dir
 from ..sources import readers, views, writers
 from . import event_queries
 from .event_queries import _r, _with
@@ -23,7 +23,9 @@ def _path(spark, name):
 def _through(spark, lines, reader, name="lines"):
     """What ``reader`` gives of ``lines`` (column value) written as text."""
     path = _path(spark, name)
-    lines.write.text(path)
+    # history files are gzip as a rule
+    lines.write.text(path, compression="gzip" if name.startswith("HISTORIES") else "none")
+    free_shuffles(spark)
     return reader(spark, path)
 
 

@@ -172,7 +172,7 @@ def copy_number_matrix(spark: SparkSession, path: str) -> DataFrame:
 
 
 def _packed_files(spark: SparkSession, path: str) -> tuple[list[str], list[str]]:
-    """The files that are plain text, and those that are gzip or that Spark would unpack by their names."""
+    """The files that Spark's text source reads as they are meant, plain or gzip by name, and the others that are gzip or have a packed file's name."""
     plain, packed = [], []
     hadoop, conf = spark._jvm.org.apache.hadoop, spark._jsc.hadoopConfiguration()
     codecs = hadoop.io.compress.CompressionCodecFactory(conf)
@@ -183,13 +183,15 @@ def _packed_files(spark: SparkSession, path: str) -> tuple[list[str], list[str]]
             zipped = (stream.read(), stream.read()) == (0x1F, 0x8B)
         finally:
             stream.close()
-        (packed if zipped or codecs.getCodec(file) is not None else plain).append(re.sub(r"([\\\[\]{}*?])", r"\\\1", unquote(name)))
+        codec = codecs.getCodec(file)
+        fits = zipped and codec.getDefaultExtension() == ".gz" if codec is not None else not zipped
+        (plain if fits else packed).append(re.sub(r"([\\\[\]{}*?])", r"\\\1", unquote(name)))
     return plain, packed
 
 
 def gunzip_lines(spark: SparkSession, path: str) -> DataFrame:
-    """(path, line_no, line) of files that may be gzip whatever their names: plain files are split among tasks, a packed one
-    is one task's, which holds it as it is packed and inflates it in steps."""
+    """(path, line_no, line) of files that may be gzip whatever their names: plain files are split among tasks, one that is named
+    .gz streams through a task, one packed under another name is held packed and inflated in steps."""
     plain, packed = _packed_files(spark, path)
     if not packed:
         return _numbered_lines(spark, path)

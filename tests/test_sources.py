@@ -96,6 +96,10 @@ def test_plain_files_are_split_and_lines_keep_their_numbers(spark, tmp_path):
         assert found.rdd.getNumPartitions() > 10
         rows = sorted(tuple(r) for r in found.collect())
         assert rows == [(1, k, k, "ptr") for k in range(1000) if k % 10] + [(2, 0, 5, "ptr")] + [(3, k, k, "ptr") for k in range(500)]
+        (tmp_path / "HISTORIES_4.gz").write_bytes(b"".join(gzip.compress((adj % k).encode() + b"\n", mtime=0) for k in range(40)))
+        (tmp_path / "HISTORIES_5.gz").write_text(adj % 7)
+        named = readers.histories(spark, f"file://{tmp_path}/HISTORIES_[45].gz").select("run", "line_no", "start").collect()
+        assert sorted(map(tuple, named)) == [(4, k, k) for k in range(40)] + [(5, 0, 7)]
         only = readers.histories(spark, f"file://{tmp_path}/HISTORIES_3").select("line_no", "start").collect()
         assert sorted(map(tuple, only)) == [(k, k) for k in range(500)]
         ends = readers.breakends(spark, f"file://{calls}")
