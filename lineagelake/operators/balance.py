@@ -12,13 +12,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import materialize, materialize_with
+from .shared import lean, materialize, materialize_with, release
 
 # fixed values of the model: the standard deviation of a segment, the least one of a bond, that of a
 # missing bond where chains are balanced, and the weight of a node's error
 SEGMENT_DEVIATION, LEAST_BOND_DEVIATION, MISSING_DEVIATION, NODE_WEIGHT = 1e-3, 10.0, 1e3, 1.0
 
 
+@lean
 def least_squares(variables: DataFrame, entries: DataFrame, targets: DataFrame, weight: float = NODE_WEIGHT, tolerance: float = 1e-10, max_rounds: int = 2000) -> DataFrame:
     """(var, value) that minimises sum(precision * value**2) + weight * sum((entries * value - target)**2).
 
@@ -35,12 +36,14 @@ def least_squares(variables: DataFrame, entries: DataFrame, targets: DataFrame,
     diagonal = F.col("d") + F.col("own")
     now = now.select("var", "d", F.when(diagonal > 0, diagonal).otherwise(1.0).alias("m"), F.lit(0.0).alias("x"), F.col("b").alias("r"))
     now = materialize(now.withColumn("p", F.col("r") / F.col("m")), "corrections")
-    start = None
+    start, last = None, now
     for _ in range(max_rounds):
         along = materialize(through(now.select("var", "p"), "var").groupBy("node").agg(F.sum(F.col("coef") * F.col("p")).alias("t")), "along")
         back = through(along, "node").groupBy("var").agg((weight * F.sum(F.col("coef") * F.col("t"))).alias("s"))
         r, p, q, m = (F.col(c) for c in "rpqm")
         step, sums = materialize_with(now.join(back, "var", "left").withColumn("q", F.col("d") * F.col("p") + F.coalesce("s", F.lit(0.0))).drop("s"), "corrections", pq=F.sum(p * q), rr=F.sum(r * r / m), rq=F.sum(r * q / m), qq=F.sum(q * q / m))
+        release(along, last)
+        last = step
         pq, rr, rq, qq = (sums[c] or 0.0 for c in ("pq", "rr", "rq", "qq"))
         start = rr if start is None else start
         if rr <= tolerance**2 * start or pq <= 0:
@@ -76,6 +79,7 @@ def _solve(carriers: DataFrame, held: DataFrame, bonds: DataFrame, tolerance: fl
     return least_squares(variables, entries, targets, tolerance=tolerance)
 
 
+@lean
 def balance(segments: DataFrame, bonds: DataFrame, tolerance: float = 1e-10) -> tuple[DataFrame, DataFrame]:
     """Segments (node, twin, phase, flow) and bonds (u, v, flow) with the corrections that cost least.
 
@@ -86,9 +90,11 @@ def balance(segments: DataFrame, bonds: DataFrame, tolerance: float = 1e-10) ->
     pairs = segments.select(F.least("node", "twin").alias("node"), F.greatest("node", "twin").alias("twin"), "phase", F.col("flow").cast("double").alias("flow"))
     pairs = materialize(pairs.groupBy("node", "twin", "phase").agg(F.sum("flow").alias("flow")), "segments")
     whole = pairs.groupBy("node", "twin").agg(F.sum("flow").alias("estimate"), F.min("phase").alias("first"))
-    whole = materialize(whole.select(_name("segment", "node", "twin").alias("var"), "node", "twin", F.coalesce("estimate", F.lit(0.0)).alias("estimate"), "first", F.lit(1 / SEGMENT_DEVIATION**2).alias("precision")), "segment-sums")
+    # numbered while they are written: even ones are segments, odd ones bonds
+    number = F.monotonically_increasing_id() * 2
+    whole = materialize(whole.select(number.alias("var"), "node", "twin", F.coalesce("estimate", F.lit(0.0)).alias("estimate"), "first", F.lit(1 / SEGMENT_DEVIATION**2).alias("precision")), "segment-sums")
     held = whole.select("var", F.explode(F.array_distinct(F.array("node", "twin"))).alias("node"))
-    linked = materialize(_bonds(bonds, None), "bonds")
+    linked = materialize(_bonds(bonds, None).withColumn("var", number + 1), "bonds")
     found = _solve(whole, held, linked, tolerance)
     given = F.coalesce("flow", F.lit(0.0))
     share = F.when(F.col("estimate") > 0, given + F.col("value") * given / F.col("estimate")).when(F.col("phase").eqNullSafe(F.col("first")), F.col("value")).otherwise(given)
@@ -96,6 +102,7 @@ def balance(segments: DataFrame, bonds: DataFrame, tolerance: float = 1e-10) ->
     return corrected, linked.join(found, "var").select("u", "v", (F.col("estimate") + F.col("value")).alias("flow"))
 
 
+@lean
 def balance_chains(segments: DataFrame, bonds: DataFrame, tolerance: float = 1e-10) -> tuple[DataFrame, DataFrame]:
     """(chain, flow) and bonds (u, v, flow): as ``balance``, with one flow a chain.
 
